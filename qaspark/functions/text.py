@@ -55,6 +55,15 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and hand it to ``fn`` as a lambda variable.
+
+    Column functions that use their input several times would otherwise
+    repeat the whole upstream expression once Catalyst inlines projections
+    (it does so beneath generators such as ``explode``)."""
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
 def strip(col) -> Column:
     """Whitespace strip at both ends (``str.strip``)."""
     return F.regexp_replace(_c(col), _WS_EDGES, "")
@@ -67,13 +76,14 @@ def rstrip(col) -> Column:
 def tokenize(col) -> Column:
     """Normalise a sentence: all-upper text is kept; otherwise lower-case,
     months to numbers, then DATE/TIME/MONEY/PRESENT/MTC/NUM/EMAIL tokens."""
-    c = _c(col)
-    s = F.lower(c)
-    for i, (name, abbr) in enumerate(MONTHS):
-        s = F.regexp_replace(s, rf"\b{name}\b|\b{abbr}\b", "%02d" % (i + 1))
-    for pattern, token in TYPED_REWRITES:
-        s = F.regexp_replace(s, pattern, token)
-    return F.when(F.upper(c) == c, c).otherwise(strip(s))
+    def body(c):
+        s = F.lower(c)
+        for i, (name, abbr) in enumerate(MONTHS):
+            s = F.regexp_replace(s, rf"\b{name}\b|\b{abbr}\b", "%02d" % (i + 1))
+        for pattern, token in TYPED_REWRITES:
+            s = F.regexp_replace(s, pattern, token)
+        return F.when(F.upper(c) == c, c).otherwise(strip(s))
+    return let(_c(col), body)
 
 
 def no_symbol(col) -> Column:
@@ -95,18 +105,19 @@ def split_ws(col) -> Column:
 
 def ngrams(tokens, n: int) -> Column:
     """Space-joined n-grams of a token array (the array itself for n=1)."""
-    t = _c(tokens)
     if n <= 1:
-        return t
-    grams = F.transform(F.sequence(F.lit(1), F.size(t) - F.lit(n - 1)),
-                        lambda i: F.array_join(F.slice(t, i, n), " "))
-    return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
+        return _c(tokens)
+
+    def body(t):
+        grams = F.transform(F.sequence(F.lit(1), F.size(t) - F.lit(n - 1)),
+                            lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
+    return let(_c(tokens), body)
 
 
 def capitalize(col) -> Column:
     """``str.capitalize``: first character upper, the rest lower."""
-    c = _c(col)
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
+    return let(_c(col), lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30))))
 
 
 def clean_question(col) -> Column:

@@ -18,9 +18,15 @@ def norm(u) -> Column:
     return F.sqrt(dot(u, u))
 
 
+def let(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once, pass it to ``fn`` as a lambda variable."""
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
 def cosine_distance(u, v) -> Column:
     """``1 - u.v / (|u| |v|)``; NULL when either vector is all zero."""
-    return F.lit(1.0) - F.try_divide(dot(u, v), norm(u) * norm(v))
+    uv = F.struct(_c(u).alias("u"), _c(v).alias("v"))
+    return let(uv, lambda p: F.lit(1.0) - F.try_divide(dot(p["u"], p["v"]), norm(p["u"]) * norm(p["v"])))
 
 
 def is_zero(u) -> Column:

@@ -110,9 +110,9 @@ def _vectors(spark, d):
 def word_vectors(spark: SparkSession, d: str) -> DataFrame:
     """``(token, vec)``: vocabulary words mapped onto the embedding table."""
     e = _vectors(spark, d)
-    n = e.agg(F.count(F.lit(1)).alias("n"))
-    v = vocab(spark, d).join(n.hint("broadcast"), how="inner")  # one-row count
-    return (v.join(e, e.vec_id == v.idx % v.n).select("token", "vec"))
+    n = table(spark, d, "embeddings").select(F.count(F.lit(1))).scalar()
+    v = vocab(spark, d).withColumn("vid", F.col("idx") % n)
+    return v.join(e, v.vid == e.vec_id).select("token", "vec")
 
 
 def clustered(spark: SparkSession, d: str) -> DataFrame:
