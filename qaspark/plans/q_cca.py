@@ -1 +1,123 @@
-"""Registered queries."""
+"""Gram sums, projections and CCA model queries."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from qaspark.operators import cca as CCA
+from qaspark.plans import duck as D
+from qaspark.plans.catalog import query
+from qaspark.plans.q_vectors import _DUCK_SENT, pair_vectors, unknown_for
+from qaspark.sources import fixtures as X
+from qaspark.functions import text as T
+from qaspark.operators import vectors as VEC
+
+
+def qa_features(spark, d):
+    """``(conv_id, turn, qv, av)``: mean-vector features of the QA pairs."""
+    pv = pair_vectors(spark, d)
+    qv = pv.filter(F.col("side") == "q").select("conv_id", "turn", F.col("vec").alias("qv"))
+    av = pv.filter(F.col("side") == "a").select("conv_id", "turn", F.col("vec").alias("av"))
+    return qv.join(av, ["conv_id", "turn"])
+
+
+def paraphrase_features(spark, d):
+    vectors = X.word_vectors(spark, d)
+    unknown = unknown_for(spark, d, vectors)
+    p = X.paraphrase_pairs(spark, d)
+    sents = (p.select("conv_id", "turn", F.lit(1).alias("side"), T.split_ws(T.no_symbol("q1")).alias("tokens"))
+             .unionByName(p.select("conv_id", "turn", F.lit(2).alias("side"),
+                                   T.split_ws(T.no_symbol("q2")).alias("tokens"))))
+    sv = VEC.sentence_vectors(sents, ["conv_id", "turn", "side"], "tokens", vectors, unknown)
+    q1 = sv.filter(F.col("side") == 1).select("conv_id", "turn", F.col("vec").alias("qv"))
+    q2 = sv.filter(F.col("side") == 2).select("conv_id", "turn", F.col("vec").alias("av"))
+    return q1.join(q2, ["conv_id", "turn"])
+
+
+_DUCK_GRAM = _DUCK_SENT
+
+
+@query("gram_qa", D.with_fx("""
+SELECT CAST(q.i - 1 AS INTEGER) AS i, CAST(a.i - 1 AS INTEGER) AS j, round(sum(q.x * a.x), 6) AS v
+FROM sv q JOIN sv a ON a.conv_id = q.conv_id AND a.turn = q.turn AND a.side = 'a'
+WHERE q.side = 'q' GROUP BY q.i, a.i""", "fx_word_vectors", "fx_pairs", extra=_DUCK_GRAM))
+def gram_qa(spark, d):
+    g = CCA.gram_table(qa_features(spark, d), "qv", "av")
+    return (g.filter(F.col("kind") == "qa").select("i", F.posexplode("row").alias("j", "v"))
+            .select("i", F.col("j").cast("int").alias("j"), F.round("v", 6).alias("v")))
+
+
+@query("gram_diag", D.with_fx("""
+SELECT side, CAST(i - 1 AS INTEGER) AS i, round(sum(x * x), 6) AS v FROM sv GROUP BY side, i""",
+                              "fx_word_vectors", "fx_pairs", extra=_DUCK_GRAM))
+def gram_diag(spark, d):
+    g = CCA.gram_table(qa_features(spark, d), "qv", "av")
+    g = g.filter(F.col("kind").isin("qq", "aa"))
+    return g.select(F.substring("kind", 1, 1).alias("side"), F.posexplode("row").alias("i", "v")).select(
+        "side", F.col("i").cast("int").alias("i"), F.round("v", 6).alias("v"))
+
+
+def fixed_blocks(spark, d, width):
+    """Two ``width x width`` matrices taken from the embedding table rows."""
+    rows = (X._vectors(spark, d).filter(F.col("vec_id") < 2 * width)
+            .select("vec_id", "vec").collect())  # bounded: 2 * width rows
+    m = np.zeros((2 * width, width))
+    for r in rows:
+        m[r["vec_id"]] = np.asarray(r["vec"][:width])
+    return m[:width], m[width:]
+
+
+@query("project_concat", D.with_fx("""
+SELECT q.conv_id, q.turn, CAST((m.vec_id // w.d) * w.d + m.j - 1 AS BIGINT) AS dim, round(sum(q.x * m.m), 6) AS value
+FROM sv q, w, (SELECT vec_id, unnest(vec) AS m, generate_subscripts(vec, 1) AS j FROM fx_emb) m
+WHERE q.side = 'q' AND m.vec_id < 2 * w.d AND m.vec_id % w.d = q.i - 1
+GROUP BY q.conv_id, q.turn, m.vec_id // w.d, m.j, w.d""", "fx_word_vectors", "fx_pairs", "fx_emb",
+                                    extra=_DUCK_GRAM + [("w", "SELECT max(len(vec)) AS d FROM fx_word_vectors")]))
+def project_concat(spark, d):
+    f = qa_features(spark, d)
+    width = VEC.width(X.word_vectors(spark, d))
+    m1, m2 = fixed_blocks(spark, d, width)
+    p = CCA.project(f.select("conv_id", "turn", "qv"), "qv", [m1, m2], "pv")
+    return p.select("conv_id", "turn", F.posexplode("pv").alias("dim", "value")).select(
+        "conv_id", "turn", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
+def one_stage(spark, d, k=None):
+    return CCA.fit(qa_features(spark, d), "qv", "av", k)
+
+
+def paraphrase_map(spark, d, k=None):
+    return CCA.fit(paraphrase_features(spark, d), "qv", "av", k)
+
+
+def two_stage(spark, d, k=None):
+    para = paraphrase_map(spark, d)
+    return CCA.fit_two_stage(qa_features(spark, d), "qv", "av", para, k), para
+
+
+@query("cca_one_stage")
+def cca_one_stage(spark, d):
+    return one_stage(spark, d).to_df(spark)
+
+
+@query("cca_paraphrase_map")
+def cca_paraphrase_map(spark, d):
+    return paraphrase_map(spark, d).to_df(spark)
+
+
+@query("cca_two_stage")
+def cca_two_stage(spark, d):
+    return two_stage(spark, d)[0].to_df(spark)
+
+
+@query("cca_scores")
+def cca_scores(spark, d):
+    """Distances of every QA pair under the 0-, 1- and 2-stage models."""
+    f = qa_features(spark, d)
+    m1 = one_stage(spark, d)
+    m2, para = two_stage(spark, d)
+    s0 = CCA.score(f, "qv", "av").select("conv_id", "turn", F.lit(0).alias("stage"), "dist")
+    s1 = CCA.score(f, "qv", "av", m1).select("conv_id", "turn", F.lit(1).alias("stage"), "dist")
+    s2 = CCA.score(f, "qv", "av", m2, para).select("conv_id", "turn", F.lit(2).alias("stage"), "dist")
+    return s0.unionByName(s1).unionByName(s2).withColumn("dist", F.round("dist", 6))

@@ -68,10 +68,12 @@ _DUCK_SENT = _DUCK_UNK + [
     "SELECT CAST(i AS BIGINT) AS dim, round(x, 6) AS value FROM (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS i FROM unk)",
     "fx_word_vectors", extra=_DUCK_UNK))
 def unknown_vector(spark, d):
-    vals = unknown_for(spark, d)
-    rows = [(i, round(float(v), 6)) for i, v in enumerate(vals)]
-    # The vector is computed by a Spark aggregation; here it is laid out long.
-    return spark.createDataFrame(rows, "dim bigint, value double")
+    vectors = X.word_vectors(spark, d)
+    counts = VEC.corpus_counts(VEC.corpus_lines(X.corpus(spark, d)))
+    u = VEC.unknown_vector(counts, vectors)
+    zeros = F.array_repeat(F.lit(0.0), vectors.select(F.max(F.size("vec"))).scalar())
+    return u.select(F.posexplode(F.coalesce("vec", zeros)).alias("dim", "value")).select(
+        F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
 
 
 @query("low_frequency_tokens", D.with_fx("SELECT token FROM rare", "fx_word_vectors", extra=_DUCK_UNK))
