@@ -1 +1,116 @@
-"""Registered queries."""
+"""Vocabulary expansion queries: in-cluster neighbours, centroids, fallback chain, token set."""
+
+from __future__ import annotations
+
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from qaspark.operators import generate as G
+from qaspark.operators import neighbors as NB
+from qaspark.plans import duck as D
+from qaspark.plans.catalog import query
+from qaspark.plans.q_generate import TAB, _duck_answer_tokens, _duck_train_lines
+from qaspark.sources import fixtures as X
+
+
+def _other_labelled(spark, d):
+    lab = X.clustered(spark, d).select("token", "label")
+    return X.model_other(spark, d).join(lab, "token")
+
+
+_DUCK_O = [("o", """SELECT o.token, c.label, o.vec FROM fx_model_other o JOIN fx_clustered c ON c.token = o.token"""),
+           ("near", """SELECT a.token AS qtoken, b.token, round(1 - list_cosine_similarity(a.vec, b.vec), 6) AS dist
+                       FROM o a JOIN o b ON a.label = b.label AND a.token <> b.token""")]
+
+
+@query("cluster_topk", D.with_fx("""
+SELECT qtoken, rank, token, dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY qtoken ORDER BY dist, token) AS rank FROM near)
+WHERE rank <= 5""", "fx_model_other", "fx_clustered", extra=_DUCK_O))
+def cluster_topk(spark, d):
+    o = _other_labelled(spark, d)
+    q = o.select(F.col("token").alias("qtoken"), "label", F.col("vec").alias("qvec"))
+    r = NB.topk_in_group(q, o.select("token", "label", "vec"), NB.TOP)
+    return r.select("qtoken", F.col("rank").cast("long").alias("rank"), "token", F.round("dist", 6).alias("dist"))
+
+
+def expansion(spark, d):
+    toks = X.clustered(spark, d).select("token")
+    lab = X.clustered(spark, d).select("token", "label")
+    return NB.expand_vocabulary(toks, X.model_main(spark, d), X.model_other(spark, d), lab)
+
+
+_DUCK_EXPAND = _DUCK_O + [
+    ("toks", "SELECT DISTINCT token FROM fx_clustered"),
+    ("direct", "SELECT t.token, 'direct' AS how, t.token AS source FROM toks t JOIN fx_model_main m ON m.token = t.token"),
+    ("need", "SELECT token FROM toks WHERE token NOT IN (SELECT token FROM fx_model_main)"),
+    ("top5", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qtoken ORDER BY dist, token) AS rank
+                               FROM near WHERE qtoken IN (SELECT token FROM need)) WHERE rank <= 5"""),
+    ("best", """SELECT qtoken, arg_min(token, rank) AS source FROM top5
+                WHERE token IN (SELECT token FROM fx_model_main) GROUP BY qtoken"""),
+    ("expanded", "SELECT qtoken AS token, 'expanded' AS how, source FROM best"),
+]
+
+
+@query("vocab_expansion", D.with_fx("SELECT * FROM direct UNION ALL SELECT * FROM expanded",
+                                    "fx_model_main", "fx_model_other", "fx_clustered", extra=_DUCK_EXPAND))
+def vocab_expansion(spark, d):
+    return expansion(spark, d).select("token", "how", "source")
+
+
+@query("expansion_counts", D.with_fx("""
+SELECT (SELECT count(*) FROM toks) AS tokens,
+       (SELECT count(*) FROM direct) + (SELECT count(*) FROM expanded) AS found,
+       (SELECT count(*) FROM expanded) AS expanded""", "fx_model_main", "fx_model_other", "fx_clustered",
+                                     extra=_DUCK_EXPAND))
+def expansion_counts(spark, d):
+    e = expansion(spark, d).groupBy().agg(
+        F.count(F.lit(1)).alias("found"),
+        F.sum(F.when(F.col("how") == "expanded", 1).otherwise(0)).cast("long").alias("expanded"))
+    n = X.clustered(spark, d).select("token").distinct().select(F.count(F.lit(1))).scalar()
+    return e.select(n.alias("tokens"), "found", "expanded")
+
+
+@query("assign_centroid", D.with_fx("""
+SELECT token, label FROM (
+  SELECT *, row_number() OVER (PARTITION BY token ORDER BY dd, label) AS rn FROM (
+    SELECT p.token, c.label, round(sqrt(sum((p.x - c.x) * (p.x - c.x))), 9) AS dd
+    FROM (SELECT token, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM fx_clustered) p
+    JOIN (SELECT label, i, avg(x) AS x FROM (
+            SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM fx_clustered)
+          GROUP BY label, i) c ON c.i = p.i
+    GROUP BY p.token, c.label))
+WHERE rn = 1""", "fx_clustered"))
+def assign_centroid(spark, d):
+    c = X.clustered(spark, d)
+    return NB.assign_nearest(c.select("token", "vec"), NB.centroids(c))
+
+
+@query("kmeans_groups")
+def kmeans_groups(spark, d, k: int = 10, seed: int = 1):
+    """K-means over the other model's vectors; ``(token, label)``."""
+    o = X.model_other(spark, d).select("token", array_to_vector("vec").alias("features"))
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(o)
+    return model.transform(o).select("token", "label")
+
+
+@query("token_set", D.with_fx(f"""
+SELECT DISTINCT token FROM (
+  SELECT unnest({D.split_ws('f[1]')}) AS token FROM (
+    SELECT string_split({D.strip('value')}, {TAB}) AS f FROM train_lines) WHERE len(f) = 2
+  UNION ALL
+  SELECT unnest({_duck_answer_tokens('f[2]')}) FROM (
+    SELECT string_split({D.strip('value')}, {TAB}) AS f FROM train_lines) WHERE len(f) = 2
+  UNION ALL SELECT unnest({D.split_ws(D.no_symbol('q1'))}) FROM fx_paraphrases
+  UNION ALL SELECT unnest({D.split_ws(D.no_symbol('q2'))}) FROM fx_paraphrases)""",
+                                "fx_triples", "fx_paraphrases", extra=_duck_train_lines()))
+def token_set(spark, d):
+    tr = G.read_train(X.train_lines(spark, d), mode="raw_token")
+    pp = G.read_paraphrases(X.paraphrase_lines(spark, d), mode="raw_token")
+    parts = [tr.select(F.explode("q").alias("token")), tr.select(F.explode("a").alias("token")),
+             pp.select(F.explode("q1").alias("token")), pp.select(F.explode("q2").alias("token"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
