@@ -50,14 +50,16 @@ def circular_correlation(a, b, d: int) -> Column:
     """``c_k = sum_i a_i * b_{(k+i) mod d}``; an all-zero operand is the identity.
 
     Native form (interpreted higher-order functions, O(d^2)); the feature
-    pipeline uses the FFT form in :mod:`qaspark.operators.holographic`.
-    """
-    a, b = _c(a), _c(b)
+    pipeline uses the FFT form in :mod:`qaspark.operators.holographic`."""
     idx = F.sequence(F.lit(0), F.lit(d - 1))
-    full = F.transform(idx, lambda k: F.aggregate(
-        idx, F.lit(0.0),
-        lambda acc, i: acc + F.element_at(a, i + 1) * F.element_at(b, F.pmod(k + i, F.lit(d)) + 1)))
-    return F.when(is_zero(a), b).when(is_zero(b), a).otherwise(full)
+
+    def body(p):
+        x, y = p["a"], p["b"]
+        full = F.transform(idx, lambda k: F.aggregate(
+            idx, F.lit(0.0),
+            lambda acc, i: acc + F.element_at(x, i + 1) * F.element_at(y, F.pmod(k + i, F.lit(d)) + 1)))
+        return F.when(is_zero(x), y).when(is_zero(y), x).otherwise(full)
+    return let(F.struct(_c(a).alias("a"), _c(b).alias("b")), body)
 
 
 def fold_correlation(vecs, d: int) -> Column:

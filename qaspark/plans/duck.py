@@ -134,7 +134,8 @@ def with_fx(body: str, *names: str, extra: list[tuple[str, str]] | None = None)
     for n in names:
         visit(n)
     ctes = [f"{n} AS ({FX[n][1]})" for n in order]
-    ctes += [f"{n} AS ({sql})" for n, sql in (extra or [])]
+    ctes += [f"{n} AS {sql}" if sql.startswith("MATERIALIZED") else f"{n} AS ({sql})"
+             for n, sql in (extra or [])]
     if not ctes:
         return body
     return "WITH " + ",\n".join(ctes) + "\n" + body

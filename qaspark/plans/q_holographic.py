@@ -1 +1,77 @@
-"""Registered queries."""
+"""Circular-correlation queries: pairwise, answer structure, sentence features."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from qaspark.functions import text as T
+from qaspark.functions import vector as V
+from qaspark.operators import holographic as H
+from qaspark.operators import vectors as VEC
+from qaspark.plans import duck as D
+from qaspark.plans.catalog import query
+from qaspark.plans.q_vectors import unknown_for
+from qaspark.sources import fixtures as X
+
+
+def _duck_cc(a: str, b: str) -> str:
+    """DuckDB circular correlation of two DOUBLE[] expressions (zero operand = identity)."""
+    full = (f"list_transform(range(0, len({a})), lambda k: list_sum(list_transform(range(0, len({a})), "
+            f"lambda i: {a}[i + 1] * {b}[((k + i) % len({a})) + 1])))")
+    return (f"(CASE WHEN len(list_filter({a}, lambda z: z <> 0)) = 0 THEN {b} "
+            f"WHEN len(list_filter({b}, lambda z: z <> 0)) = 0 THEN {a} ELSE {full} END)")
+
+
+_DUCK_PAIRS = [("pairs", """
+    SELECT x.idx, x.vec AS a,
+           CASE WHEN x.idx % 50 = 0 THEN list_transform(y.vec, lambda v: 0.0) ELSE y.vec END AS b
+    FROM fx_clustered x JOIN fx_clustered y ON y.idx = x.idx + 1""")]
+
+
+@query("circular_correlation", D.with_fx(f"""
+SELECT idx, CAST(k - 1 AS BIGINT) AS dim, round(c[k], 6) + 0.0 AS value
+FROM (SELECT idx, c, unnest(range(1, len(c) + 1)) AS k FROM (SELECT idx, {_duck_cc('a', 'b')} AS c FROM pairs))""",
+                                         "fx_clustered", extra=_DUCK_PAIRS))
+def circular_correlation(spark, d):
+    c = X.clustered(spark, d)
+    width = VEC.width(c)
+    x = c.select("idx", F.col("vec").alias("a"))
+    y = c.select((F.col("idx") - 1).alias("idx"), F.col("vec").alias("b"), (F.col("idx") - 1).alias("i0"))
+    p = x.join(y, "idx").withColumn(
+        "b", F.when(F.col("idx") % 50 == 0, V.zeros(width)).otherwise(F.col("b")))
+    out = p.select("idx", V.circular_correlation("a", "b", width).alias("c"))
+    return out.select("idx", F.posexplode("c").alias("dim", "value")).select(
+        "idx", F.col("dim").cast("long").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query("answer_holographic", D.with_fx(f"""
+SELECT idx, CAST(k - 1 AS BIGINT) AS dim, round(h[k], 6) + 0.0 AS value
+FROM (SELECT idx, h, unnest(range(1, len(h) + 1)) AS k FROM (
+  SELECT idx, {_duck_cc('rr', 'ee')} AS h FROM parts))""", "fx_clustered", extra=[
+    ("quad", """SELECT a.idx, a.vec AS e1, b.vec AS r1, c.vec AS r2, e.vec AS e2
+               FROM fx_clustered a JOIN fx_clustered b ON b.idx = a.idx + 1
+                    JOIN fx_clustered c ON c.idx = a.idx + 2 JOIN fx_clustered e ON e.idx = a.idx + 3"""),
+    ("parts", f"MATERIALIZED (SELECT idx, {_duck_cc('r1', 'r2')} AS rr, {_duck_cc('e1', 'e2')} AS ee FROM quad)"),
+]))
+def answer_holographic(spark, d):
+    """Answers ``e1|r1 r2|e2`` over consecutive vocabulary words with their
+    own vectors: ``fold(r) * (fold(e1) * fold(e2))``."""
+    c = X.clustered(spark, d).select("idx", "vec")
+    width = VEC.width(c)
+    def at(off, name):
+        return c.select((F.col("idx") - off).alias("idx"), F.col("vec").alias(name))
+    j = at(0, "e1").join(at(1, "r1"), "idx").join(at(2, "r2"), "idx").join(at(3, "e2"), "idx")
+    s = j.select("idx", F.array("e1").alias("e1"), F.array("r1", "r2").alias("r"), F.array("e2").alias("e2"))
+    h = s.select("idx", H.answer_structure("e1", "r", "e2", width).alias("h"))
+    return h.select("idx", F.posexplode("h").alias("dim", "value")).select(
+        "idx", F.col("dim").cast("long").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query("holographic_features")
+def holographic_features(spark, d):
+    """Flat holographic fold over every word of every QA-pair question (FFT path)."""
+    vectors = X.word_vectors(spark, d)
+    unknown = unknown_for(spark, d, vectors)
+    p = X.qa_pairs(spark, d).select("conv_id", "turn", T.split_ws(F.lower("q")).alias("tokens"))
+    h = H.sentence_holographic(p, ["conv_id", "turn"], "tokens", vectors, unknown)
+    return h.select("conv_id", "turn", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
