@@ -1 +1,117 @@
-"""Registered queries."""
+"""Sink/source round trips (written under the shared working folder, read
+back) and the corpus union."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from qaspark.functions import text as T
+from qaspark.operators import coverage as C
+from qaspark.operators import generate as G
+from qaspark.operators import vectors as VEC
+from qaspark.plans import duck as D
+from qaspark.plans import pipelines as P
+from qaspark.plans.catalog import query
+from qaspark.session import scratch_path
+from qaspark.sinks import files as K
+from qaspark.sources import files as S
+from qaspark.sources import fixtures as X
+
+
+@query("corpus_union", D.with_fx(f"""
+SELECT 'corpus' AS src, doc_id * 100000 + line_no AS sid, array_to_string(toks, ' ') AS tokens FROM (
+  SELECT doc_id, generate_subscripts(lines, 1) - 1 AS line_no, {D.split_ws(D.no_symbol('unnest(lines)'))} AS toks
+  FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS lines FROM documents))
+WHERE len(toks) > 0
+UNION ALL
+SELECT 'para1', conv_id * 1000 + turn, array_to_string({D.split_ws(D.no_symbol('q1'))}, ' ') FROM fx_paraphrases
+WHERE len({D.split_ws(D.no_symbol('q1'))}) > 0
+UNION ALL
+SELECT 'para2', conv_id * 1000 + turn, array_to_string({D.split_ws(D.no_symbol('q2'))}, ' ') FROM fx_paraphrases
+WHERE len({D.split_ws(D.no_symbol('q2'))}) > 0""", "fx_paraphrases"))
+def corpus_union(spark, d):
+    lines = VEC.corpus_lines(X.corpus(spark, d)).select(
+        F.lit("corpus").alias("src"), (F.col("doc_id") * 100000 + F.col("line_no")).alias("sid"), "tokens")
+    pp = X.paraphrase_pairs(spark, d)
+    sid = F.col("conv_id") * 1000 + F.col("turn")
+    p1 = pp.select(F.lit("para1").alias("src"), sid.alias("sid"), T.split_ws(T.no_symbol("q1")).alias("tokens"))
+    p2 = pp.select(F.lit("para2").alias("src"), sid.alias("sid"), T.split_ws(T.no_symbol("q2")).alias("tokens"))
+    u = lines.unionByName(p1).unionByName(p2).filter(F.size("tokens") > 0)
+    return u.select("src", "sid", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("roundtrip_pairs")
+def roundtrip_pairs(spark, d):
+    """Generated training pairs -> TSV -> read back through the line reader."""
+    path = scratch_path(spark, "pairs")
+    K.write_tsv(G.expand_triples(X.triples(spark, d)), path, ["q", "a"])
+    lines = S.read_lines(spark, path)
+    return G.read_train(lines, mode="raw").drop("row_id")
+
+
+@query("roundtrip_matrix")
+def roundtrip_matrix(spark, d):
+    """Dense features written in row-bounded segments and read back."""
+    path = scratch_path(spark, "matrix")
+    K.write_segments(P.featurize(spark, d, "avg"), path, rows_per_file=100)
+    return S.read_table(spark, path)
+
+
+@query("roundtrip_sparse")
+def roundtrip_sparse(spark, d):
+    path = scratch_path(spark, "sparse")
+    K.write_table(P.featurize(spark, d, "unigram"), path)
+    return S.read_table(spark, path)
+
+
+@query("roundtrip_model")
+def roundtrip_model(spark, d):
+    from qaspark.operators import cca as CCA
+    path = scratch_path(spark, "model")
+    m = CCA.fit(P.featurize(spark, d, "avg"), "qv", "av")
+    K.write_table(m.to_df(spark), path)
+    back = CCA.CCAModel.from_df(S.read_table(spark, path))
+    return S.read_table(spark, path).withColumn("same", F.lit(bool((abs(back.q - m.q) < 1e-12).all())))
+
+
+@query("roundtrip_vocab")
+def roundtrip_vocab(spark, d):
+    from qaspark.plans.q_vocab import train_vocab
+    path = scratch_path(spark, "vocab")
+    K.write_table(train_vocab(spark, d, 1), path)
+    return S.read_table(spark, path)
+
+
+@query("roundtrip_converted")
+def roundtrip_converted(spark, d):
+    """Convert-and-write with skip-if-present: the second write is ignored."""
+    path = scratch_path(spark, "converted")
+    pp = G.read_paraphrases(X.paraphrase_lines(spark, d), mode="raw_token")
+    out = pp.select("row_id", F.array_join("q1", " ").alias("q1"), F.array_join("q2", " ").alias("q2"))
+    K.write_table(out, path, mode="ignore")
+    K.write_table(out.limit(0), path, mode="ignore")
+    return S.read_table(spark, path)
+
+
+@query("roundtrip_filtered")
+def roundtrip_filtered(spark, d):
+    path = scratch_path(spark, "filtered")
+    p = (X.qa_pairs(spark, d).withColumn("qt", T.split_ws(F.lower("q")))
+         .withColumn("at", T.answer_tokens(F.lower("a"))))
+    kept = C.filter_covered(p, ["conv_id", "turn"], ["qt", "at"], X.covered_tokens(spark, d))
+    # Written as whitespace-joined tokens per side, one pair per line.
+    kept = kept.select("conv_id", "turn", F.array_join("qt", " ").alias("q"), F.array_join("at", " ").alias("a"))
+    K.write_tsv(kept, path, ["q", "a"], order=["conv_id", "turn"])
+    return spark.read.text(path)
+
+
+@query("roundtrip_vectors")
+def roundtrip_vectors(spark, d):
+    """Vectors as ``v1|v2|...`` text and in the header + lines word-vector format."""
+    v = X.word_vectors(spark, d)
+    p1, p2 = scratch_path(spark, "vectext"), scratch_path(spark, "w2v")
+    K.write_vectors_text(v, p1)
+    K.write_word2vec_text(v, p2)
+    a = S.read_vectors_text(spark, p1).select(F.lit("pipe").alias("form"), "token", "vec")
+    b = S.read_word2vec_text(spark, p2).select(F.lit("w2v").alias("form"), "token", "vec")
+    return a.unionByName(b)
