@@ -1,0 +1,17 @@
+"""Partition balancing for CPU-heavy row work."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
+    """Round-robin repartition when ``df`` has fewer partitions than the
+    cluster can run at once, so that per-row work (regex chains, vector
+    lookups) uses every core. Large inputs already have enough splits and
+    pass through without a shuffle."""
+    spark = df.sparkSession
+    want = min_parts or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

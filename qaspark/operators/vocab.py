@@ -15,13 +15,11 @@ MIN_COUNT = 3
 
 
 def side_tokens(pairs: DataFrame, sides: dict[str, str], id_col: str = "row_id") -> DataFrame:
-    """Token arrays per side -> long ``(row_id, side, pos, token)``."""
-    out = None
-    for side, col in sides.items():
-        x = pairs.select(F.col(id_col).alias("row_id"), F.lit(side).alias("side"),
-                         F.posexplode(col).alias("pos", "token"))
-        out = x if out is None else out.unionByName(x)
-    return out
+    """Token arrays per side -> long ``(row_id, side, pos, token)``, in one
+    pass over ``pairs`` (no per-side branch recomputing the upstream)."""
+    both = F.array(*[F.struct(F.lit(side).alias("side"), F.col(col).alias("toks")) for side, col in sides.items()])
+    s = pairs.select(F.col(id_col).alias("row_id"), F.explode(both).alias("s"))
+    return s.select("row_id", F.col("s.side").alias("side"), F.posexplode("s.toks").alias("pos", "token"))
 
 
 def token_counts(tokens: DataFrame, by: tuple[str, ...] = ("side",)) -> DataFrame:

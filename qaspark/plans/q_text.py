@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qaspark.functions import text as T
+from qaspark.operators.partitioning import spread
 from qaspark.plans import duck as D
 from qaspark.plans.catalog import query
 from qaspark.sources.tables import table
@@ -26,7 +27,7 @@ def _texts(spark, d):
     conv = table(spark, d, "conversations").select(
         F.lit("conv").alias("src"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     bench = table(spark, d, "benchmark").select(F.lit("bench").alias("src"), F.col("item_id").alias("id"), "text")
-    u = docs.unionByName(conv).unionByName(bench)
+    u = spread(docs.unionByName(conv).unionByName(bench))
     suffix = F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (F.col("id") % len(SUFFIXES) + 1).cast("int"))
     return u.select("src", "id", F.concat("text", suffix).alias("text"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from qaspark.functions import text as T
+from qaspark.operators.partitioning import spread
 from qaspark.operators.ranking import dense_rank_by
 from qaspark.sources.tables import table
 
@@ -23,7 +24,7 @@ def triples(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     m = F.col("o_orderkey") % 5
     suffix = F.when(m == 0, "-in.r").when(m == 1, "-on.r").otherwise("'s.r")
-    return (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return spread(o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
             .select(F.col("o_orderkey").alias("tid"),
                     F.concat(F.lower("o_orderpriority"), suffix).alias("rel"),
                     F.concat("c_name", F.lit(".e")).alias("e1"),
@@ -31,7 +32,7 @@ def triples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _turns(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return spread(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"))
 
 
 def qa_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +88,7 @@ def alignment_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def doc_tokens(spark: SparkSession, d: str) -> DataFrame:
