@@ -34,7 +34,8 @@ def corpus_counts(lines: DataFrame) -> DataFrame:
 def mean_vector(vecs: DataFrame, col: str = "vec") -> DataFrame:
     """Element-wise mean of a vector column (one row; NULL when empty).
     JVM aggregate with partial aggregation, no per-dimension explode."""
-    return vecs.agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(col)))).alias(col))
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col(col))))
+    return vecs.agg(F.when(F.count(F.lit(1)) > 0, mean).alias(col))
 
 
 def width(vectors: DataFrame, col: str = "vec") -> int:
@@ -49,8 +50,8 @@ def unknown_vector(counts: DataFrame, vectors: DataFrame, rare_max: int = RARE_M
     ``vec`` NULL if there are none) plus their count."""
     rare = counts.filter(F.col("count") <= rare_max).select("token")
     owned = rare.join(vectors, "token")
-    return owned.agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("vec")))).alias("vec"),
-                     F.count(F.lit(1)).alias("n_rare"))
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("vec"))))
+    return owned.agg(F.when(F.count(F.lit(1)) > 0, mean).alias("vec"), F.count(F.lit(1)).alias("n_rare"))
 
 
 def unknown_values(counts: DataFrame, vectors: DataFrame, d: int, rare_max: int = RARE_MAX_COUNT) -> list[float]:
@@ -86,7 +87,7 @@ def sentence_vectors(sentences: DataFrame, ids: Sequence[str], tokens_col: str,
     live = looked.filter(~V.is_zero("vec"))
     means = live.groupBy(*ids).agg(Summarizer.mean(array_to_vector(F.col("vec"))).alias("m"))
     return (sentences.select(*ids).join(means, ids, "left")
-            .select(*ids, F.coalesce(vector_to_array("m"), V.zeros(d)).alias("vec")))
+            .select(*ids, F.when(F.col("m").isNotNull(), vector_to_array("m")).otherwise(V.zeros(d)).alias("vec")))
 
 
 def pair_distance(qv: DataFrame, av: DataFrame, ids: Sequence[str]) -> DataFrame:
