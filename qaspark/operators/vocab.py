@@ -26,10 +26,28 @@ def token_counts(tokens: DataFrame, by: tuple[str, ...] = ("side",)) -> DataFram
     return tokens.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("count"))
 
 
-def build_vocab(tokens: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+def weighted_token_counts(texts: DataFrame, tokenizers: dict) -> DataFrame:
+    """Token counts per side from raw texts, tokenising each distinct text
+    once: ``texts`` has one column per side; ``tokenizers`` maps side ->
+    (column, Column function text -> token array). Repeated sentences are
+    pre-aggregated to (text, multiplicity) before the heavy normalisation."""
+    out = None
+    for side, (col, fn) in tokenizers.items():
+        distinct = texts.groupBy(F.col(col).alias("text")).agg(F.count(F.lit(1)).alias("mult"))
+        toks = distinct.select("mult", fn(F.col("text")).alias("toks"))
+        c = (toks.select("mult", F.explode("toks").alias("token"))
+             .groupBy("token").agg(F.sum("mult").alias("count"))
+             .select(F.lit(side).alias("side"), "token", "count"))
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def build_vocab(tokens: DataFrame, min_count: int = MIN_COUNT, counted: bool = False) -> DataFrame:
     """``(side, token, idx)``: tokens seen more than ``min_count`` times on a
-    side, numbered from 1 in token order; UNKNOWN takes index 0."""
-    counts = token_counts(tokens).filter((F.col("count") > min_count) & (F.col("token") != UNKNOWN_TOKEN))
+    side, numbered from 1 in token order; UNKNOWN takes index 0. ``tokens``
+    is long ``(side, token)`` or, with ``counted``, ``(side, token, count)``."""
+    counts = tokens if counted else token_counts(tokens)
+    counts = counts.filter((F.col("count") > min_count) & (F.col("token") != UNKNOWN_TOKEN))
     ranked = dense_rank_by(counts.select("side", "token"), ["side"], [F.col("token")], "idx")
     unknown = counts.select("side").distinct().select(
         "side", F.lit(UNKNOWN_TOKEN).alias("token"), F.lit(UNKNOWN_INDEX).cast("long").alias("idx"))

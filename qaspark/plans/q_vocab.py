@@ -19,7 +19,15 @@ def train_tokens(spark, d, grams=1):
 
 
 def train_vocab(spark, d, grams=1):
-    return VO.build_vocab(train_tokens(spark, d, grams))
+    """Vocabulary of the training pairs (questions tokenised and n-grammed,
+    answers split on ``|``), each distinct sentence normalised once."""
+    from qaspark.functions import text as T
+    f = G._fields(X.train_lines(spark, d), 2)
+    counts = VO.weighted_token_counts(f, {
+        "q": ("f0", lambda c: T.ngrams(T.split_ws(T.tokenize(c)), grams)),
+        "a": ("f1", lambda c: T.answer_tokens(T.tokenize(c))),
+    })
+    return VO.build_vocab(counts, counted=True)
 
 
 def test_rows(spark, d, mode="raw_token"):

@@ -16,6 +16,21 @@ from qaspark.operators.partitioning import spread
 from qaspark.operators.ranking import dense_rank_by
 from qaspark.sources.tables import table
 
+_ARTIFACTS: dict[tuple, str] = {}
+
+
+def artifact(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """A derived table written once per session under the shared working
+    folder and read back afterwards (as the pipeline keeps its vocabulary
+    and vector files); cuts lineage and survives executor loss."""
+    from qaspark.session import scratch_path
+    key = (id(spark), spark.sparkContext.applicationId, d, name)
+    if key not in _ARTIFACTS:
+        path = scratch_path(spark, f"artifact-{name}")
+        build(spark, d).write.mode("overwrite").parquet(path)
+        _ARTIFACTS[key] = path
+    return spark.read.parquet(_ARTIFACTS[key])
+
 
 def triples(spark: SparkSession, d: str) -> DataFrame:
     """Knowledge triples ``(tid, rel, e1, e2)`` with ``.r`` / ``.e`` suffixes."""
@@ -97,12 +112,16 @@ def doc_tokens(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", F.posexplode(T.split_ws(F.lower("text"))).alias("pos", "token"))
 
 
-def vocab(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens seen more than 3 times, numbered from 1 in token order."""
+def _vocab(spark: SparkSession, d: str) -> DataFrame:
     counts = doc_tokens(spark, d).groupBy("token").count().filter(F.col("count") > 3)
     return dense_rank_by(counts.select("token"), [], [F.col("token")], "idx")
 
 
+def vocab(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens seen more than 3 times, numbered from 1 in token order."""
+    return artifact(spark, d, "vocab", _vocab)
+
+
 def _vectors(spark, d):
     return table(spark, d, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
@@ -110,6 +129,10 @@ def _vectors(spark, d):
 
 def word_vectors(spark: SparkSession, d: str) -> DataFrame:
     """``(token, vec)``: vocabulary words mapped onto the embedding table."""
+    return artifact(spark, d, "word_vectors", _word_vectors)
+
+
+def _word_vectors(spark: SparkSession, d: str) -> DataFrame:
     e = _vectors(spark, d)
     n = table(spark, d, "embeddings").select(F.count(F.lit(1))).scalar()
     v = vocab(spark, d).withColumn("vid", F.col("idx") % n)
@@ -118,6 +141,10 @@ def word_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def clustered(spark: SparkSession, d: str) -> DataFrame:
     """``(token, idx, vec, label)``: one word per vector with its given cluster."""
+    return artifact(spark, d, "clustered", _clustered)
+
+
+def _clustered(spark: SparkSession, d: str) -> DataFrame:
     e = _vectors(spark, d)
     v = vocab(spark, d)
     return v.join(e, e.vec_id == v.idx - 1).select("token", "idx", "vec", "label")
