@@ -121,3 +121,11 @@ def cca_scores(spark, d):
     s1 = CCA.score(f, "qv", "av", m1).select("conv_id", "turn", F.lit(1).alias("stage"), "dist")
     s2 = CCA.score(f, "qv", "av", m2, para).select("conv_id", "turn", F.lit(2).alias("stage"), "dist")
     return s0.unionByName(s1).unionByName(s2).withColumn("dist", F.round("dist", 6))
+
+
+@query("sparse_cca")
+def sparse_cca(spark, d, k: int = 10):
+    """CCA over unigram count features (randomized truncated SVD, no Gram matrix)."""
+    from qaspark.operators import sparse_cca as SC
+    from qaspark.plans import pipelines as P
+    return SC.fit_sparse(P.featurize(spark, d, "unigram"), k=k).to_df(spark)

@@ -1,0 +1,10 @@
+"""Streaming: nothing is owed here.
+
+The original pipeline has no event time, watermarks, windows of time, state
+or late data; its only "stream" is an in-process producer/consumer queue that
+feeds features to scoring workers, which Spark's task scheduling replaces.
+All operators in :mod:`qaspark.operators` are DataFrame -> DataFrame
+functions; the stateless ones (text normalisation, token lookups, projection,
+cosine scoring) apply unchanged to a streaming DataFrame, e.g. inside
+``writeStream.foreachBatch`` for incremental scoring of newly arriving pairs.
+"""

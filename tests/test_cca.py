@@ -41,3 +41,17 @@ def test_scale_invariance_and_scoring(spark):
     u, v = q @ scaled.q, a @ scaled.a
     d2 = 1 - (u * v).sum(1) / (np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1))
     assert [s1[i] for i in range(300)] == pytest.approx(d2.tolist(), abs=1e-9)
+
+
+def test_sparse_cca_matches_dense_svd(spark):
+    from qaspark.operators import sparse_cca as SC
+    rng = np.random.default_rng(3)
+    rows = []
+    for rid in range(40):
+        for side, w in (("q", 8), ("a", 6)):
+            for idx in rng.choice(w, size=3, replace=False):
+                rows.append((rid, side, int(idx), float(rng.integers(1, 4))))
+    df = spark.createDataFrame(rows, "row_id long, side string, idx long, cnt double")
+    m = SC.fit_sparse(df, k=3, oversample=3, power_iters=2)
+    s_dense = np.linalg.svd(SC.dense_reference(rows, 8, 6), compute_uv=False)
+    assert m.s == pytest.approx(s_dense[:3], rel=1e-6)
