@@ -90,6 +90,18 @@ def sentence_vectors(sentences: DataFrame, ids: Sequence[str], tokens_col: str,
             .select(*ids, F.when(F.col("m").isNotNull(), vector_to_array("m")).otherwise(V.zeros(d)).alias("vec")))
 
 
+def pivot_sides(v: DataFrame, ids: Sequence[str], sides: dict, side_col: str = "side",
+                vec_col: str = "vec") -> DataFrame:
+    """Long ``(ids, side, vec)`` -> one row per ``ids`` with a column per side,
+    in one aggregation (the upstream plan runs once, not once per side)."""
+    aggs = [F.max_by(vec_col, F.col(side_col) == F.lit(val)).alias(out) for out, val in sides.items()]
+    present = [F.max((F.col(side_col) == F.lit(val)).cast("int")).alias(f"_has_{out}") for out, val in sides.items()]
+    g = v.groupBy(*ids).agg(*aggs, *present)
+    for out in sides:
+        g = g.filter(F.col(f"_has_{out}") == 1)
+    return g.drop(*[f"_has_{out}" for out in sides])
+
+
 def pair_distance(qv: DataFrame, av: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Cosine distance between question and answer vectors keyed by ``ids``."""
     j = qv.withColumnRenamed("vec", "qv").join(av.withColumnRenamed("vec", "av"), list(ids))

@@ -85,9 +85,7 @@ def featurize(spark: SparkSession, d: str, kind: str, vectors: DataFrame | None
         v = H.sentence_holographic(sides, ids, "tokens", vectors, unknown)
     else:
         raise ValueError(f"unknown feature {kind}")
-    q = v.filter(F.col("side") == "q").select("conv_id", "turn", F.col("vec").alias("qv"))
-    a = v.filter(F.col("side") == "a").select("conv_id", "turn", F.col("vec").alias("av"))
-    return q.join(a, ["conv_id", "turn"])
+    return VEC.pivot_sides(v, ["conv_id", "turn"], {"qv": "q", "av": "a"})
 
 
 def turn_vectors(spark: SparkSession, d: str, vectors: DataFrame, unknown: Sequence[float]) -> DataFrame:
@@ -157,9 +155,7 @@ def paraphrase_features(spark: SparkSession, d: str, vectors: DataFrame, unknown
     s = (p.select("conv_id", "turn", F.lit(1).alias("side"), T.split_ws(T.no_symbol("q1")).alias("tokens"))
          .unionByName(p.select("conv_id", "turn", F.lit(2).alias("side"), T.split_ws(T.no_symbol("q2")).alias("tokens"))))
     v = VEC.sentence_vectors(s, ["conv_id", "turn", "side"], "tokens", vectors, unknown)
-    q1 = v.filter(F.col("side") == 1).select("conv_id", "turn", F.col("vec").alias("qv"))
-    q2 = v.filter(F.col("side") == 2).select("conv_id", "turn", F.col("vec").alias("av"))
-    return q1.join(q2, ["conv_id", "turn"])
+    return VEC.pivot_sides(v, ["conv_id", "turn"], {"qv": 1, "av": 2})
 
 
 def sweep(spark: SparkSession, d: str, embeddings: Sequence[str] = ("main", "other", "expanded"),

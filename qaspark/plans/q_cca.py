@@ -16,10 +16,7 @@ from qaspark.operators import vectors as VEC
 
 def qa_features(spark, d):
     """``(conv_id, turn, qv, av)``: mean-vector features of the QA pairs."""
-    pv = pair_vectors(spark, d)
-    qv = pv.filter(F.col("side") == "q").select("conv_id", "turn", F.col("vec").alias("qv"))
-    av = pv.filter(F.col("side") == "a").select("conv_id", "turn", F.col("vec").alias("av"))
-    return qv.join(av, ["conv_id", "turn"])
+    return VEC.pivot_sides(pair_vectors(spark, d), ["conv_id", "turn"], {"qv": "q", "av": "a"})
 
 
 def paraphrase_features(spark, d):
@@ -30,9 +27,7 @@ def paraphrase_features(spark, d):
              .unionByName(p.select("conv_id", "turn", F.lit(2).alias("side"),
                                    T.split_ws(T.no_symbol("q2")).alias("tokens"))))
     sv = VEC.sentence_vectors(sents, ["conv_id", "turn", "side"], "tokens", vectors, unknown)
-    q1 = sv.filter(F.col("side") == 1).select("conv_id", "turn", F.col("vec").alias("qv"))
-    q2 = sv.filter(F.col("side") == 2).select("conv_id", "turn", F.col("vec").alias("av"))
-    return q1.join(q2, ["conv_id", "turn"])
+    return VEC.pivot_sides(sv, ["conv_id", "turn"], {"qv": 1, "av": 2})
 
 
 _DUCK_GRAM = _DUCK_SENT

@@ -28,10 +28,9 @@ def pair_vectors(spark, d, vectors=None, unknown=None):
 
 
 def qa_distance(spark, d):
-    pv = pair_vectors(spark, d)
-    qv = pv.filter(F.col("side") == "q").drop("side")
-    av = pv.filter(F.col("side") == "a").drop("side")
-    return VEC.pair_distance(qv, av, ["conv_id", "turn"])
+    from qaspark.functions.vector import cosine_distance
+    pv = VEC.pivot_sides(pair_vectors(spark, d), ["conv_id", "turn"], {"qv": "q", "av": "a"})
+    return pv.select("conv_id", "turn", cosine_distance("qv", "av").alias("dist"))
 
 
 # ---- DuckDB ---------------------------------------------------------------
