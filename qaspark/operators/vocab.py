@@ -29,17 +29,20 @@ def token_counts(tokens: DataFrame, by: tuple[str, ...] = ("side",)) -> DataFram
 def weighted_token_counts(texts: DataFrame, tokenizers: dict) -> DataFrame:
     """Token counts per side from raw texts, tokenising each distinct text
     once: ``texts`` has one column per side; ``tokenizers`` maps side ->
-    (column, Column function text -> token array). Repeated sentences are
-    pre-aggregated to (text, multiplicity) before the heavy normalisation."""
-    out = None
-    for side, (col, fn) in tokenizers.items():
-        distinct = texts.groupBy(F.col(col).alias("text")).agg(F.count(F.lit(1)).alias("mult"))
-        toks = distinct.select("mult", fn(F.col("text")).alias("toks"))
-        c = (toks.select("mult", F.explode("toks").alias("token"))
-             .groupBy("token").agg(F.sum("mult").alias("count"))
-             .select(F.lit(side).alias("side"), "token", "count"))
-        out = c if out is None else out.unionByName(c)
-    return out
+    (column, Column function text -> token array). One pass over ``texts``:
+    sides are exploded together, repeated sentences pre-aggregated to
+    (side, text, multiplicity) before the heavy normalisation."""
+    both = F.array(*[F.struct(F.lit(side).alias("side"), F.col(col).alias("text"))
+                     for side, (col, _) in tokenizers.items()])
+    st = texts.select(F.explode(both).alias("s")).select("s.side", "s.text")
+    distinct = st.groupBy("side", "text").agg(F.count(F.lit(1)).alias("mult"))
+    tok = None
+    for side, (_, fn) in tokenizers.items():
+        e = fn(F.col("text"))
+        tok = F.when(F.col("side") == side, e) if tok is None else tok.when(F.col("side") == side, e)
+    toks = distinct.select("side", "mult", tok.alias("toks"))
+    return (toks.select("side", "mult", F.explode("toks").alias("token"))
+            .groupBy("side", "token").agg(F.sum("mult").alias("count")))
 
 
 def build_vocab(tokens: DataFrame, min_count: int = MIN_COUNT, counted: bool = False) -> DataFrame:
@@ -48,6 +51,10 @@ def build_vocab(tokens: DataFrame, min_count: int = MIN_COUNT, counted: bool = F
     is long ``(side, token)`` or, with ``counted``, ``(side, token, count)``."""
     counts = tokens if counted else token_counts(tokens)
     counts = counts.filter((F.col("count") > min_count) & (F.col("token") != UNKNOWN_TOKEN))
+    # The frequent-token table is small and is read by several branches of
+    # the numbering below; a reliable checkpoint (shared checkpoint folder)
+    # runs the tokenising upstream once and cuts its lineage.
+    counts = counts.checkpoint(eager=True)
     ranked = dense_rank_by(counts.select("side", "token"), ["side"], [F.col("token")], "idx")
     unknown = counts.select("side").distinct().select(
         "side", F.lit(UNKNOWN_TOKEN).alias("token"), F.lit(UNKNOWN_INDEX).cast("long").alias("idx"))
