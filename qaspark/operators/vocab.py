@@ -54,6 +54,8 @@ def build_vocab(tokens: DataFrame, min_count: int = MIN_COUNT, counted: bool = F
     # The frequent-token table is small and is read by several branches of
     # the numbering below; a reliable checkpoint (shared checkpoint folder)
     # runs the tokenising upstream once and cuts its lineage.
+    from qaspark.session import work_dir
+    work_dir(counts.sparkSession)
     counts = counts.checkpoint(eager=True)
     ranked = dense_rank_by(counts.select("side", "token"), ["side"], [F.col("token")], "idx")
     unknown = counts.select("side").distinct().select(
