@@ -73,16 +73,33 @@ def rstrip(col) -> Column:
     return F.regexp_replace(_c(col), r"\s+$", "")
 
 
+def _months(s: Column) -> Column:
+    for i, (name, abbr) in enumerate(MONTHS):
+        s = F.regexp_replace(s, rf"\b{name}\b|\b{abbr}\b", "%02d" % (i + 1))
+    return s
+
+
+def _rewrites(s: Column, rules) -> Column:
+    for pattern, token in rules:
+        s = F.regexp_replace(s, pattern, token)
+    return s
+
+
+# Every month name contains its abbreviation, and every typed rewrite before
+# EMAIL needs a digit: texts without them skip those passes (same result).
+_MONTH_HINT = "|".join(abbr for _, abbr in MONTHS)
+_NUMERIC = TYPED_REWRITES[:7]
+_TAIL = TYPED_REWRITES[7:]
+
+
 def tokenize(col) -> Column:
     """Normalise a sentence: all-upper text is kept; otherwise lower-case,
     months to numbers, then DATE/TIME/MONEY/PRESENT/MTC/NUM/EMAIL tokens."""
     def body(c):
-        s = F.lower(c)
-        for i, (name, abbr) in enumerate(MONTHS):
-            s = F.regexp_replace(s, rf"\b{name}\b|\b{abbr}\b", "%02d" % (i + 1))
-        for pattern, token in TYPED_REWRITES:
-            s = F.regexp_replace(s, pattern, token)
-        return F.when(F.upper(c) == c, c).otherwise(strip(s))
+        low = F.lower(c)
+        m = let(low, lambda x: F.when(x.rlike(_MONTH_HINT), _months(x)).otherwise(x))
+        n = let(m, lambda x: F.when(x.rlike("[0-9]"), _rewrites(x, _NUMERIC)).otherwise(x))
+        return F.when(F.upper(c) == c, c).otherwise(strip(_rewrites(n, _TAIL)))
     return let(_c(col), body)
 
 
