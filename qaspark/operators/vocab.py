@@ -40,7 +40,10 @@ def weighted_token_counts(texts: DataFrame, tokenizers: dict) -> DataFrame:
     for side, (_, fn) in tokenizers.items():
         e = fn(F.col("text"))
         tok = F.when(F.col("side") == side, e) if tok is None else tok.when(F.col("side") == side, e)
-    toks = distinct.select("side", "mult", tok.alias("toks"))
+    # Token arrays of the distinct sentences are written once, so the
+    # explode below reads them instead of re-running the normaliser.
+    from qaspark.session import materialize
+    toks = materialize(distinct.select("side", "mult", tok.alias("toks")), "sentence-tokens")
     return (toks.select("side", "mult", F.explode("toks").alias("token"))
             .groupBy("side", "token").agg(F.sum("mult").alias("count")))
 
@@ -52,11 +55,10 @@ def build_vocab(tokens: DataFrame, min_count: int = MIN_COUNT, counted: bool = F
     counts = tokens if counted else token_counts(tokens)
     counts = counts.filter((F.col("count") > min_count) & (F.col("token") != UNKNOWN_TOKEN))
     # The frequent-token table is small and is read by several branches of
-    # the numbering below; a reliable checkpoint (shared checkpoint folder)
-    # runs the tokenising upstream once and cuts its lineage.
-    from qaspark.session import work_dir
-    work_dir(counts.sparkSession)
-    counts = counts.checkpoint(eager=True)
+    # the numbering below; writing it once (shared working folder) runs the
+    # tokenising upstream once and cuts its lineage.
+    from qaspark.session import materialize
+    counts = materialize(counts, "token-counts")
     ranked = dense_rank_by(counts.select("side", "token"), ["side"], [F.col("token")], "idx")
     unknown = counts.select("side").distinct().select(
         "side", F.lit(UNKNOWN_TOKEN).alias("token"), F.lit(UNKNOWN_INDEX).cast("long").alias("idx"))

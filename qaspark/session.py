@@ -57,3 +57,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused sub-folder of the shared working folder."""
     base = work_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as a Parquet table under the shared working folder
+    and read it back: cuts lineage in one job (a reliable ``checkpoint()``
+    computes the plan twice unless it is cached) and survives executor loss."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
