@@ -48,7 +48,7 @@ def embedding(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def unknown_of(spark: SparkSession, d: str, vectors: DataFrame) -> list[float]:
-    counts = VEC.corpus_counts(VEC.corpus_lines(X.corpus(spark, d)))
+    counts = X.corpus_token_counts(spark, d)
     return VEC.unknown_values(counts, vectors, VEC.width(vectors))
 
 

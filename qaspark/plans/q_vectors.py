@@ -13,7 +13,7 @@ from qaspark.sources import fixtures as X
 
 def unknown_for(spark, d, vectors=None):
     vectors = vectors if vectors is not None else X.word_vectors(spark, d)
-    counts = VEC.corpus_counts(VEC.corpus_lines(X.corpus(spark, d)))
+    counts = X.corpus_token_counts(spark, d)
     return VEC.unknown_values(counts, vectors, VEC.width(vectors))
 
 
@@ -68,7 +68,7 @@ _DUCK_SENT = _DUCK_UNK + [
     "fx_word_vectors", extra=_DUCK_UNK))
 def unknown_vector(spark, d):
     vectors = X.word_vectors(spark, d)
-    counts = VEC.corpus_counts(VEC.corpus_lines(X.corpus(spark, d)))
+    counts = X.corpus_token_counts(spark, d)
     u = VEC.unknown_vector(counts, vectors)
     zeros = F.array_repeat(F.lit(0.0), vectors.select(F.max(F.size("vec"))).scalar())
     return u.select(F.posexplode(F.coalesce("vec", zeros)).alias("dim", "value")).select(
@@ -78,7 +78,7 @@ def unknown_vector(spark, d):
 @query("low_frequency_tokens", D.with_fx("SELECT token FROM rare", "fx_word_vectors", extra=_DUCK_UNK))
 def low_frequency_tokens(spark, d):
     vectors = X.word_vectors(spark, d)
-    counts = VEC.corpus_counts(VEC.corpus_lines(X.corpus(spark, d)))
+    counts = X.corpus_token_counts(spark, d)
     return VEC.low_frequency_tokens(counts, vectors)
 
 

@@ -106,6 +106,12 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def corpus_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """``(token, count)`` over corpus lines (symbol-cleaned), written once per session."""
+    from qaspark.operators import vectors as VEC
+    return artifact(spark, d, "corpus_counts", lambda s, dd: VEC.corpus_counts(VEC.corpus_lines(corpus(s, dd))))
+
+
 def doc_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Lower-cased whitespace tokens of every document ``(doc_id, pos, token)``."""
     return corpus(spark, d).select(
