@@ -18,7 +18,9 @@ def coverage(tokens: DataFrame, models: Sequence[tuple[str, DataFrame]]) -> Data
     ``tokens``: ``(dataset, token)`` occurrences. ``models``: ``(name, df)``
     with a ``token`` column. Occurrences are pre-aggregated to distinct
     ``(dataset, token)`` counts before any join."""
-    occ = tokens.groupBy("dataset", "token").agg(F.count(F.lit(1)).alias("cnt"))
+    from qaspark.session import materialize
+    # Distinct (dataset, token) counts are written once and read by every model pass.
+    occ = materialize(tokens.groupBy("dataset", "token").agg(F.count(F.lit(1)).alias("cnt")), "token-occurrences")
     out = None
     for name, m in models:
         hit = m.select("token").distinct().withColumn("hit", F.lit(1))
