@@ -88,9 +88,9 @@ def assign_nearest(vectors: DataFrame, cents: DataFrame, decimals: int = 9) -> D
     """Nearest centroid (Euclidean) of every ``(token, vec)`` row; ties go to
     the lowest label. Centroids (bounded by the cluster count) are broadcast
     once and matched per Arrow batch with NumPy."""
-    rows = cents.collect()
-    if len(rows) > MAX_CENTROIDS:
+    if cents.count() > MAX_CENTROIDS:
         raise ValueError("too many centroids to broadcast")
+    rows = cents.collect()
     rows.sort(key=lambda r: r["label"])
     labels = np.array([r["label"] for r in rows])
     cm = np.stack([np.asarray(r["vec"], dtype=np.float64) for r in rows])

@@ -59,6 +59,8 @@ def fit_sparse(features: DataFrame, k: int = 100, oversample: int = 10, power_it
     a = f.filter(F.col("side") == "a").drop("side")
     stats = f.groupBy("side").agg(F.max("idx").alias("m")).collect()
     width = {s["side"]: int(s["m"]) + 1 for s in stats}
+    if max(width.values()) * (k + oversample) > MAX_CELLS:
+        raise ValueError("vocabulary too wide for the requested rank")
     n = float(f.select("row_id").distinct().count())
     diag = f.groupBy("side", "idx").agg(F.sum(F.col("cnt") * F.col("cnt")).alias("v")).collect()
     dq, da = np.zeros(width["q"]), np.zeros(width["a"])
