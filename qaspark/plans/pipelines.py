@@ -107,10 +107,11 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_candidates(spark: SparkSession, d: str, vectors: DataFrame, unknown: Sequence[float],
-                     model: CCA.CCAModel | None = None, para: CCA.CCAModel | None = None) -> DataFrame:
+                     model: CCA.CCAModel | None = None, para: CCA.CCAModel | None = None,
+                     turns: DataFrame | None = None) -> DataFrame:
     """Predictions ``(line_no, q, answer, dist)`` and labels for every candidate.
     Each turn is projected once, before the candidate join."""
-    tv = turn_vectors(spark, d, vectors, unknown)
+    tv = turns if turns is not None else turn_vectors(spark, d, vectors, unknown)
     if model is not None:
         qm = model.q if para is None else np.hstack([para.q, para.a]) @ model.q
         qv = CCA.project(tv, "vec", [qm], "pv").select("conv_id", "turn", F.col("pv").alias("qv"))
@@ -128,20 +129,18 @@ def score_candidates(spark: SparkSession, d: str, vectors: DataFrame, unknown: S
 
 
 def evaluate_config(spark: SparkSession, d: str, emb: str = "vectors", stage: int = 0,
-                    direction: str = "asc") -> DataFrame:
-    """Statistics record for one embedding and CCA stage (0, 1 or 2)."""
-    vectors = embedding(spark, d, emb)
-    unknown = unknown_of(spark, d, vectors)
+                    direction: str = "asc", prepared: dict | None = None) -> DataFrame:
+    """Statistics record for one embedding and CCA stage (0, 1 or 2).
+    ``prepared`` (from :func:`prepare`) shares per-embedding work between stages."""
+    p = prepared or prepare(spark, d, emb, stages=(stage,))
+    vectors, unknown = p["vectors"], p["unknown"]
     model = para = None
-    if stage >= 1:
-        f = featurize(spark, d, "avg", vectors, unknown)
-        if stage == 1:
-            model = CCA.fit(f, "qv", "av")
-        else:
-            pf = paraphrase_features(spark, d, vectors, unknown)
-            para = CCA.fit(pf, "qv", "av")
-            model = CCA.fit_two_stage(f, "qv", "av", para)
-    sc = score_candidates(spark, d, vectors, unknown, model, para)
+    if stage == 1:
+        model = CCA.fit(p["features"], "qv", "av")
+    elif stage == 2:
+        para = p["para"]
+        model = CCA.fit_two_stage(p["features"], "qv", "av", para)
+    sc = score_candidates(spark, d, vectors, unknown, model, para, turns=p.get("turns"))
     preds = sc.select("line_no", "q", "answer", "dist")
     labels = sc.select("q", "answer", "label")
     qs = sc.select("q").distinct()
@@ -150,6 +149,21 @@ def evaluate_config(spark: SparkSession, d: str, emb: str = "vectors", stage: in
     return st.select(F.lit(emb).alias("embedding"), F.lit(stage).alias("stage"), "*")
 
 
+def prepare(spark: SparkSession, d: str, emb: str, stages=(1, 2)) -> dict:
+    """Per-embedding inputs shared by every stage: vector table (written once),
+    UNKNOWN vector, QA features, turn vectors, and the paraphrase model."""
+    from qaspark.session import materialize
+    vectors = materialize(embedding(spark, d, emb), f"emb-{emb}")
+    unknown = unknown_of(spark, d, vectors)
+    out = {"vectors": vectors, "unknown": unknown,
+           "turns": materialize(turn_vectors(spark, d, vectors, unknown), f"turns-{emb}")}
+    if any(st >= 1 for st in stages):
+        out["features"] = materialize(featurize(spark, d, "avg", vectors, unknown), f"feat-{emb}")
+    if 2 in stages:
+        out["para"] = CCA.fit(paraphrase_features(spark, d, vectors, unknown), "qv", "av")
+    return out
+
+
 def paraphrase_features(spark: SparkSession, d: str, vectors: DataFrame, unknown: Sequence[float]) -> DataFrame:
     p = X.paraphrase_pairs(spark, d)
     s = (p.select("conv_id", "turn", F.lit(1).alias("side"), T.split_ws(T.no_symbol("q1")).alias("tokens"))
@@ -160,10 +174,12 @@ def paraphrase_features(spark: SparkSession, d: str, vectors: DataFrame, unknown
 
 def sweep(spark: SparkSession, d: str, embeddings: Sequence[str] = ("main", "other", "expanded"),
           stages: Sequence[int] = (1, 2)) -> DataFrame:
-    """The experiment grid: statistics rows for every (embedding, stage)."""
+    """The experiment grid: statistics rows for every (embedding, stage); the
+    paraphrase model and features of an embedding are reused across stages."""
     out = None
     for emb in embeddings:
+        prepared = prepare(spark, d, emb, stages)
         for st in stages:
-            r = evaluate_config(spark, d, emb, st)
+            r = evaluate_config(spark, d, emb, st, prepared=prepared)
             out = r if out is None else out.unionByName(r)
     return out
