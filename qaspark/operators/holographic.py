@@ -62,6 +62,18 @@ def sentence_holographic(sentences: DataFrame, ids: Sequence[str], tokens_col: s
     return ov.select(*ids, fold_udf(len(unknown))("vecs").alias("vec"))
 
 
+def structure_udf(d: int):
+    """FFT form of ``fold(r) * (fold(e1) * fold(e2))`` over three arrays of vectors."""
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def structure(e1: pd.Series, r: pd.Series, e2: pd.Series) -> pd.Series:
+        out = []
+        for a, b, c in zip(e1, r, e2):
+            fe = cc_fft(fold_fft(a if a is not None else [], d), fold_fft(c if c is not None else [], d))
+            out.append(cc_fft(fold_fft(b if b is not None else [], d), fe).tolist())
+        return pd.Series(out)
+    return structure
+
+
 def answer_structure(e1, r, e2, d: int):
     """``fold(r) * (fold(e1) * fold(e2))`` for arrays of vectors (native form)."""
     return V.circular_correlation(V.fold_correlation(r, d),

@@ -39,3 +39,12 @@ def test_fold_native_equals_fft(spark):
     df = spark.createDataFrame([(vs,)], "vecs array<array<double>>")
     native = df.select(V.fold_correlation("vecs", 5).alias("f")).first()["f"]
     assert native == pytest.approx(H.fold_fft(vs, 5).tolist(), abs=1e-9)
+
+
+def test_answer_structure_native_equals_fft(spark):
+    rng = np.random.default_rng(5)
+    e1, r, e2 = ([rng.normal(size=4).tolist() for _ in range(n)] for n in (2, 3, 1))
+    df = spark.createDataFrame([(e1, r, e2)], "e1 array<array<double>>, r array<array<double>>, e2 array<array<double>>")
+    native = df.select(H.answer_structure("e1", "r", "e2", 4).alias("h")).first()["h"]
+    fft = df.select(H.structure_udf(4)("e1", "r", "e2").alias("h")).first()["h"]
+    assert native == pytest.approx(fft, abs=1e-9)
