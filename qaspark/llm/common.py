@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qaspark.session import materialize as _materialize
+
 #: White space of the word and line rules: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
 #: Documents without an id sort behind all others and count as one document.
@@ -40,3 +42,16 @@ def crc_mod(id_col: str, m: int) -> Column:
 def fold_is(id_col: str, m: int, r: int) -> Column:
     """True where the id's fold of ``m`` is ``r``; a null id is in no such fold."""
     return F.coalesce(crc_mod(id_col, m) == r, F.lit(False))
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back. The job's shuffle
+    files are dropped when it ends: nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    conf = df.sparkSession.conf
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return _materialize(df, name)
+    finally:
+        conf.set(key, before)

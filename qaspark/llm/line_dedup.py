@@ -25,8 +25,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaspark.llm.common import SPACES, order_id
-from qaspark.session import materialize, scratch_path
+from qaspark.llm.common import SPACES, materialize, order_id
+from qaspark.session import scratch_path
 
 _KEY = ["h1", "h2"]
 

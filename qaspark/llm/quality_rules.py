@@ -20,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qaspark.llm.common import let, words_of
-from qaspark.session import materialize
+from qaspark.llm.common import let, materialize, words_of
 
+#: Rejected hosts that may be sent to every task; beyond, the join is salted.
+BROADCAST_HOSTS, SALTS = 50_000, 32
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Rules on one document; ``base`` alone removes a document.
 RULES = {
@@ -101,9 +102,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bad = F.lit(False)
     for k in RULES:
         bad = bad | (F.col(f"rate_{k}") >= host_rate)
-    hosts = host_rates(m, host_col).where(bad).select(host_col, F.lit(True).alias("host_bad"))
+    hosts = materialize(host_rates(m, host_col).where(bad).select(host_col, F.lit(True).alias("host_bad")), "hosts")
     any_rule = F.expr(" OR ".join(f"({r})" for r in RULES.values()))
-    return (m.join(hosts, host_col, "left")
+    if hosts.count() <= BROADCAST_HOSTS:
+        joined = m.join(F.broadcast(hosts), host_col, "left")
+    else:  # a host's documents are dealt over SALTS tasks
+        salted = hosts.withColumn("_qr_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = (m.withColumn("_qr_salt", F.pmod(F.xxhash64(*m.columns), F.lit(SALTS)).cast("int"))
+                  .join(salted, [host_col, "_qr_salt"], "left").drop("_qr_salt"))
+    return (joined
             .withColumn("host_bad", F.coalesce("host_bad", F.lit(False)))
             .withColumn("base_failed", F.expr(RULES["base"]))
             .withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & any_rule)))

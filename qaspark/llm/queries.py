@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaspark.llm import bpe, line_dedup, quality_rules
-from qaspark.llm.common import table
+from qaspark.llm import ann, bpe, language_id, line_dedup, ngram_join, packing, quality_rules, substring_dedup, toxicity
+from qaspark.llm.common import fold_is, order_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,62 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_byte_bpe")
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
+
+
+# --- 9: best-fit packing ---------------------------------------------------
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents")).drop("uid")
+
+
+# --- 1: language identification --------------------------------------------
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_id.learn_profiles(docs.where(~fold_is("doc_id", 5, 0)))
+    return language_id.predict(docs.select("doc_id", "text"), profiles).select(
+        "doc_id", fold_is("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+# --- 8: toxicity -----------------------------------------------------------
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels"), learnable=~fold_is("doc_id", 3, 1))
+    return toxicity.score(docs, index).select(
+        "doc_id", fold_is("doc_id", 3, 1).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
+# --- 10: substring dedup ---------------------------------------------------
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans",
+                      F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+# --- 6: n-gram Jaccard join ------------------------------------------------
+
+@query("op6_ngram_jaccard")
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = ngram_join.near_duplicates(docs)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return (docs.select("doc_id", order_id("doc_id").alias("ord"), F.xxhash64(text).alias("th"))
+            .join(found.dropDuplicates(["ord", "th"]), ["ord", "th"])
+            .select("doc_id", "class_id", "rep_id", "n_links", "n_copies"))
+
+
+# --- 7: approximate nearest neighbours -------------------------------------
+
+@query("op7_ann")
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ann.build(table(spark, sf_dir, "embeddings"))
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return ann.search(index, F.col("id") % 50 == 0)
