@@ -1,31 +1,34 @@
 """Session construction and the shared working folder.
 
-Lineage is cut with reliable ``checkpoint()`` or written tables placed under
-``spark.checkpoint.dir``: on a cluster that folder is shared storage named by
-the cluster configuration. Only when it is unset (local runs, tests) do we
-create one ourselves.
+Lineage is cut with written tables placed under ``spark.checkpoint.dir``: on
+a cluster that folder is shared storage named by the cluster configuration.
+Only in local mode, and only when it is unset, do we create one ourselves.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "qaspark",
               shuffle_partitions: int | None = None,
               driver_memory: str = "16g") -> SparkSession:
-    cpus = os.environ.get("BENCH_CPUS", "8")
+    """A session with our defaults. A submitted master and submitted settings
+    stay as they are; ``BENCH_CPUS`` asks for local mode with that many cores."""
+    if not master and os.environ.get("BENCH_CPUS"):
+        master = f"local[{os.environ['BENCH_CPUS']}]"
     builder = (
         SparkSession.builder
-        .master(master or f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -33,37 +36,60 @@ def get_spark(master: str | None = None, app: str = "qaspark",
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", driver_memory)
     )
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    work_dir(spark)
+    if is_local(spark) and not spark.sparkContext.getConf().contains("spark.sql.shuffle.partitions"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    ship(spark)
     return spark
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and written intermediate tables."""
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per context: closures refer to
+    its modules, and a worker need not share the driver's working folder."""
     sc = spark.sparkContext
-    path = sc.getCheckpointDir()
-    if not path:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        # Unset only in local runs and tests: make a private scratch folder.
-        path = tempfile.mkdtemp(prefix="qaspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+    if getattr(sc, "_qaspark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    handle, path = tempfile.mkstemp(prefix="qaspark-", suffix=".zip")
+    with os.fdopen(handle, "wb") as f, zipfile.ZipFile(f, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    sc.addPyFile(path)
+    atexit.register(os.unlink, path)
+    sc._qaspark_shipped = True
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The shared folder for written intermediate tables."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if not is_local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = tempfile.mkdtemp(prefix="qaspark-work-")
+    spark.conf.set("spark.checkpoint.dir", path)
+    return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused sub-folder of the shared working folder."""
-    base = work_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df, name: str):
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a Parquet table under the shared working folder
     and read it back: cuts lineage in one job (a reliable ``checkpoint()``
     computes the plan twice unless it is cached) and survives executor loss."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
