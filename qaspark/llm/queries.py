@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaspark.llm import ann, bpe, language_id, line_dedup, ngram_join, packing, quality_rules, substring_dedup, toxicity
+from qaspark.llm import ann, bpe, language_id, line_dedup, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, toxicity
 from qaspark.llm.common import fold_is, order_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,11 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return ann.search(index, F.col("id") % 50 == 0)
+
+
+# --- 5: suffix-array dedup -------------------------------------------------
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
