@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,20 +38,16 @@ def zeros(d: int) -> Column:
     return F.array_repeat(F.lit(0.0), d)
 
 
-def concat(u, v) -> Column:
-    return F.concat(_c(u), _c(v))
-
-
 def literal(values) -> Column:
-    """A small, bounded vector (model parameter) as an array literal."""
-    return F.array(*[F.lit(float(x)) for x in values])
+    """A small, bounded vector (model parameter) as one array literal."""
+    return F.lit(np.asarray(values, dtype=np.float64))
 
 
 def circular_correlation(a, b, d: int) -> Column:
     """``c_k = sum_i a_i * b_{(k+i) mod d}``; an all-zero operand is the identity.
 
-    Native form (interpreted higher-order functions, O(d^2)); the feature
-    pipeline uses the FFT form in :mod:`qaspark.operators.holographic`."""
+    Native form (interpreted higher-order functions, O(d^2)) against which the
+    tests hold the FFT form of :mod:`qaspark.operators.holographic`."""
     idx = F.sequence(F.lit(0), F.lit(d - 1))
 
     def body(p):

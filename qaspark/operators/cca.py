@@ -46,29 +46,29 @@ def gram_table(df: DataFrame, q_col: str, a_col: str, full_qq: bool = False) ->
         if rows:
             yield pd.DataFrame(rows, columns=["kind", "i", "row"])
 
-    part = df.select(q_col, a_col).mapInPandas(partial, _GRAM_SCHEMA)
+    # One partial per core, however many splits the input has, then a sum in
+    # two steps: d rows of d numbers leave each task.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    part = df.select(q_col, a_col).coalesce(2 * cores).mapInPandas(partial, _GRAM_SCHEMA)
     return (part.groupBy("kind", "i")
             .agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("row")))).alias("row")))
 
 
 def gram_sums(df: DataFrame, q_col: str, a_col: str, full_qq: bool = False) -> dict:
-    """:func:`gram_table` gathered as NumPy matrices on the driver."""
+    """:func:`gram_table` gathered as NumPy matrices on the driver. The width is a
+    model parameter of at most ``MAX_WIDTH``, read from one row beforehand."""
+    one = df.select(F.greatest(F.size(q_col), F.size(a_col)).alias("d")).first()
+    if one is not None and one["d"] > MAX_WIDTH:
+        raise ValueError("feature width exceeds MAX_WIDTH")
     got = gram_table(df, q_col, a_col, full_qq).collect()  # bounded: <= 2 d + 2 rows of <= d numbers
     out: dict[str, np.ndarray] = {}
     for kind in ("qa", "qq", "aa", "n"):
         rows = sorted((r["i"], r["row"]) for r in got if r["kind"] == kind)
         out[kind] = np.array([r for _, r in rows], dtype=np.float64) if rows else None
-    if out["qa"] is not None and max(out["qa"].shape) > MAX_WIDTH:
-        raise ValueError("feature width exceeds MAX_WIDTH")
     out["n"] = float(out["n"][0, 0]) if out["n"] is not None else 0.0
     return out
 
 
-def gram_long(g: dict, kind: str) -> list[tuple[int, int, float]]:
-    m = g[kind]
-    return [(i, j, float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])]
-
-
 @dataclass
 class CCAModel:
     q: np.ndarray          # d_q x k
@@ -76,18 +76,19 @@ class CCAModel:
     s: np.ndarray          # singular values (canonical correlations up to scale)
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        rows = [("q", i, k, float(self.q[i, k])) for i in range(self.q.shape[0]) for k in range(self.q.shape[1])]
-        rows += [("a", i, k, float(self.a[i, k])) for i in range(self.a.shape[0]) for k in range(self.a.shape[1])]
-        return spark.createDataFrame(rows, "side string, i int, k int, w double")
+        """``(side, i, k, w)``; one Arrow row per matrix row, unfolded by Spark."""
+        frame = pd.DataFrame([(side, i, row) for side, m in (("q", self.q), ("a", self.a)) for i, row in enumerate(m)],
+                             columns=["side", "i", "row"])
+        rows = spark.createDataFrame(frame, "side string, i int, row array<double>")
+        return rows.select("side", "i", F.posexplode("row").alias("k", "w"))
 
     @staticmethod
     def from_df(model: DataFrame) -> "CCAModel":
-        rows = model.collect()  # bounded by d x k per side
+        rows = model.toPandas()  # bounded by d x k per side
         def mat(side):
-            r = [x for x in rows if x["side"] == side]
-            m = np.zeros((max(x["i"] for x in r) + 1, max(x["k"] for x in r) + 1))
-            for x in r:
-                m[x["i"], x["k"]] = x["w"]
+            r = rows[rows["side"] == side]
+            m = np.zeros((r["i"].max() + 1, r["k"].max() + 1))
+            m[r["i"], r["k"]] = r["w"]
             return m
         return CCAModel(mat("q"), mat("a"), np.array([]))
 

@@ -16,9 +16,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qaspark.functions import text as T
 from qaspark.operators.ranking import running_rank
 
 
+# ---- text forms -----------------------------------------------------------
+
+def _parts(lines: DataFrame, n: int) -> DataFrame:
+    f = F.split(T.strip(F.col("value")), "\t")
+    return lines.select("line_no", f.alias("f")).where(F.size("f") >= n)
+
+
+def read_labels(lines: DataFrame) -> DataFrame:
+    """``label \t question \t answer`` lines -> ``(line_no, q, answer, label)``;
+    the label ``u`` (not judged) becomes NULL. Shorter lines are dropped."""
+    f = _parts(lines, 3)
+    label = F.when(F.get("f", 0) != "u", F.get("f", 0).try_cast("int"))
+    return f.select("line_no", F.get("f", 1).alias("q"), F.get("f", 2).alias("answer"), label.alias("label"))
+
+
+def read_predictions(lines: DataFrame) -> DataFrame:
+    """``question \t distance \t answer`` lines -> ``(line_no, q, answer, dist)``."""
+    f = _parts(lines, 3)
+    return f.select("line_no", F.get("f", 0).alias("q"), F.get("f", 2).alias("answer"),
+                    F.get("f", 1).try_cast("double").alias("dist"))
+
+
+def read_questions(lines: DataFrame) -> DataFrame:
+    """One question per line -> ``(pos, q)``; ``pos`` is the line number."""
+    return lines.select(F.col("line_no").alias("pos"), T.strip(F.col("value")).alias("q"))
+
+
+def align_lines(scores: DataFrame, label_lines: DataFrame) -> DataFrame:
+    """Distances ``(line_no, dist)`` put beside the label file's rows by line:
+    ``(line_no, q, answer, dist)``."""
+    return read_labels(label_lines).select("line_no", "q", "answer").join(scores.select("line_no", "dist"), "line_no")
+
+
+def prediction_lines(scores: DataFrame) -> DataFrame:
+    """Lines ``question \t distance \t answer`` grouped by question in order of
+    first appearance: ``(first_line, line_no, value)``, sorted by the first two."""
+    out = prediction_file(scores)
+    value = F.concat_ws("\t", "q", F.col("dist").cast("string"), "answer")
+    return out.select("first_line", "line_no", value.alias("value")).orderBy("first_line", "line_no")
+
+
+# ---- evaluation -----------------------------------------------------------
+
 def last_wins(df: DataFrame, keys: list[str], value_cols: list[str], order: str = "line_no") -> DataFrame:
     """One row per key: values of the last line, position of the first."""
     return df.groupBy(*keys).agg(
@@ -120,8 +164,8 @@ def stats(preds: DataFrame, labels: DataFrame, questions: DataFrame, direction:
 
 
 def report(preds: DataFrame, labels: DataFrame, questions: DataFrame) -> DataFrame:
-    """Per listed question: its answers ranked by score then answer, both
-    descending (``mark`` ' ' = labelled correct, '*' otherwise), followed by
+    """Per listed question: a header row with the number of its answers, the
+    answers ranked by score then answer, both descending (``mark`` ' ' = labelled correct, '*' otherwise), followed by
     labelled-correct answers that were never predicted (``mark`` '?')."""
     sc = scored(preds, labels)
     ranked = running_rank(sc, ["q"], [F.col("dist").desc(), F.col("answer").desc()])
@@ -134,8 +178,13 @@ def report(preds: DataFrame, labels: DataFrame, questions: DataFrame) -> DataFra
     missed = running_rank(missed, ["q"], [F.col("answer").asc()]).select(
         "q", F.lit("missed").alias("section"), "rank", "answer",
         F.lit(None).cast("double").alias("score"), F.lit("?").alias("mark"))
-    lines = shown.unionByName(missed)
-    return questions.join(lines, "q").select("pos", "q", "section", "rank", "answer", "score", "mark")
+    # Every listed question is shown, with the number of its answers.
+    counts = questions.join(sc.groupBy("q").agg(F.count(F.lit(1)).alias("n")), "q", "left").select(
+        "pos", "q", F.lit("question").alias("section"), F.lit(0).cast("long").alias("rank"),
+        F.coalesce("n", F.lit(0)).cast("string").alias("answer"),
+        F.lit(None).cast("double").alias("score"), F.lit("").alias("mark"))
+    lines = questions.join(shown.unionByName(missed), "q").select("pos", "q", "section", "rank", "answer", "score", "mark")
+    return counts.unionByName(lines)
 
 
 def report_top(preds: DataFrame, labels: DataFrame, questions: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from qaspark.functions import vector as V
+from qaspark.operators import vectors as VEC
 
 
 def cc_fft(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -27,20 +28,42 @@ def cc_fft(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.fft.ifft(np.conj(np.fft.fft(a)) * np.fft.fft(b)).real
 
 
-def fold_fft(vecs, d: int) -> np.ndarray:
-    acc = np.zeros(d)
-    for v in vecs:
-        acc = cc_fft(acc, np.asarray(v, dtype=np.float64))
-    return acc
+def fold_all(groups: list, d: int) -> np.ndarray:
+    """Folds of many word lists at once, a row each. All words are transformed
+    in one FFT and the folds advance together in the frequency domain
+    (``acc = conj(acc) * F(v)``, zero vectors skipped), longest lists first."""
+    live = [[v for v in (np.asarray(x, dtype=np.float64) for x in (g if g is not None else [])) if v.any()] for g in groups]
+    n = np.array([len(g) for g in live], dtype=np.int64)
+    out = np.zeros((len(groups), d))
+    if not n.sum():
+        return out
+    spectra = np.fft.fft(np.stack([v for g in live for v in g]), axis=1)
+    first = np.cumsum(n) - n
+    order = np.argsort(-n, kind="stable")
+    order = order[n[order] > 0]
+    acc = spectra[first[order]]
+    for step in range(1, int(n.max())):
+        m = int((n[order] > step).sum())
+        acc[:m] = np.conj(acc[:m]) * spectra[first[order[:m]] + step]
+    out[order] = np.fft.ifft(acc, axis=1).real
+    return out
 
 
 def fold_udf(d: int):
     @F.pandas_udf(ArrayType(DoubleType()))
     def fold(col: pd.Series) -> pd.Series:
-        return pd.Series([fold_fft(v if v is not None else [], d).tolist() for v in col])
+        return pd.Series(list(fold_all(list(col), d)))
     return fold
 
 
+def correlation_udf():
+    """Circular correlation of two vector columns, FFT form."""
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def correlate(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([cc_fft(np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64)) for x, y in zip(a, b)])
+    return correlate
+
+
 def ordered_vectors(sentences: DataFrame, ids: Sequence[str], tokens_col: str, vectors: DataFrame,
                     unknown: Sequence[float]) -> DataFrame:
     """Word vectors of each sentence in word order ``(ids..., vecs)``; unseen
@@ -62,15 +85,24 @@ def sentence_holographic(sentences: DataFrame, ids: Sequence[str], tokens_col: s
     return ov.select(*ids, fold_udf(len(unknown))("vecs").alias("vec"))
 
 
+def answer_holographic(answers: DataFrame, ids: Sequence[str], parts: dict, vectors: DataFrame,
+                       unknown: Sequence[float]) -> DataFrame:
+    """Structured answers: ``parts`` maps e1, r and e2 to token-array columns of
+    any length; ``(ids, vec)`` with ``fold(r) * (fold(e1) * fold(e2))``."""
+    ids = list(ids)
+    ov = ordered_vectors(VEC.long_sides(answers, ids, parts), [*ids, "side"], "tokens", vectors, unknown)
+    wide = VEC.pivot_sides(ov, ids, {p: p for p in ("e1", "r", "e2")}, vec_col="vecs")
+    return wide.select(*ids, structure_udf(len(unknown))("e1", "r", "e2").alias("vec"))
+
+
 def structure_udf(d: int):
     """FFT form of ``fold(r) * (fold(e1) * fold(e2))`` over three arrays of vectors."""
     @F.pandas_udf(ArrayType(DoubleType()))
     def structure(e1: pd.Series, r: pd.Series, e2: pd.Series) -> pd.Series:
-        out = []
-        for a, b, c in zip(e1, r, e2):
-            fe = cc_fft(fold_fft(a if a is not None else [], d), fold_fft(c if c is not None else [], d))
-            out.append(cc_fft(fold_fft(b if b is not None else [], d), fe).tolist())
-        return pd.Series(out)
+        n = len(e1)
+        f = fold_all([*e1, *e2, *r], d)
+        ee = fold_all(list(zip(f[:n], f[n:2 * n])), d)
+        return pd.Series(list(fold_all(list(zip(f[2 * n:], ee)), d)))
     return structure
 
 

@@ -18,9 +18,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from qaspark.functions import vector as V
+
+UNKNOWN = "UNKNOWN"
 # FIXED VALUE - neighbours examined when a token borrows a vector.
 TOP = 5
-MAX_CENTROIDS = 1_000_000
+#: Bytes of vectors in one block, and of centroids sent to every task.
+BLOCK_BYTES, CENTROID_BYTES = 16 << 20, 256 << 20
 _CAND = "qtoken string, token string, dist double"
 
 
@@ -28,14 +32,22 @@ def _chunks(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
     return df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
 
 
-def topk_in_group(queries: DataFrame, members: DataFrame, k: int = TOP, block: int = 2048,
-                  qblock: int = 512, decimals: int = 6) -> DataFrame:
+def _block_rows(width: int) -> int:
+    return max(64, BLOCK_BYTES // (8 * width))
+
+
+def topk_in_group(queries: DataFrame, members: DataFrame, k: int = TOP, block: int | None = None,
+                  qblock: int | None = None, decimals: int = 6) -> DataFrame:
     """Exact k nearest members (cosine distance) of each query within its group.
 
     ``queries``: ``(qtoken, label, qvec)``; ``members``: ``(token, label, vec)``.
     A query never matches a member with its own token. Ties are broken by
     distance rounded to ``decimals``, then token. Returns
     ``(qtoken, rank, token, dist)`` with ``rank`` 1..k."""
+    if block is None or qblock is None:  # blocks of equal bytes: few copies of either side
+        row = members.select(F.size("vec").alias("d")).first()
+        rows = _block_rows(row["d"] if row else 1)
+        block, qblock = block or rows, qblock or rows
     # Fresh column identities: both sides often come from the same table.
     members = members.select(*[F.col(c).alias(c) for c in ("token", "label", "vec")])
     queries = queries.select(*[F.col(c).alias(c) for c in ("qtoken", "label", "qvec")])
@@ -84,14 +96,35 @@ def centroids(vectors: DataFrame, label_col: str = "label") -> DataFrame:
         vector_to_array(Summarizer.mean(array_to_vector(F.col("vec")))).alias("vec"))
 
 
+def _nearest(x: np.ndarray, c: np.ndarray, decimals: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and rounded distance of the nearest centroid of each row, the
+    first among equals: |x|^2 - 2 x.c + |c|^2 finds it up to rounding, what
+    lies that near is measured again exactly."""
+    cc = (c * c).sum(axis=1)
+    place, dist = np.empty(len(x), np.int64), np.empty(len(x))
+    for at in range(0, len(x), 256):
+        part = x[at:at + 256]
+        rough = (part * part).sum(axis=1)[:, None] - 2 * part @ c.T + cc
+        least = rough.min(axis=1)
+        near = rough <= (least + 1e-7 * (1 + np.abs(least)))[:, None]
+        for i in range(len(part)):
+            js = np.flatnonzero(near[i])
+            d = np.round(np.sqrt(((part[i] - c[js]) ** 2).sum(axis=1)), decimals)
+            j = int(d.argmin())
+            place[at + i], dist[at + i] = js[j], d[j]
+    return place, dist
+
+
 def assign_nearest(vectors: DataFrame, cents: DataFrame, decimals: int = 9) -> DataFrame:
     """Nearest centroid (Euclidean) of every ``(token, vec)`` row; ties go to
-    the lowest label. Centroids (bounded by the cluster count) are broadcast
-    once and matched per Arrow batch with NumPy."""
-    if cents.count() > MAX_CENTROIDS:
-        raise ValueError("too many centroids to broadcast")
-    rows = cents.collect()
-    rows.sort(key=lambda r: r["label"])
+    the lowest label. Centroids of up to ``CENTROID_BYTES`` are sent to every
+    task; more are cut into blocks that meet the vectors in ``cogroup`` tasks."""
+    size = cents.agg(F.sum(F.size("vec") * 8 + 16)).first()[0] or 0
+    if size > CENTROID_BYTES:
+        return _assign_in_blocks(vectors, cents, decimals)
+    rows = sorted(cents.collect(), key=lambda r: r["label"])
+    if not rows:
+        return vectors.select("token", F.lit(None).cast("int").alias("label"))
     labels = np.array([r["label"] for r in rows])
     cm = np.stack([np.asarray(r["vec"], dtype=np.float64) for r in rows])
     bc = vectors.sparkSession.sparkContext.broadcast((labels, cm))
@@ -99,26 +132,51 @@ def assign_nearest(vectors: DataFrame, cents: DataFrame, decimals: int = 9) -> D
     def run(batches):
         lab, c = bc.value
         for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
-            d = np.round(np.sqrt(((x[:, None, :] - c[None, :, :]) ** 2).sum(-1)), decimals)
-            yield pd.DataFrame({"token": pdf["token"].to_numpy(), "label": lab[np.argmin(d, axis=1)]})
+            if not pdf.empty:
+                x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
+                yield pd.DataFrame({"token": pdf["token"].to_numpy(), "label": lab[_nearest(x, c, decimals)[0]]})
 
     return vectors.select("token", "vec").mapInPandas(run, "token string, label int")
 
 
+def _assign_in_blocks(vectors: DataFrame, cents: DataFrame, decimals: int) -> DataFrame:
+    """Blocks of vectors against blocks of centroids; the best per vector wins."""
+    width = cents.select(F.size("vec").alias("d")).first()["d"]
+    rows = _block_rows(width)
+    n_c = max(1, -(-cents.count() // rows))
+    n_v = max(1, -(-vectors.count() // rows))
+    c = (cents.withColumn("cb", F.pmod(F.xxhash64("label"), F.lit(n_c)).cast("int"))
+         .withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)))))
+    v = (vectors.select("token", F.col("vec").alias("x"))
+         .withColumn("vb", F.pmod(F.xxhash64("token"), F.lit(n_v)).cast("int"))
+         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))))
+
+    def block(xs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+        if xs.empty or cs.empty:
+            return pd.DataFrame({"token": [], "label": [], "dist": []})
+        cs = cs.sort_values("label")
+        x = np.stack([np.asarray(u, dtype=np.float64) for u in xs["x"]])
+        m = np.stack([np.asarray(u, dtype=np.float64) for u in cs["vec"]])
+        place, dist = _nearest(x, m, decimals)
+        return pd.DataFrame({"token": xs["token"].to_numpy(), "label": cs["label"].to_numpy()[place], "dist": dist})
+
+    found = v.groupBy("vb", "cb").cogroup(c.groupBy("vb", "cb")).applyInPandas(block, "token string, label int, dist double")
+    return found.groupBy("token").agg(F.min(F.struct("dist", "label"))["label"].alias("label"))
+
+
 def expand_vocabulary(tokens: DataFrame, main: DataFrame, other: DataFrame, other_labels: DataFrame,
-                      query_labels: DataFrame | None = None, top: int = TOP) -> DataFrame:
+                      query_labels: DataFrame | None = None, top: int = TOP,
+                      unknown=None) -> DataFrame:
     """Vector for every token: its main-model vector if present; otherwise,
     among the ``top`` nearest other-model tokens of its cluster (its own
     other-model vector decides the cluster), the first that has a main
     vector; otherwise the token is dropped.
 
     ``other_labels``: ``(token, label)`` cluster of each other-model token;
-    ``query_labels``: cluster of the tokens being expanded (defaults to the
-    same table, i.e. the clusters the model was fitted on).
-    Returns ``(token, how, source, vec)`` with ``how`` in direct/expanded."""
+    ``query_labels``: cluster of the tokens being expanded, as
+    :func:`assign_nearest` gives it (defaults to ``other_labels``).
+    ``unknown``: a vector added as the row of the token UNKNOWN.
+    Returns ``(token, how, source, vec)`` with ``how`` in direct/expanded/unknown."""
     toks = tokens.select("token").distinct()
     direct = toks.join(main, "token").select("token", F.lit("direct").alias("how"),
                                              F.col("token").alias("source"), "vec")
@@ -132,4 +190,10 @@ def expand_vocabulary(tokens: DataFrame, main: DataFrame, other: DataFrame, othe
     best = owned.groupBy("qtoken").agg(F.min_by(F.struct("token", "vec"), "rank").alias("b"))
     expanded = best.select(F.col("qtoken").alias("token"), F.lit("expanded").alias("how"),
                            F.col("b.token").alias("source"), F.col("b.vec").alias("vec"))
-    return direct.unionByName(expanded)
+    out = direct.unionByName(expanded)
+    if unknown is not None:
+        row = tokens.sparkSession.range(1).select(
+            F.lit(UNKNOWN).alias("token"), F.lit("unknown").alias("how"), F.lit(None).cast("string").alias("source"),
+            V.literal(unknown).alias("vec"))
+        out = out.where(F.col("token") != UNKNOWN).unionByName(row)
+    return out

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qaspark.session import materialize
+
 _PID = "_rr_pid"
 _ONE = "_rr_all"
 
@@ -41,8 +43,8 @@ def running_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     n = _n_parts(df, n_parts)
     key_cols = [F.col(k) for k in keys]
     # Explicit partition count: AQE never coalesces it, so partition ids are
-    # stable and ordered by key range.
-    ranged = df.repartitionByRange(n, *key_cols, *order).withColumn(_PID, F.spark_partition_id())
+    # ordered by key range; written, they are the same for every reader.
+    ranged = materialize(df.repartitionByRange(n, *key_cols, *order).withColumn(_PID, F.spark_partition_id()), "rank")
 
     w = Window.partitionBy(_PID, *keys).orderBy(*order)
     wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

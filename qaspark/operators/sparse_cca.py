@@ -1,105 +1,117 @@
-"""CCA over sparse n-gram count features (widths of 10^4 - 10^6).
+"""CCA over sparse n-gram count features (widths of 10^4 - 10^6 and more).
 
 The whitened cross-covariance ``T = Wq Q^T A Wa`` (Q, A: sparse row x
 vocabulary counts, W: inverse square roots of the diagonal auto-covariances)
 is never formed. Its top-k singular triplets come from a randomized range
 finder (Halko, Martinsson & Tropp, 2011): every product with ``T`` or ``T^T``
 is two passes over the sparse entries - a join of ``(row, idx, cnt)`` with a
-dense ``idx -> r-vector`` table and a per-key vector sum - and the driver only
-holds ``width x r`` matrices (r = k + oversampling, checked).
+table ``idx -> r-vector`` and a per-key vector sum. The whitened entries and
+every factor are tables; the driver holds r x r Gram matrices only
+(r = k + oversampling), which also give the orthonormal bases.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qaspark.operators.cca import CCAModel
+from qaspark.session import materialize
 
-MAX_CELLS = 50_000_000
 
+def _times(entries: DataFrame, by: str, factor: DataFrame, to: str) -> DataFrame:
+    """Sum over entries of ``cnt * factor[by]`` per ``to``: ``(to, w)``."""
+    j = entries.join(factor, by)
+    scaled = F.transform("w", lambda x: x * F.col("cnt"))
+    return j.groupBy(to).agg(vector_to_array(Summarizer.sum(array_to_vector(scaled))).alias("w"))
 
-def _dense_table(spark, m: np.ndarray, key: str) -> DataFrame:
-    if m.size > MAX_CELLS:
-        raise ValueError("dense factor exceeds MAX_CELLS")
-    return spark.createDataFrame([(int(i), m[i].tolist()) for i in range(m.shape[0])], f"{key} long, w array<double>")
 
+def _matrix(s: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in s])
 
-def _rows_times(entries: DataFrame, dense: DataFrame) -> DataFrame:
-    """Per row: sum_idx cnt * dense[idx] -> ``(row_id, z)``."""
-    j = entries.join(dense, "idx")
-    z = j.select("row_id", F.transform("w", lambda x: x * F.col("cnt")).alias("w"))
-    return z.groupBy("row_id").agg(vector_to_array(Summarizer.sum(array_to_vector("w"))).alias("z"))
 
+def _gram(factor: DataFrame, r: int) -> np.ndarray:
+    """``M^T M`` of a factor table, an r x r matrix."""
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = np.zeros((r, r))
+        for b in batches:
+            if len(b):
+                m = _matrix(b["w"])
+                g += m.T @ m
+        yield pd.DataFrame({"i": range(r), "row": list(g)})
 
-def _idx_times(entries: DataFrame, rows: DataFrame, width: int) -> np.ndarray:
-    """Per vocabulary index: sum_rows cnt * rows[row] -> dense ``width x r``."""
-    j = entries.join(rows, "row_id")
-    y = j.select("idx", F.transform("z", lambda x: x * F.col("cnt")).alias("z"))
-    got = y.groupBy("idx").agg(vector_to_array(Summarizer.sum(array_to_vector("z"))).alias("z")).collect()
-    r = len(got[0]["z"]) if got else 0
-    if width * r > MAX_CELLS:
-        raise ValueError("dense factor exceeds MAX_CELLS")
-    out = np.zeros((width, r))
-    for g in got:
-        out[g["idx"]] = g["z"]
-    return out
+    rows = (factor.select("w").mapInPandas(partial, "i int, row array<double>")
+            .groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row")).collect())
+    return np.array([x["row"] for x in sorted(rows, key=lambda x: x["i"])])
 
 
-def fit_sparse(features: DataFrame, k: int = 100, oversample: int = 10, power_iters: int = 2,
-               seed: int = 0) -> CCAModel:
-    """``features``: long ``(row_id, side, idx, cnt)`` with sides ``q`` / ``a``."""
-    spark = features.sparkSession
-    f = features.select("row_id", "side", F.col("idx").cast("long").alias("idx"),
-                        F.col("cnt").cast("double").alias("cnt"))
-    q = f.filter(F.col("side") == "q").drop("side")
-    a = f.filter(F.col("side") == "a").drop("side")
-    stats = f.groupBy("side").agg(F.max("idx").alias("m")).collect()
-    width = {s["side"]: int(s["m"]) + 1 for s in stats}
-    if max(width.values()) * (k + oversample) > MAX_CELLS:
-        raise ValueError("vocabulary too wide for the requested rank")
+def _apply(factor: DataFrame, m: np.ndarray) -> DataFrame:
+    """Each row vector times ``m``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(w=list(_matrix(b["w"]) @ m) if len(b) else [])
+
+    return factor.select("idx", "w").mapInPandas(run, "idx long, w array<double>")
+
+
+def _orthonormal(factor: DataFrame, r: int) -> DataFrame:
+    """A basis of the factor's columns, from the eigenvectors of its Gram matrix;
+    directions without weight are dropped."""
+    value, vector = np.linalg.eigh(_gram(factor, r))
+    live = value > max(value.max(), 0) * 1e-14
+    return _apply(factor, vector[:, live] / np.sqrt(value[live]))
+
+
+def sparse_factors(features: DataFrame, k: int = 100, oversample: int = 10, power_iters: int = 2,
+                   seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """``features``: long ``(row_id, side, idx, cnt)`` with sides ``q`` / ``a``.
+    Returns the projections as a table ``(side, idx, w)`` and the singular values."""
+    f = materialize(features.select("row_id", "side", F.col("idx").cast("long").alias("idx"),
+                                    F.col("cnt").cast("double").alias("cnt")), "sparse-counts")
     n = float(f.select("row_id").distinct().count())
-    diag = f.groupBy("side", "idx").agg(F.sum(F.col("cnt") * F.col("cnt")).alias("v")).collect()
-    dq, da = np.zeros(width["q"]), np.zeros(width["a"])
-    for r in diag:
-        (dq if r["side"] == "q" else da)[r["idx"]] = r["v"]
-    wq = np.where(dq > 0, 1.0 / np.sqrt(np.where(dq > 0, dq, 1.0)), 0.0) / n
-    wa = np.where(da > 0, 1.0 / np.sqrt(np.where(da > 0, da, 1.0)), 0.0) / n
-    r = min(k + oversample, width["q"], width["a"])
-
-    def t_times(m_a: np.ndarray) -> np.ndarray:       # T @ m   (width_a x r -> width_q x r)
-        z = _rows_times(a, _dense_table(spark, wa[:, None] * m_a, "idx"))
-        return wq[:, None] * _idx_times(q, z, width["q"]) / n
-
-    def tt_times(m_q: np.ndarray) -> np.ndarray:      # T^T @ m (width_q x r -> width_a x r)
-        z = _rows_times(q, _dense_table(spark, wq[:, None] * m_q, "idx"))
-        return wa[:, None] * _idx_times(a, z, width["a"]) / n
-
-    rng = np.random.default_rng(seed)
-    y = t_times(rng.standard_normal((width["a"], r)))
+    weight = materialize(f.groupBy("side", "idx").agg((1 / (F.sqrt(F.sum(F.col("cnt") ** 2)) * n)).alias("wt")), "sparse-weights")
+    widths = {x["side"]: x["n"] for x in weight.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
+    r = min(k + oversample, widths.get("q", 0), widths.get("a", 0))
+    if not r:
+        raise ValueError("both sides need a feature")
+    white = materialize(f.join(weight, ["side", "idx"]).select("row_id", "side", "idx", (F.col("cnt") * F.col("wt")).alias("cnt")), "sparse-white")
+    q, a = (white.where(F.col("side") == s).drop("side") for s in ("q", "a"))
+
+    def t_times(m_a: DataFrame, first: DataFrame = a, then: DataFrame = q) -> DataFrame:
+        rows = _times(first, "idx", m_a, "row_id")
+        out = _times(then, "row_id", rows, "idx")
+        return materialize(out.select("idx", F.transform("w", lambda x: x / n).alias("w")), "sparse-factor")
+
+    def tt_times(m_q: DataFrame) -> DataFrame:
+        return t_times(m_q, q, a)
+
+    start = F.array(*[F.randn(seed + i) for i in range(r)])
+    y = t_times(materialize(weight.where(F.col("side") == "a").select("idx", start.alias("w")), "sparse-start"))
     for _ in range(power_iters):
-        y, _ = np.linalg.qr(y)
-        y = t_times(tt_times(y))
-    basis, _ = np.linalg.qr(y)
-    b = tt_times(basis).T                               # r x width_a
-    ub, s, vt = np.linalg.svd(b, full_matrices=False)
-    u = basis @ ub
-    kk = min(k, len(s))
-    return CCAModel(wq[:, None] * u[:, :kk], wa[:, None] * vt[:kk].T, s[:kk])
-
-
-def dense_reference(features_rows: list[tuple[int, str, int, float]], wq_n: int, wa_n: int) -> np.ndarray:
-    """Dense ``T`` for tests on small fixtures."""
-    rows = sorted({r[0] for r in features_rows})
-    pos = {r: i for i, r in enumerate(rows)}
-    qm, am = np.zeros((len(rows), wq_n)), np.zeros((len(rows), wa_n))
-    for rid, side, idx, cnt in features_rows:
-        (qm if side == "q" else am)[pos[rid], idx] += cnt
-    n = len(rows)
-    dq, da = (qm * qm).sum(0), (am * am).sum(0)
-    wq = np.where(dq > 0, 1 / np.sqrt(np.where(dq > 0, dq, 1)), 0) / n
-    wa = np.where(da > 0, 1 / np.sqrt(np.where(da > 0, da, 1)), 0) / n
-    return (wq[:, None] * (qm.T @ am / n)) * wa[None, :]
+        y = t_times(tt_times(materialize(_orthonormal(y, r), "sparse-basis")))
+    basis = materialize(_orthonormal(y, r), "sparse-basis")
+    b = tt_times(basis)  # width_a x r: T^T basis
+    value, vector = np.linalg.eigh(_gram(b, len(b.first()["w"])))
+    order = np.argsort(-value)[:k]
+    s = np.sqrt(np.maximum(value[order], 0.0))
+    s, order = s[s > 0], order[:int((s > 0).sum())]
+    u = vector[:, order]
+
+    def project(factor: DataFrame, m: np.ndarray, side: str) -> DataFrame:
+        scaled = F.transform("w", lambda x: x * F.col("wt"))
+        return (_apply(factor, m).join(weight.where(F.col("side") == side), "idx")
+                .select("side", "idx", scaled.alias("w")))
+
+    return materialize(project(basis, u, "q").unionByName(project(b, u / s, "a")), "sparse-model"), s
+
+
+def fit_sparse(features: DataFrame, k: int = 100, oversample: int = 10, power_iters: int = 2,
+               seed: int = 0) -> DataFrame:
+    """The projections in long form ``(side, i, k, w)``."""
+    model, _ = sparse_factors(features, k, oversample, power_iters, seed)
+    return model.select("side", F.col("idx").cast("int").alias("i"), F.posexplode("w").alias("k", "w"))

@@ -31,18 +31,15 @@ def corpus_counts(lines: DataFrame) -> DataFrame:
             .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
 
 
-def mean_vector(vecs: DataFrame, col: str = "vec") -> DataFrame:
-    """Element-wise mean of a vector column (one row; NULL when empty).
-    JVM aggregate with partial aggregation, no per-dimension explode."""
-    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col(col))))
-    return vecs.agg(F.when(F.count(F.lit(1)) > 0, mean).alias(col))
-
-
 def width(vectors: DataFrame, col: str = "vec") -> int:
-    d = vectors.select(F.size(col).alias("d")).first()["d"]
-    if d > MAX_WIDTH:
-        raise ValueError(f"vector width {d} exceeds {MAX_WIDTH}")
-    return d
+    """Length of the vectors, read from one row. A model parameter: matrices of
+    width x width are held by the driver and every task, so it is limited."""
+    row = vectors.select(F.size(col).alias("d")).first()
+    if row is None:
+        raise ValueError("no vector to take a width from")
+    if row["d"] > MAX_WIDTH:
+        raise ValueError(f"vector width {row['d']} exceeds {MAX_WIDTH}")
+    return row["d"]
 
 
 def unknown_vector(counts: DataFrame, vectors: DataFrame, rare_max: int = RARE_MAX_COUNT) -> DataFrame:
@@ -71,23 +68,32 @@ def with_unknown(vectors: DataFrame, unknown: Sequence[float], token: str = "UNK
     return vectors.filter(F.col("token") != token).unionByName(u)
 
 
+def long_sides(df: DataFrame, ids: Sequence[str], sides: dict) -> DataFrame:
+    """One row per side, ``(ids, side, tokens)``, from token-array columns
+    ``{side: column}`` in one pass over ``df``."""
+    each = [F.struct(F.lit(side).alias("side"), F.col(c).alias("tokens")) for side, c in sides.items()]
+    return df.select(*ids, F.explode(F.array(*each)).alias("_s")).select(*ids, "_s.side", "_s.tokens")
+
+
 def sentence_vectors(sentences: DataFrame, ids: Sequence[str], tokens_col: str, vectors: DataFrame,
                      unknown: Sequence[float]) -> DataFrame:
     """Mean word vector per sentence: unseen words take the UNKNOWN vector,
     all-zero vectors are skipped and not counted, no words -> zero vector.
 
-    ``sentences`` must be unique on ``ids``. Words are exploded and joined to
-    the vector table on ``token`` (shuffle join; AQE splits hot words), then
-    averaged per sentence with a partial-aggregating vector mean."""
+    ``sentences`` must be unique on ``ids``. Words are exploded (an empty
+    sentence keeps one row without a word) and joined to the vector table on
+    ``token`` (shuffle join; AQE splits hot words), then summed per sentence
+    with a partial-aggregating vector sum and divided by the live words."""
     ids = list(ids)
-    d = len(unknown)
-    words = sentences.select(*ids, F.explode(tokens_col).alias("token"))
-    looked = words.join(vectors, "token", "left").select(
-        *ids, F.coalesce(F.col("vec"), V.literal(unknown)).alias("vec"))
-    live = looked.filter(~V.is_zero("vec"))
-    means = live.groupBy(*ids).agg(Summarizer.mean(array_to_vector(F.col("vec"))).alias("m"))
-    return (sentences.select(*ids).join(means, ids, "left")
-            .select(*ids, F.when(F.col("m").isNotNull(), vector_to_array("m")).otherwise(V.zeros(d)).alias("vec")))
+    zero = V.literal([0.0] * len(unknown))
+    words = sentences.select(*ids, F.explode_outer(tokens_col).alias("token"))
+    vec = F.when(F.col("token").isNull(), zero).otherwise(F.coalesce(F.col("vec"), V.literal(unknown)))
+    looked = words.join(vectors, "token", "left").select(*ids, vec.alias("vec"))
+    sums = looked.groupBy(*ids).agg(
+        vector_to_array(Summarizer.sum(array_to_vector(F.col("vec")))).alias("_sum"),
+        F.sum((~V.is_zero("vec")).cast("int")).alias("_live"))
+    mean = F.transform("_sum", lambda x: x / F.greatest(F.col("_live"), F.lit(1)))
+    return sums.select(*ids, mean.alias("vec"))
 
 
 def pivot_sides(v: DataFrame, ids: Sequence[str], sides: dict, side_col: str = "side",
@@ -100,9 +106,3 @@ def pivot_sides(v: DataFrame, ids: Sequence[str], sides: dict, side_col: str = "
     for out in sides:
         g = g.filter(F.col(f"_has_{out}") == 1)
     return g.drop(*[f"_has_{out}" for out in sides])
-
-
-def pair_distance(qv: DataFrame, av: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Cosine distance between question and answer vectors keyed by ``ids``."""
-    j = qv.withColumnRenamed("vec", "qv").join(av.withColumnRenamed("vec", "av"), list(ids))
-    return j.select(*ids, V.cosine_distance("qv", "av").alias("dist"))

@@ -54,6 +54,11 @@ def clean_question(expr: str) -> str:
     return capitalize(f"replace({no_symbol(expr)}, {lit(T.QUOTE_PAIR)}, ' ')")
 
 
+def key(*parts) -> str:
+    """The line key of the fixtures: parts padded to 20 digits."""
+    return " || '-' || ".join(f"lpad(CAST({p} AS VARCHAR), 20, '0')" for p in parts)
+
+
 # name -> (dependencies, body)
 FX: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_triples": ((), """
@@ -72,17 +77,16 @@ FX: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT u.conv_id, u.turn, u.text AS q1, v.text AS q2
         FROM conversations u JOIN conversations v ON v.conv_id = u.conv_id AND v.turn = u.turn + 2
         WHERE u.role = 'user' AND v.role = 'user'"""),
-    "fx_q_base": ((), """
-        SELECT conv_id * 1000 + turn AS line_no, conv_id, text FROM conversations
-        WHERE role = 'user' AND (conv_id * 1000 + turn) % 7 <> 0"""),
-    "fx_questions": (("fx_q_base",), """
-        SELECT line_no, text AS question, text AS tokens, 'X' AS pos, lower(text) AS lemma FROM fx_q_base
+    "fx_questions": ((), f"""
+        SELECT {key(0, 'conv_id', 'turn')} AS line_no, text AS question, text AS tokens, 'X' AS pos, lower(text) AS lemma
+        FROM conversations WHERE role = 'user'
         UNION ALL
-        SELECT line_no + 10000000, text, 'again ' || text, 'X', lower(text) FROM fx_q_base WHERE conv_id % 5 = 0"""),
-    "fx_alignments": ((), """
-        SELECT a.conv_id * 1000000 + a.turn * 1000 + b.turn AS line_no,
-               lower(a.text) AS lemma1, lower(b.text) AS lemma2
-        FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn > a.turn
+        SELECT {key(1, 'conv_id', 'turn')}, text, 'again ' || text, 'X', lower(text)
+        FROM conversations WHERE role = 'user' AND conv_id % 5 = 0"""),
+    "fx_alignments": ((), f"""
+        SELECT {key('a.conv_id', 'a.turn', 'b.turn')} AS line_no, lower(a.text) AS lemma1,
+               lower(b.text) || CASE WHEN (b.conv_id + b.turn) % 7 = 0 THEN ' unseen' ELSE '' END AS lemma2
+        FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn IN (a.turn + 2, a.turn + 4, a.turn + 6)
         WHERE a.role = 'user' AND b.role = 'user'"""),
     "fx_tokens": ((), f"""
         SELECT doc_id, token FROM (SELECT doc_id, unnest({split_ws('lower(text)')}) AS token FROM documents)"""),
@@ -94,18 +98,20 @@ FX: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT v.token, e.vec FROM fx_vocab v
         JOIN fx_emb e ON e.vec_id = v.idx % (SELECT count(*) FROM embeddings)"""),
     "fx_clustered": (("fx_vocab", "fx_emb"), """
-        SELECT v.token, v.idx, e.vec, e.label FROM fx_vocab v JOIN fx_emb e ON e.vec_id = v.idx - 1"""),
+        SELECT token, idx, list_concat(vec[k + 1:], vec[:k]) AS vec, label FROM (
+          SELECT v.token, v.idx, e.vec, e.label, ((v.idx - 1) // n.n) % len(e.vec) AS k
+          FROM fx_vocab v, (SELECT count(*) AS n FROM embeddings) n, fx_emb e WHERE e.vec_id = (v.idx - 1) % n.n)"""),
     "fx_model_main": (("fx_clustered",), "SELECT token, vec FROM fx_clustered WHERE idx % 3 = 1"),
     "fx_model_other": (("fx_clustered",), "SELECT token, vec FROM fx_clustered WHERE idx % 2 = 0"),
     "fx_labels": ((), """
         SELECT d.source || '-' || CAST(d.doc_id % 7 AS VARCHAR) AS q, CAST(d.doc_id AS VARCHAR) AS answer,
                CAST(l.quality AS INTEGER) AS label
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""),
-    "fx_preds": ((), """
-        SELECT doc_id AS line_no, source || '-' || CAST(doc_id % 7 AS VARCHAR) AS q,
+    "fx_preds": ((), f"""
+        SELECT {key(0, 'doc_id')} AS line_no, source || '-' || CAST(doc_id % 7 AS VARCHAR) AS q,
                CAST(doc_id AS VARCHAR) AS answer, CAST(n_chars % 7 AS DOUBLE) / 7.0 AS dist FROM documents
         UNION ALL
-        SELECT doc_id + 1000000, source || '-' || CAST(doc_id % 7 AS VARCHAR),
+        SELECT {key(1, 'doc_id')}, source || '-' || CAST(doc_id % 7 AS VARCHAR),
                CAST(doc_id AS VARCHAR), CAST(n_chars % 5 AS DOUBLE) / 5.0 FROM documents WHERE doc_id % 5 = 0"""),
     "fx_eval_questions": (("fx_preds",), """
         SELECT row_number() OVER (ORDER BY q) AS pos, q FROM (

@@ -68,7 +68,7 @@ def featurize(spark: SparkSession, d: str, kind: str, vectors: DataFrame | None
     pairs = X.qa_pairs(spark, d)
     if kind in ("unigram", "bigram", "trigram"):
         n = FEATURES.index(kind) + 1
-        rows = pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
+        rows = pairs.select(X.line_key(F.col("conv_id"), F.col("turn")).alias("row_id"),
                             T.split_ws(T.tokenize("q")).alias("q"), T.answer_tokens(T.tokenize("a")).alias("a"))
         rows = G.with_ngrams(rows, "q", n)
         toks = VO.side_tokens(rows, {"q": "q", "a": "a"})
@@ -76,8 +76,7 @@ def featurize(spark: SparkSession, d: str, kind: str, vectors: DataFrame | None
     vectors = vectors if vectors is not None else X.word_vectors(spark, d)
     unknown = unknown if unknown is not None else unknown_of(spark, d, vectors)
     s = pairs.select("conv_id", "turn", T.split_ws("q").alias("qt"), T.answer_tokens("a").alias("at"))
-    sides = (s.select("conv_id", "turn", F.lit("q").alias("side"), F.col("qt").alias("tokens"))
-             .unionByName(s.select("conv_id", "turn", F.lit("a").alias("side"), F.col("at").alias("tokens"))))
+    sides = VEC.long_sides(s, ["conv_id", "turn"], {"q": "qt", "a": "at"})
     ids = ["conv_id", "turn", "side"]
     if kind == "avg":
         v = VEC.sentence_vectors(sides, ids, "tokens", vectors, unknown)
@@ -122,9 +121,9 @@ def score_candidates(spark: SparkSession, d: str, vectors: DataFrame, unknown: S
         av = tv.select("conv_id", F.col("turn").alias("aturn"), F.col("vec").alias("av"))
     c = candidates(spark, d).join(qv, ["conv_id", "turn"]).join(av, ["conv_id", "aturn"])
     return c.select(
-        (F.col("conv_id") * 1000000 + F.col("turn") * 1000 + F.col("aturn")).alias("line_no"),
-        (F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("q"),
-        (F.col("conv_id") * 1000 + F.col("aturn")).cast("string").alias("answer"),
+        X.line_key(F.col("conv_id"), F.col("turn"), F.col("aturn")).alias("line_no"),
+        X.line_key(F.col("conv_id"), F.col("turn")).alias("q"),
+        X.line_key(F.col("conv_id"), F.col("aturn")).alias("answer"),
         F.coalesce(cosine_distance("qv", "av"), F.lit(2.0)).alias("dist"), "label")
 
 
@@ -144,7 +143,7 @@ def evaluate_config(spark: SparkSession, d: str, emb: str = "vectors", stage: in
     preds = sc.select("line_no", "q", "answer", "dist")
     labels = sc.select("q", "answer", "label")
     qs = sc.select("q").distinct()
-    questions = qs.select(F.col("q").cast("long").alias("pos"), "q")
+    questions = qs.select(F.col("q").alias("pos"), "q")
     st = E.stats(preds, labels, questions, direction)
     return st.select(F.lit(emb).alias("embedding"), F.lit(stage).alias("stage"), "*")
 
@@ -166,8 +165,8 @@ def prepare(spark: SparkSession, d: str, emb: str, stages=(1, 2)) -> dict:
 
 def paraphrase_features(spark: SparkSession, d: str, vectors: DataFrame, unknown: Sequence[float]) -> DataFrame:
     p = X.paraphrase_pairs(spark, d)
-    s = (p.select("conv_id", "turn", F.lit(1).alias("side"), T.split_ws(T.no_symbol("q1")).alias("tokens"))
-         .unionByName(p.select("conv_id", "turn", F.lit(2).alias("side"), T.split_ws(T.no_symbol("q2")).alias("tokens"))))
+    p = p.select("conv_id", "turn", T.split_ws(T.no_symbol("q1")).alias("t1"), T.split_ws(T.no_symbol("q2")).alias("t2"))
+    s = VEC.long_sides(p, ["conv_id", "turn"], {1: "t1", 2: "t2"})
     v = VEC.sentence_vectors(s, ["conv_id", "turn", "side"], "tokens", vectors, unknown)
     return VEC.pivot_sides(v, ["conv_id", "turn"], {"qv": 1, "av": 2})
 

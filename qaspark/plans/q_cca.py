@@ -23,9 +23,8 @@ def paraphrase_features(spark, d):
     vectors = X.word_vectors(spark, d)
     unknown = unknown_for(spark, d, vectors)
     p = X.paraphrase_pairs(spark, d)
-    sents = (p.select("conv_id", "turn", F.lit(1).alias("side"), T.split_ws(T.no_symbol("q1")).alias("tokens"))
-             .unionByName(p.select("conv_id", "turn", F.lit(2).alias("side"),
-                                   T.split_ws(T.no_symbol("q2")).alias("tokens"))))
+    p = p.select("conv_id", "turn", T.split_ws(T.no_symbol("q1")).alias("t1"), T.split_ws(T.no_symbol("q2")).alias("t2"))
+    sents = VEC.long_sides(p, ["conv_id", "turn"], {1: "t1", 2: "t2"})
     sv = VEC.sentence_vectors(sents, ["conv_id", "turn", "side"], "tokens", vectors, unknown)
     return VEC.pivot_sides(sv, ["conv_id", "turn"], {"qv": 1, "av": 2})
 
@@ -34,23 +33,23 @@ _DUCK_GRAM = _DUCK_SENT
 
 
 @query("gram_qa", D.with_fx("""
-SELECT CAST(q.i - 1 AS INTEGER) AS i, CAST(a.i - 1 AS INTEGER) AS j, round(sum(q.x * a.x), 6) AS v
+SELECT CAST(q.i - 1 AS INTEGER) AS i, CAST(a.i - 1 AS INTEGER) AS j, round(sum(q.x * a.x), 6) + 0.0 AS v
 FROM sv q JOIN sv a ON a.conv_id = q.conv_id AND a.turn = q.turn AND a.side = 'a'
 WHERE q.side = 'q' GROUP BY q.i, a.i""", "fx_word_vectors", "fx_pairs", extra=_DUCK_GRAM))
 def gram_qa(spark, d):
     g = CCA.gram_table(qa_features(spark, d), "qv", "av")
     return (g.filter(F.col("kind") == "qa").select("i", F.posexplode("row").alias("j", "v"))
-            .select("i", F.col("j").cast("int").alias("j"), F.round("v", 6).alias("v")))
+            .select("i", F.col("j").cast("int").alias("j"), (F.round("v", 6) + 0.0).alias("v")))
 
 
 @query("gram_diag", D.with_fx("""
-SELECT side, CAST(i - 1 AS INTEGER) AS i, round(sum(x * x), 6) AS v FROM sv GROUP BY side, i""",
+SELECT side, CAST(i - 1 AS INTEGER) AS i, round(sum(x * x), 6) + 0.0 AS v FROM sv GROUP BY side, i""",
                               "fx_word_vectors", "fx_pairs", extra=_DUCK_GRAM))
 def gram_diag(spark, d):
     g = CCA.gram_table(qa_features(spark, d), "qv", "av")
     g = g.filter(F.col("kind").isin("qq", "aa"))
     return g.select(F.substring("kind", 1, 1).alias("side"), F.posexplode("row").alias("i", "v")).select(
-        "side", F.col("i").cast("int").alias("i"), F.round("v", 6).alias("v"))
+        "side", F.col("i").cast("int").alias("i"), (F.round("v", 6) + 0.0).alias("v"))
 
 
 def fixed_blocks(spark, d, width):
@@ -64,7 +63,7 @@ def fixed_blocks(spark, d, width):
 
 
 @query("project_concat", D.with_fx("""
-SELECT q.conv_id, q.turn, CAST((m.vec_id // w.d) * w.d + m.j - 1 AS BIGINT) AS dim, round(sum(q.x * m.m), 6) AS value
+SELECT q.conv_id, q.turn, CAST((m.vec_id // w.d) * w.d + m.j - 1 AS BIGINT) AS dim, round(sum(q.x * m.m), 6) + 0.0 AS value
 FROM sv q, w, (SELECT vec_id, unnest(vec) AS m, generate_subscripts(vec, 1) AS j FROM fx_emb) m
 WHERE q.side = 'q' AND m.vec_id < 2 * w.d AND m.vec_id % w.d = q.i - 1
 GROUP BY q.conv_id, q.turn, m.vec_id // w.d, m.j, w.d""", "fx_word_vectors", "fx_pairs", "fx_emb",
@@ -75,7 +74,7 @@ def project_concat(spark, d):
     m1, m2 = fixed_blocks(spark, d, width)
     p = CCA.project(f.select("conv_id", "turn", "qv"), "qv", [m1, m2], "pv")
     return p.select("conv_id", "turn", F.posexplode("pv").alias("dim", "value")).select(
-        "conv_id", "turn", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+        "conv_id", "turn", F.col("dim").cast("long").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
 
 
 def one_stage(spark, d, k=None):
@@ -123,4 +122,4 @@ def sparse_cca(spark, d, k: int = 10):
     """CCA over unigram count features (randomized truncated SVD, no Gram matrix)."""
     from qaspark.operators import sparse_cca as SC
     from qaspark.plans import pipelines as P
-    return SC.fit_sparse(P.featurize(spark, d, "unigram"), k=k).to_df(spark)
+    return SC.fit_sparse(P.featurize(spark, d, "unigram"), k=k)

@@ -54,8 +54,8 @@ _DUCK_TEST_LINES = [
         FROM fx_triples"""),
     ("tq", f"""SELECT q, min(tid) AS lo, max(tid) AS hi FROM (SELECT tid, 'who ' || rel || ' ' || e2 AS q FROM fx_triples)
               WHERE NOT (starts_with(q, 'who 1-urgent') AND ends_with(q, 'NATION_3.e')) GROUP BY q"""),
-    ("cluster_lines", f"""SELECT lo AS line_no, CAST(lo AS VARCHAR) || {TAB} || q AS value FROM tq
-                         UNION ALL SELECT hi + 10000000, CAST(hi AS VARCHAR) || {TAB} || q FROM tq"""),
+    ("cluster_lines", f"""SELECT {D.key(0, 'lo')} AS line_no, CAST(lo AS VARCHAR) || {TAB} || q AS value FROM tq
+                         UNION ALL SELECT {D.key(1, 'hi')}, CAST(hi AS VARCHAR) || {TAB} || q FROM tq"""),
     ("tl", f"""SELECT line_no AS row_id, f, len(f) AS nf, f[1] AS l, f[2] AS q0,
                       replace(replace(f[3], '.r', ''), '.e', '') AS a0
                FROM (SELECT line_no, string_split({D.strip('value')}, {TAB}) AS f FROM label_lines)"""),
@@ -190,7 +190,7 @@ def read_test_pairs(spark, d):
 @query("read_paraphrases", D.with_fx(f"""
 SELECT row_id, array_to_string({D.split_ws(D.tokenize(D.no_symbol('f[1]')))}, ' ') AS q1,
        array_to_string({D.split_ws(D.tokenize(D.no_symbol('f[2]')))}, ' ') AS q2
-FROM (SELECT conv_id * 1000 + turn AS row_id, string_split({D.strip(f"q1 || {TAB} || q2")}, {TAB}) AS f
+FROM (SELECT {D.key('conv_id', 'turn')} AS row_id, string_split({D.strip(f"q1 || {TAB} || q2")}, {TAB}) AS f
       FROM fx_paraphrases) WHERE len(f) = 2""", "fx_paraphrases"))
 def read_paraphrases(spark, d):
     r = G.read_paraphrases(X.paraphrase_lines(spark, d), mode="proc_token")

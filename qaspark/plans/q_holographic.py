@@ -39,7 +39,7 @@ def circular_correlation(spark, d):
     y = c.select((F.col("idx") - 1).alias("idx"), F.col("vec").alias("b"), (F.col("idx") - 1).alias("i0"))
     p = x.join(y, "idx").withColumn(
         "b", F.when(F.col("idx") % 50 == 0, V.zeros(width)).otherwise(F.col("b")))
-    out = p.select("idx", V.circular_correlation("a", "b", width).alias("c"))
+    out = p.select("idx", H.correlation_udf()("a", "b").alias("c"))
     return out.select("idx", F.posexplode("c").alias("dim", "value")).select(
         "idx", F.col("dim").cast("long").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
 
@@ -56,8 +56,7 @@ FROM (SELECT idx, h, unnest(range(1, len(h) + 1)) AS k FROM (
 def answer_holographic(spark, d):
     """Answers ``e1|r1 r2|e2`` over consecutive vocabulary words with their
     own vectors: ``fold(r) * (fold(e1) * fold(e2))``, FFT path (O(d log d)
-    per step); the native Column form is checked by ``circular_correlation``
-    and equal to it in the tests."""
+    per step)."""
     c = X.clustered(spark, d).select("idx", "vec")
     width = VEC.width(c)
     def at(off, name):

@@ -19,21 +19,21 @@ from qaspark.sources import fixtures as X
 
 
 @query("corpus_union", D.with_fx(f"""
-SELECT 'corpus' AS src, doc_id * 100000 + line_no AS sid, array_to_string(toks, ' ') AS tokens FROM (
+SELECT 'corpus' AS src, {D.key('doc_id', 'line_no')} AS sid, array_to_string(toks, ' ') AS tokens FROM (
   SELECT doc_id, generate_subscripts(lines, 1) - 1 AS line_no, {D.split_ws(D.no_symbol('unnest(lines)'))} AS toks
   FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS lines FROM documents))
 WHERE len(toks) > 0
 UNION ALL
-SELECT 'para1', conv_id * 1000 + turn, array_to_string({D.split_ws(D.no_symbol('q1'))}, ' ') FROM fx_paraphrases
+SELECT 'para1', {D.key('conv_id', 'turn')}, array_to_string({D.split_ws(D.no_symbol('q1'))}, ' ') FROM fx_paraphrases
 WHERE len({D.split_ws(D.no_symbol('q1'))}) > 0
 UNION ALL
-SELECT 'para2', conv_id * 1000 + turn, array_to_string({D.split_ws(D.no_symbol('q2'))}, ' ') FROM fx_paraphrases
+SELECT 'para2', {D.key('conv_id', 'turn')}, array_to_string({D.split_ws(D.no_symbol('q2'))}, ' ') FROM fx_paraphrases
 WHERE len({D.split_ws(D.no_symbol('q2'))}) > 0""", "fx_paraphrases"))
 def corpus_union(spark, d):
     lines = VEC.corpus_lines(X.corpus(spark, d)).select(
-        F.lit("corpus").alias("src"), (F.col("doc_id") * 100000 + F.col("line_no")).alias("sid"), "tokens")
+        F.lit("corpus").alias("src"), X.line_key(F.col("doc_id"), F.col("line_no")).alias("sid"), "tokens")
     pp = X.paraphrase_pairs(spark, d)
-    sid = F.col("conv_id") * 1000 + F.col("turn")
+    sid = X.line_key(F.col("conv_id"), F.col("turn"))
     p1 = pp.select(F.lit("para1").alias("src"), sid.alias("sid"), T.split_ws(T.no_symbol("q1")).alias("tokens"))
     p2 = pp.select(F.lit("para2").alias("src"), sid.alias("sid"), T.split_ws(T.no_symbol("q2")).alias("tokens"))
     u = lines.unionByName(p1).unionByName(p2).filter(F.size("tokens") > 0)

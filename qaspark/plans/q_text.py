@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qaspark.functions import text as T
-from qaspark.operators.partitioning import spread
 from qaspark.plans import duck as D
 from qaspark.plans.catalog import query
 from qaspark.sources.tables import table
@@ -23,22 +22,25 @@ SUFFIXES = [
 
 
 def _texts(spark, d):
-    docs = table(spark, d, "documents").select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), "text")
+    docs = table(spark, d, "documents").select(F.lit("doc").alias("src"), F.col("doc_id").cast("string").alias("id"),
+                                                  F.col("doc_id").alias("n"), "text")
     conv = table(spark, d, "conversations").select(
-        F.lit("conv").alias("src"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    bench = table(spark, d, "benchmark").select(F.lit("bench").alias("src"), F.col("item_id").alias("id"), "text")
-    u = spread(docs.unionByName(conv).unionByName(bench))
-    suffix = F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (F.col("id") % len(SUFFIXES) + 1).cast("int"))
+        F.lit("conv").alias("src"), F.concat_ws("-", "conv_id", "turn").alias("id"),
+        (F.col("conv_id") + F.col("turn")).alias("n"), "text")
+    bench = table(spark, d, "benchmark").select(F.lit("bench").alias("src"), F.col("item_id").cast("string").alias("id"),
+                                                   F.col("item_id").alias("n"), "text")
+    u = docs.unionByName(conv).unionByName(bench)
+    suffix = F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (F.col("n") % len(SUFFIXES) + 1).cast("int"))
     return u.select("src", "id", F.concat("text", suffix).alias("text"))
 
 
 def _duck_texts():
     arr = "[" + ", ".join(D.lit(s) for s in SUFFIXES) + "]"
     return ("texts", f"""
-        SELECT src, id, text || {arr}[CAST(id % {len(SUFFIXES)} AS INTEGER) + 1] AS text FROM (
-          SELECT 'doc' AS src, doc_id AS id, text FROM documents
-          UNION ALL SELECT 'conv', conv_id * 1000 + turn, text FROM conversations
-          UNION ALL SELECT 'bench', item_id, text FROM benchmark)""")
+        SELECT src, id, text || {arr}[CAST(n % {len(SUFFIXES)} AS INTEGER) + 1] AS text FROM (
+          SELECT 'doc' AS src, CAST(doc_id AS VARCHAR) AS id, doc_id AS n, text FROM documents
+          UNION ALL SELECT 'conv', conv_id || '-' || turn, conv_id + turn, text FROM conversations
+          UNION ALL SELECT 'bench', CAST(item_id AS VARCHAR), item_id, text FROM benchmark)""")
 
 
 @query("text_tokenize", D.with_fx(f"SELECT src, id, {D.tokenize('text')} AS out FROM texts", extra=[_duck_texts()]))

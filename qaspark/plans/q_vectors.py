@@ -22,8 +22,8 @@ def pair_vectors(spark, d, vectors=None, unknown=None):
     vectors = vectors if vectors is not None else X.word_vectors(spark, d)
     unknown = unknown if unknown is not None else unknown_for(spark, d, vectors)
     p = X.qa_pairs(spark, d)
-    sents = (p.select("conv_id", "turn", F.lit("q").alias("side"), T.split_ws("q").alias("tokens"))
-             .unionByName(p.select("conv_id", "turn", F.lit("a").alias("side"), T.answer_tokens("a").alias("tokens"))))
+    p = p.select("conv_id", "turn", T.split_ws("q").alias("qt"), T.answer_tokens("a").alias("at"))
+    sents = VEC.long_sides(p, ["conv_id", "turn"], {"q": "qt", "a": "at"})
     return VEC.sentence_vectors(sents, ["conv_id", "turn", "side"], "tokens", vectors, unknown)
 
 
@@ -64,7 +64,7 @@ _DUCK_SENT = _DUCK_UNK + [
 
 
 @query("unknown_vector", D.with_fx(
-    "SELECT CAST(i AS BIGINT) AS dim, round(x, 6) AS value FROM (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS i FROM unk)",
+    "SELECT CAST(i AS BIGINT) AS dim, round(x, 6) + 0.0 AS value FROM (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS i FROM unk)",
     "fx_word_vectors", extra=_DUCK_UNK))
 def unknown_vector(spark, d):
     vectors = X.word_vectors(spark, d)
@@ -72,7 +72,7 @@ def unknown_vector(spark, d):
     u = VEC.unknown_vector(counts, vectors)
     zeros = F.array_repeat(F.lit(0.0), vectors.select(F.max(F.size("vec"))).scalar())
     return u.select(F.posexplode(F.coalesce("vec", zeros)).alias("dim", "value")).select(
-        F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+        F.col("dim").cast("long").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("low_frequency_tokens", D.with_fx("SELECT token FROM rare", "fx_word_vectors", extra=_DUCK_UNK))
@@ -83,12 +83,12 @@ def low_frequency_tokens(spark, d):
 
 
 @query("avg_embedding", D.with_fx(
-    "SELECT conv_id, turn, side, CAST(i - 1 AS BIGINT) AS dim, round(x, 6) AS value FROM sv",
+    "SELECT conv_id, turn, side, CAST(i - 1 AS BIGINT) AS dim, round(x, 6) + 0.0 AS value FROM sv",
     "fx_word_vectors", "fx_pairs", extra=_DUCK_SENT))
 def avg_embedding(spark, d):
     pv = pair_vectors(spark, d)
     return pv.select("conv_id", "turn", "side", F.posexplode("vec").alias("dim", "value")).select(
-        "conv_id", "turn", "side", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+        "conv_id", "turn", "side", F.col("dim").cast("long").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("qa_cosine", D.with_fx("""

@@ -2,23 +2,28 @@
 
 Each view is a lazy DataFrame over the parquet tables, so every query built
 on it scans whole tables and grows with them. The same views are written
-independently in DuckDB SQL in :mod:`qaspark.plans.oracle`.
+independently in DuckDB SQL in :mod:`qaspark.plans.duck`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaspark.functions import text as T
-from qaspark.operators.partitioning import spread
 from qaspark.operators.ranking import dense_rank_by
 from qaspark.sources.tables import table
 
 _ARTIFACTS: dict[tuple, str] = {}
 
 
+def line_key(*parts) -> Column:
+    """An order-preserving line number of several parts: decimal numbers padded
+    to 20 digits, so no two part lists meet in one key as the data grows."""
+    cols = [F.lit(str(p)) if isinstance(p, int) else p.cast("string") for p in parts]
+    return F.concat_ws("-", *[F.lpad(c, 20, "0") for c in cols])
+
+
 def artifact(spark: SparkSession, d: str, name: str, build) -> DataFrame:
     """A derived table written once per session under the shared working
     folder and read back afterwards (as the pipeline keeps its vocabulary
@@ -39,7 +44,7 @@ def triples(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     m = F.col("o_orderkey") % 5
     suffix = F.when(m == 0, "-in.r").when(m == 1, "-on.r").otherwise("'s.r")
-    return spread(o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
             .select(F.col("o_orderkey").alias("tid"),
                     F.concat(F.lower("o_orderpriority"), suffix).alias("rel"),
                     F.concat("c_name", F.lit(".e")).alias("e1"),
@@ -47,7 +52,7 @@ def triples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _turns(spark, d):
-    return spread(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
 
 
 def qa_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -70,25 +75,27 @@ def paraphrase_pairs(spark: SparkSession, d: str) -> DataFrame:
 def archive_questions(spark: SparkSession, d: str) -> DataFrame:
     """Question archive rows ``(line_no, question, tokens, pos, lemma)``."""
     u = _turns(spark, d).filter(F.col("role") == "user")
-    base = (u.select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), "conv_id", "text")
-            .filter(F.col("line_no") % 7 != 0))
-    first = base.select("line_no", F.col("text").alias("question"), F.col("text").alias("tokens"),
-                        F.lit("X").alias("pos"), F.lower("text").alias("lemma"))
-    again = base.filter(F.col("conv_id") % 5 == 0).select(
-        (F.col("line_no") + 10000000).alias("line_no"), F.col("text").alias("question"),
+    first = u.select(line_key(0, F.col("conv_id"), F.col("turn")).alias("line_no"),
+                     F.col("text").alias("question"), F.col("text").alias("tokens"),
+                     F.lit("X").alias("pos"), F.lower("text").alias("lemma"))
+    again = u.filter(F.col("conv_id") % 5 == 0).select(
+        line_key(1, F.col("conv_id"), F.col("turn")).alias("line_no"), F.col("text").alias("question"),
         F.concat(F.lit("again "), F.col("text")).alias("tokens"),
         F.lit("X").alias("pos"), F.lower("text").alias("lemma"))
     return first.unionByName(again)
 
 
 def word_alignments(spark: SparkSession, d: str) -> DataFrame:
-    """Each user turn aligned with every later user turn of its conversation."""
+    """Each user turn aligned with the next three user turns of its
+    conversation; one in seven alignments names a lemma of no question."""
     u = _turns(spark, d).filter(F.col("role") == "user")
-    a = u.select("conv_id", F.col("turn").alias("t1"), F.lower("text").alias("lemma1"))
+    a = u.select("conv_id", F.col("turn").alias("t1"), F.lower("text").alias("lemma1"),
+                 F.explode(F.array(*[F.col("turn") + k for k in (2, 4, 6)])).alias("t2"))
     b = u.select("conv_id", F.col("turn").alias("t2"), F.lower("text").alias("lemma2"))
-    return (a.join(b, "conv_id").filter(F.col("t2") > F.col("t1"))
-            .select((F.col("conv_id") * 1000000 + F.col("t1") * 1000 + F.col("t2")).alias("line_no"),
-                    "lemma1", "lemma2"))
+    lemma2 = F.when((F.col("conv_id") + F.col("t2")) % 7 == 0,
+                    F.concat("lemma2", F.lit(" unseen"))).otherwise(F.col("lemma2"))
+    return a.join(b, ["conv_id", "t2"]).select(
+        line_key(F.col("conv_id"), F.col("t1"), F.col("t2")).alias("line_no"), "lemma1", lemma2.alias("lemma2"))
 
 
 def question_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +110,7 @@ def alignment_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").select("doc_id", "text"))
+    return table(spark, d, "documents").select("doc_id", "text")
 
 
 def corpus_token_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -146,14 +153,19 @@ def _word_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clustered(spark: SparkSession, d: str) -> DataFrame:
-    """``(token, idx, vec, label)``: one word per vector with its given cluster."""
+    """``(token, idx, vec, label)``: every vocabulary word with a vector of its
+    own and the cluster of the table vector it comes from."""
     return artifact(spark, d, "clustered", _clustered)
 
 
 def _clustered(spark: SparkSession, d: str) -> DataFrame:
     e = _vectors(spark, d)
-    v = vocab(spark, d)
-    return v.join(e, e.vec_id == v.idx - 1).select("token", "idx", "vec", "label")
+    n = table(spark, d, "embeddings").select(F.count(F.lit(1))).scalar()
+    v = vocab(spark, d).withColumn("vid", (F.col("idx") - 1) % n)
+    # Word idx takes table vector (idx - 1) % n, rotated once more each time round.
+    turn = F.floor((F.col("idx") - 1) / n) % F.size("vec")
+    vec = F.concat(F.slice("vec", turn.cast("int") + 1, F.size("vec")), F.slice("vec", F.lit(1), turn.cast("int")))
+    return v.join(e, v.vid == e.vec_id).select("token", "idx", vec.alias("vec"), "label")
 
 
 def model_main(spark: SparkSession, d: str) -> DataFrame:
@@ -178,11 +190,11 @@ def eval_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def eval_preds(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
-    first = docs.select(F.col("doc_id").alias("line_no"), _doc_q().alias("q"),
+    first = docs.select(line_key(0, F.col("doc_id")).alias("line_no"), _doc_q().alias("q"),
                         F.col("doc_id").cast("string").alias("answer"),
                         ((F.col("n_chars") % 7) / 7.0).alias("dist"))
     again = docs.filter(F.col("doc_id") % 5 == 0).select(
-        (F.col("doc_id") + 1000000).alias("line_no"), _doc_q().alias("q"),
+        line_key(1, F.col("doc_id")).alias("line_no"), _doc_q().alias("q"),
         F.col("doc_id").cast("string").alias("answer"),
         ((F.col("n_chars") % 5) / 5.0).alias("dist"))
     return first.unionByName(again)
@@ -194,9 +206,9 @@ def eval_questions(spark: SparkSession, d: str) -> DataFrame:
     qs = eval_preds(spark, d).select("q").distinct()
     extra = spark.range(1).select(F.lit("src_none").alias("q"))
     rep = qs.agg(F.min("q").alias("q"))
-    allq = qs.unionByName(extra).unionByName(rep)
-    w = Window.orderBy("q")  # question lists are small dimension tables
-    return allq.select(F.row_number().over(w).cast("long").alias("pos"), "q")
+    allq = (qs.unionByName(extra).withColumn("copy", F.lit(0))
+            .unionByName(rep.withColumn("copy", F.lit(1))))
+    return dense_rank_by(allq, [], [F.col("q"), F.col("copy")], "pos").select("pos", "q")
 
 
 def covered_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -246,13 +258,14 @@ def cluster_id_lines(spark: SparkSession, d: str) -> DataFrame:
     q = (tr.select("tid", _test_question(tr).alias("q"))
          .filter(~(F.col("q").startswith("who 1-urgent") & F.col("q").endswith("NATION_3.e"))))
     g = q.groupBy("q").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi"))
-    first = g.select(F.col("lo").alias("line_no"), F.concat_ws("\t", F.col("lo").cast("string"), "q").alias("value"))
-    last = g.select((F.col("hi") + 10000000).alias("line_no"),
+    first = g.select(line_key(0, F.col("lo")).alias("line_no"),
+                     F.concat_ws("\t", F.col("lo").cast("string"), "q").alias("value"))
+    last = g.select(line_key(1, F.col("hi")).alias("line_no"),
                     F.concat_ws("\t", F.col("hi").cast("string"), "q").alias("value"))
     return first.unionByName(last)
 
 
 def paraphrase_lines(spark: SparkSession, d: str) -> DataFrame:
     p = paraphrase_pairs(spark, d)
-    return p.select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"),
+    return p.select(line_key(F.col("conv_id"), F.col("turn")).alias("line_no"),
                     F.concat_ws("\t", "q1", "q2").alias("value"))

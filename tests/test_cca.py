@@ -52,6 +52,29 @@ def test_sparse_cca_matches_dense_svd(spark):
             for idx in rng.choice(w, size=3, replace=False):
                 rows.append((rid, side, int(idx), float(rng.integers(1, 4))))
     df = spark.createDataFrame(rows, "row_id long, side string, idx long, cnt double")
-    m = SC.fit_sparse(df, k=3, oversample=3, power_iters=2)
-    s_dense = np.linalg.svd(SC.dense_reference(rows, 8, 6), compute_uv=False)
-    assert m.s == pytest.approx(s_dense[:3], rel=1e-6)
+    model, s = SC.sparse_factors(df, k=3, oversample=3, power_iters=2)
+    t = dense_reference(rows, 8, 6)
+    s_dense = np.linalg.svd(t, compute_uv=False)
+    assert s == pytest.approx(s_dense[:3], rel=1e-6)
+    # The projections diagonalise the covariance they were fitted on.
+    u, v = np.zeros((8, 3)), np.zeros((6, 3))
+    for r in model.collect():
+        (u if r.side == "q" else v)[r.idx] = r.w
+    qm, am = np.zeros((40, 8)), np.zeros((40, 6))
+    for rid, side, idx, cnt in rows:
+        (qm if side == "q" else am)[rid, idx] += cnt
+    assert u.T @ (qm.T @ am / 40) @ v == pytest.approx(np.diag(s), abs=1e-8)
+
+
+def dense_reference(features_rows: list[tuple[int, str, int, float]], wq_n: int, wa_n: int) -> np.ndarray:
+    """Dense ``T`` for tests on small fixtures."""
+    rows = sorted({r[0] for r in features_rows})
+    pos = {r: i for i, r in enumerate(rows)}
+    qm, am = np.zeros((len(rows), wq_n)), np.zeros((len(rows), wa_n))
+    for rid, side, idx, cnt in features_rows:
+        (qm if side == "q" else am)[pos[rid], idx] += cnt
+    n = len(rows)
+    dq, da = (qm * qm).sum(0), (am * am).sum(0)
+    wq = np.where(dq > 0, 1 / np.sqrt(np.where(dq > 0, dq, 1)), 0) / n
+    wa = np.where(da > 0, 1 / np.sqrt(np.where(da > 0, da, 1)), 0) / n
+    return (wq[:, None] * (qm.T @ am / n)) * wa[None, :]

@@ -40,4 +40,18 @@ def test_last_wins_and_report(spark, frames):
     top = {r["q"]: r["answer"] for r in E.report_top(*frames).collect()}
     assert top == {"q1": "c", "q2": "b", "q3": "a", "q4": None, "q5": "a"}
     rep = E.report(*frames).filter("q = 'q4'").collect()
-    assert [(r["section"], r["answer"], r["mark"]) for r in rep] == [("missed", "a", "?")]
+    assert [(r["section"], r["answer"], r["mark"]) for r in rep] == [("question", "0", ""), ("missed", "a", "?")]
+    assert E.report(*frames).filter("section = 'question'").count() == 5
+
+
+def test_text_forms(spark, frames):
+    lines = spark.createDataFrame([(1, "1\tq1\ta"), (2, "u\tq1\tb"), (3, "0\tq1\ta"), (4, "bad"), (5, " 1\tq2\tc ")],
+                                  "line_no long, value string")
+    lab = {(r.q, r.answer): r.label for r in E.clean_labels(E.read_labels(lines)).collect()}
+    assert lab == {("q1", "a"): 0, ("q2", "c"): 1}  # u is dropped, the last line wins
+    out = E.prediction_lines(frames[0]).collect()
+    back = E.read_predictions(spark.createDataFrame([(r.line_no, r.value) for r in out], "line_no long, value string"))
+    assert sorted(map(tuple, back.collect())) == sorted(PREDS)
+    shuffled = frames[0].selectExpr("10 - line_no AS line_no", "q", "answer", "dist")
+    order = [(r.first_line, r.line_no) for r in E.prediction_lines(shuffled).collect()]
+    assert order == sorted(order)

@@ -38,7 +38,7 @@ def test_fold_native_equals_fft(spark):
     vs = [rng.normal(size=5).tolist() for _ in range(4)] + [[0.0] * 5]
     df = spark.createDataFrame([(vs,)], "vecs array<array<double>>")
     native = df.select(V.fold_correlation("vecs", 5).alias("f")).first()["f"]
-    assert native == pytest.approx(H.fold_fft(vs, 5).tolist(), abs=1e-9)
+    assert native == pytest.approx(H.fold_all([vs], 5)[0].tolist(), abs=1e-9)
 
 
 def test_answer_structure_native_equals_fft(spark):
@@ -48,3 +48,28 @@ def test_answer_structure_native_equals_fft(spark):
     native = df.select(H.answer_structure("e1", "r", "e2", 4).alias("h")).first()["h"]
     fft = df.select(H.structure_udf(4)("e1", "r", "e2").alias("h")).first()["h"]
     assert native == pytest.approx(fft, abs=1e-9)
+
+
+def test_folds_of_many_lists_at_once(spark):
+    rng = np.random.default_rng(7)
+    lists = [[rng.normal(size=6) for _ in range(n)] for n in (3, 0, 1, 5, 2)] + [[np.zeros(6)], [np.zeros(6), np.ones(6)], None]
+    got = H.fold_all(lists, 6)
+    for vecs, row in zip(lists, got, strict=True):
+        acc = np.zeros(6)
+        for v in vecs or []:
+            acc = H.cc_fft(acc, v)
+        assert row == pytest.approx(acc, abs=1e-9)
+
+
+def test_answers_of_several_words(spark):
+    rng = np.random.default_rng(8)
+    table = [(f"w{i}", rng.normal(size=4).tolist()) for i in range(6)]
+    vectors = spark.createDataFrame(table, "token string, vec array<double>")
+    answers = spark.createDataFrame([(1, ["w0", "w1"], ["w2"], ["w3", "w4", "new"]), (2, ["w5"], [], ["w1"])],
+                                    "id int, e1 array<string>, r array<string>, e2 array<string>")
+    out = {x["id"]: x["vec"] for x in H.answer_holographic(
+        answers, ["id"], {"e1": "e1", "r": "r", "e2": "e2"}, vectors, [0.5] * 4).collect()}
+    of = dict(table) | {"new": [0.5] * 4}
+    for i, parts in ((1, (["w0", "w1"], ["w2"], ["w3", "w4", "new"])), (2, (["w5"], [], ["w1"]))):
+        e1, r, e2 = (H.fold_all([[of[w] for w in p]], 4)[0] for p in parts)
+        assert out[i] == pytest.approx(H.cc_fft(r, H.cc_fft(e1, e2)).tolist(), abs=1e-9)
