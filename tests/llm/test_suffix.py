@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from llm_fixtures import docs_of  # noqa: F401
 from pyspark.sql import functions as F
 
 from qaspark.llm import suffix_array, suffix_dedup
