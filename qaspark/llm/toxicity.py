@@ -1,18 +1,18 @@
 """Toxicity by nearest labelled examples (operator 8).
 
-Terms are lower-case words and their first 4, 5 and 6 letters. The terms that
-tell the classes apart (chi-square over every learnable labelled document)
-span the space; document frequencies come from all documents. Labelled
-examples - at most ``max_examples`` of each class, picked by a hash of their
-id - form an inverted index in blocks with the largest weight of each term in
-each block. For a text the blocks are visited by falling upper bound until no
+The model is learned from at most ``max_rows`` labelled documents of each class,
+picked by a hash of their id. Terms are lower-case words and their first 4, 5 and
+6 letters; those that mark the toxic class (by chi-square and odds in these
+rows) span the space. Document frequencies come from all documents. The first
+``max_examples`` rows of each class form an inverted index in blocks with the
+largest weight of each term in each block. For a text the blocks are visited by falling upper bound until no
 block can reach the k-th cosine, so the nearest examples are exact. They vote
 with their cosine, each class weighted back to its share of the labelled rows;
 a monotone map fitted on the examples themselves, each left out of its own
 vote, turns votes into probabilities. The neighbours are the evidence.
 
-The index is bounded by ``max_examples`` and ``max_terms``, so it is sent to
-every task; frequencies are counted in Spark. Defined results: a text without
+What is learned is bounded by ``max_rows``, ``max_examples`` and ``max_terms``, so
+it is sent to every task; frequencies are counted in Spark. Defined results: a text without
 any term of the space (null and empty ones too) gets the share of toxic
 examples among examples like it; without labels every score is 0; a document
 labelled repeatedly is toxic if one label says so; null labels and labels of
@@ -27,9 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qaspark.llm.common import materialize
+
 _WORDS = re.compile(r"[^\W\d_]+").findall
 #: Examples in a block of the index.
 BLOCK = 64
@@ -65,13 +67,18 @@ def class_counts(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
             .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
 
 
-def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int, max_terms: int, min_chi2: float) -> list[str]:
-    """The terms that depend most on the class, at most ``max_terms``."""
+def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int, max_terms: int, min_chi2: float,
+                 min_odds: float, min_share: float) -> list[str]:
+    """The terms that mark the toxic class most clearly, at most ``max_terms``.
+    A term must occur in ``min_share`` of the toxic rows: the words of one text
+    and its copies are no mark of the class."""
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
     c, d, n = F.lit(float(n_toxic)) - a, F.lit(float(n_clean)) - b, float(n_toxic + n_clean)
     chi2 = F.lit(n) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * float(n_toxic) * float(n_clean))
-    best = (counts.where((F.col("toxic") + F.col("clean") >= 3) & (c + d > 0)).withColumn("x", chi2)
-            .where(F.col("x") >= min_chi2).orderBy(F.col("x").desc(), "term").limit(max_terms))
+    odds = (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))
+    best = (counts.where((F.col("toxic") + F.col("clean") >= 5) & (c + d > 0)).withColumn("x", chi2)
+            .where((F.col("x") >= min_chi2) & (odds >= min_odds) & (a >= min_share * n_toxic))
+            .orderBy(F.col("x").desc(), "term").limit(max_terms))
     return sorted(r["term"] for r in best.select("term").collect())
 
 
@@ -195,38 +202,58 @@ class BlockMaxIndex:
         return float(min(1.0, max(0.0, self.values[i])))
 
 
+def pick(marked: DataFrame, n: dict[int, int], max_rows: int) -> DataFrame:
+    """(i, y, h): at most ``max_rows`` rows of each class, smallest hash first. A
+    threshold on the hash leaves few more than these before anything is sorted."""
+    h = F.xxhash64("i")
+    out = None
+    for y in sorted(n):
+        share = min(1.0, (max_rows + 6 * max_rows ** 0.5) / n[y])
+        part = (marked.where((F.col("y") == y) & (F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30))))
+                .withColumn("h", F.pmod(h, F.lit(1 << 30))).orderBy("h", "i").limit(max_rows))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_col: str = "doc_id",
-        text_col: str = "text", label_col: str = "toxic", max_examples: int = 2000, max_terms: int = 1024,
-        min_chi2: float = 20.0, k: int = 15) -> BlockMaxIndex | None:
+        text_col: str = "text", label_col: str = "toxic", max_rows: int = 10_000, max_examples: int = 2000,
+        max_terms: int = 1024, min_chi2: float = 20.0, min_odds: float = 5.0,
+        min_share: float = 0.02, k: int = 15) -> BlockMaxIndex | None:
     """The index over labelled examples; None if a class has none. ``learnable``
     is a condition on the id column."""
-    marked = (labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
-              .where(F.col("i").isNotNull() & F.col("y").isNotNull()).groupBy("i").agg(F.max("y").alias("y")))
+    marked = (labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y"))
+              .where(F.col("i").isNotNull() & F.col("y").isin(0, 1)).groupBy("i").agg(F.max("y").alias("y")))
     if learnable is not None:
         marked = marked.withColumnRenamed("i", id_col).where(learnable).withColumnRenamed(id_col, "i")
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(marked, "i")
-    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    marked = materialize(marked, "labels")
+    n = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return None
-    terms = choose_terms(class_counts(rows, "t", "y"), n[1], n[0], max_terms, min_chi2)
+    # At most 2 * max_rows ids and labels are sent out.
+    rows = (docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+            .join(F.broadcast(pick(marked, n, max_rows)), "i")
+            .groupBy("i", "y", "h").agg(F.min("t").alias("t")))
+    rows = materialize(rows, "labelled")
+    have = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not have.get(0) or not have.get(1):
+        return None
+    terms = choose_terms(class_counts(rows, "t", "y"), have[1], have[0], max_terms, min_chi2, min_odds, min_share)
     total, df = document_frequencies(docs, text_col, terms)
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
 
-    picked = Window.partitionBy("y").orderBy("h", "i")
-    some = (marked.join(docs.select(F.col(id_col).alias("i")).distinct(), "i", "left_semi")
-            .withColumn("h", F.xxhash64("i"))
-            .withColumn("r", F.row_number().over(picked)).where(F.col("r") <= max_examples).select("i", "y"))
-
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space = TermSpace(terms)
         for b in batches:
             got = [space.counts(t) for t in b["t"]]
             yield pd.DataFrame({"i": b["i"], "y": b["y"], "at": [list(c) for c in got], "n": [list(c.values()) for c in got]})
 
+    ex = None
+    for y in (0, 1):
+        part = rows.where(F.col("y") == y).orderBy("h", "i").limit(max_examples)
+        ex = part if ex is None else ex.unionByName(part)
     # At most 2 * max_examples rows of at most max_terms counts.
-    ex = (docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(some), "i")
-          .mapInPandas(vectors, "i long, y int, at array<int>, n array<int>").dropDuplicates(["i"]).toPandas())
-    ex = ex.sort_values("i", ignore_index=True)
+    ex = (ex.select("i", "y", "t").mapInPandas(vectors, "i long, y int, at array<int>, n array<int>")
+          .toPandas().sort_values("i", ignore_index=True))
     y = ex["y"].to_numpy(np.float64)
     share = {c: n[c] / max(1, int((y == c).sum())) for c in (0, 1)}
     index = BlockMaxIndex(terms, idf, ex["i"].to_numpy(np.int64), y,
