@@ -19,14 +19,14 @@ from qaspark.functions import text as T
 from qaspark.functions.vector import cosine_distance
 from qaspark.operators import cca as CCA
 from qaspark.operators import evaluate as E
+from qaspark.operators import features as FT
 from qaspark.operators import generate as G
-from qaspark.operators import holographic as H
 from qaspark.operators import neighbors as NB
 from qaspark.operators import vectors as VEC
 from qaspark.operators import vocab as VO
 from qaspark.sources import fixtures as X
 
-FEATURES = ("unigram", "bigram", "trigram", "avg", "holographic")
+FEATURES = FT.KINDS
 CANDIDATE_OFFSETS = (0, -2, 2)
 
 
@@ -66,25 +66,17 @@ def featurize(spark: SparkSession, d: str, kind: str, vectors: DataFrame | None
     form ``(row_id, side, idx, cnt)``; ``avg`` / ``holographic`` give
     ``(conv_id, turn, qv, av)``."""
     pairs = X.qa_pairs(spark, d)
-    if kind in ("unigram", "bigram", "trigram"):
-        n = FEATURES.index(kind) + 1
+    if kind in FT.NGRAM_KINDS:
         rows = pairs.select(X.line_key(F.col("conv_id"), F.col("turn")).alias("row_id"),
                             T.split_ws(T.tokenize("q")).alias("q"), T.answer_tokens(T.tokenize("a")).alias("a"))
-        rows = G.with_ngrams(rows, "q", n)
-        toks = VO.side_tokens(rows, {"q": "q", "a": "a"})
-        return VO.ngram_counts(VO.index_tokens(toks, VO.build_vocab(toks)))
+        grams = G.with_ngrams(rows, "q", FT.NGRAM_KINDS[kind])
+        vocab = VO.build_vocab(VO.side_tokens(grams, {"q": "q", "a": "a"}))
+        return FT.featurize(rows, kind, {"q": "q", "a": "a"}, vocab=vocab)
     vectors = vectors if vectors is not None else X.word_vectors(spark, d)
     unknown = unknown if unknown is not None else unknown_of(spark, d, vectors)
-    s = pairs.select("conv_id", "turn", T.split_ws("q").alias("qt"), T.answer_tokens("a").alias("at"))
-    sides = VEC.long_sides(s, ["conv_id", "turn"], {"q": "qt", "a": "at"})
-    ids = ["conv_id", "turn", "side"]
-    if kind == "avg":
-        v = VEC.sentence_vectors(sides, ids, "tokens", vectors, unknown)
-    elif kind == "holographic":
-        v = H.sentence_holographic(sides, ids, "tokens", vectors, unknown)
-    else:
-        raise ValueError(f"unknown feature {kind}")
-    return VEC.pivot_sides(v, ["conv_id", "turn"], {"qv": "q", "av": "a"})
+    s = pairs.select(F.struct("conv_id", "turn").alias("row_id"), T.split_ws("q").alias("q"), T.answer_tokens("a").alias("a"))
+    v = FT.featurize(s, kind, {"q": "q", "a": "a"}, vectors=vectors, unknown=unknown)
+    return VEC.pivot_sides(v.select("row_id.*", "side", "vec"), ["conv_id", "turn"], {"qv": "q", "av": "a"})
 
 
 def turn_vectors(spark: SparkSession, d: str, vectors: DataFrame, unknown: Sequence[float]) -> DataFrame:

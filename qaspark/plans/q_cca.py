@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from qaspark.operators import cca as CCA
@@ -123,3 +124,41 @@ def sparse_cca(spark, d, k: int = 10):
     from qaspark.operators import sparse_cca as SC
     from qaspark.plans import pipelines as P
     return SC.fit_sparse(P.featurize(spark, d, "unigram"), k=k)
+
+
+def _product(features, model):
+    """``n^6 * sum_k q_ik s_k a_jk``. With all singular vectors this is
+    ``n * C_ij / (dq_i da_j)`` for the sums C, dq, da of products and squares."""
+    spark = features.sparkSession
+    n = features.count()
+    rows = ((model.q * model.s) @ model.a.T) * float(n) ** 6
+    frame = pd.DataFrame({"i": range(len(rows)), "row": list(rows)})
+    out = spark.createDataFrame(frame, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v"))
+    return out.select("i", F.col("j").cast("int").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
+
+
+_PRODUCT = """
+SELECT CAST(q.i - 1 AS INTEGER) AS i, CAST(a.i - 1 AS INTEGER) AS j,
+       round(coalesce(any_value(n.n) * sum(q.x * a.x) / nullif(any_value(dq.d) * any_value(da.d), 0), 0.0), 6) + 0.0 AS v
+FROM sv q JOIN sv a ON a.conv_id = q.conv_id AND a.turn = q.turn AND a.side = {a}
+JOIN dg dq ON dq.side = {q} AND dq.i = q.i JOIN dg da ON da.side = {a} AND da.i = a.i, n
+WHERE q.side = {q} GROUP BY q.i, a.i"""
+_DIAGONAL = [("dg", "SELECT side, i, sum(x * x) AS d FROM sv GROUP BY side, i")]
+
+
+@query("cca_one_stage_product", D.with_fx(_PRODUCT.format(q="'q'", a="'a'"), "fx_word_vectors", "fx_pairs",
+                                          extra=_DUCK_GRAM + _DIAGONAL + [("n", "SELECT count(*) AS n FROM fx_pairs")]))
+def cca_one_stage_product(spark, d):
+    """The one-stage model multiplied out: free of signs and rotations."""
+    return _product(qa_features(spark, d), one_stage(spark, d))
+
+
+_DUCK_PARA = [(n, f"""SELECT conv_id, turn, '1' AS side, {D.split_ws(D.no_symbol('q1'))} AS toks FROM fx_paraphrases
+                      UNION ALL SELECT conv_id, turn, '2', {D.split_ws(D.no_symbol('q2'))} FROM fx_paraphrases""") if n == "sent" else (n, b)
+              for n, b in _DUCK_GRAM]
+
+
+@query("cca_paraphrase_product", D.with_fx(_PRODUCT.format(q="'1'", a="'2'"), "fx_word_vectors", "fx_paraphrases",
+                                           extra=_DUCK_PARA + _DIAGONAL + [("n", "SELECT count(*) AS n FROM fx_paraphrases")]))
+def cca_paraphrase_product(spark, d):
+    return _product(paraphrase_features(spark, d), paraphrase_map(spark, d))

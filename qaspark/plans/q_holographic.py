@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from qaspark.functions import text as T
 from qaspark.functions import vector as V
+from qaspark.operators import generate as G
 from qaspark.operators import holographic as H
 from qaspark.operators import vectors as VEC
 from qaspark.plans import duck as D
 from qaspark.plans.catalog import query
-from qaspark.plans.q_vectors import unknown_for
+from qaspark.plans.q_generate import _DUCK_TEST_LINES
+from qaspark.plans.q_vectors import _DUCK_UNK, unknown_for
 from qaspark.sources import fixtures as X
 
 
@@ -68,11 +70,68 @@ def answer_holographic(spark, d):
         "idx", F.col("dim").cast("long").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
 
 
-@query("holographic_features")
+def _duck_fold(vs: str) -> str:
+    """Left fold of the circular correlation over a list of vectors."""
+    return f"list_reduce({vs}, lambda x, y: {_duck_cc('x', 'y')})"
+
+
+_DUCK_WORDS = _DUCK_UNK + [
+    ("hw", f"""SELECT w.conv_id, w.turn, w.pos, coalesce(v.vec, (SELECT vec FROM unk)) AS vec FROM (
+                 SELECT conv_id, turn, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos
+                 FROM (SELECT conv_id, turn, {D.split_ws('lower(q)')} AS toks FROM fx_pairs)) w
+               LEFT JOIN fx_word_vectors v ON v.token = w.token"""),
+    ("hl", "SELECT conv_id, turn, list(vec ORDER BY pos) AS vs FROM hw GROUP BY conv_id, turn"),
+    ("hf", f"MATERIALIZED (SELECT conv_id, turn, {_duck_fold('vs')} AS h FROM hl)"),
+]
+
+
+@query("holographic_features", D.with_fx("""
+SELECT p.conv_id, p.turn, dims.i - 1 AS dim, round(coalesce(hf.h[dims.i], 0.0), 6) + 0.0 AS value
+FROM fx_pairs p CROSS JOIN dims LEFT JOIN hf ON hf.conv_id = p.conv_id AND hf.turn = p.turn""",
+                                         "fx_word_vectors", "fx_pairs", extra=_DUCK_WORDS))
 def holographic_features(spark, d):
     """Flat holographic fold over every word of every QA-pair question (FFT path)."""
     vectors = X.word_vectors(spark, d)
     unknown = unknown_for(spark, d, vectors)
     p = X.qa_pairs(spark, d).select("conv_id", "turn", T.split_ws(F.lower("q")).alias("tokens"))
     h = H.sentence_holographic(p, ["conv_id", "turn"], "tokens", vectors, unknown)
-    return h.select("conv_id", "turn", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return h.select("conv_id", "turn", F.posexplode("vec").alias("dim", "value")).select(
+        "conv_id", "turn", F.col("dim").cast("long").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+_DUCK_ANSWERS = _DUCK_UNK + _DUCK_TEST_LINES + [
+    ("ans", f"""SELECT row_id, part, list_filter(regexp_split_to_array(lower(txt), '\\s+'), lambda x: x <> '') AS toks FROM (
+                  SELECT row_id, unnest(['e1', 'r', 'e2']) AS part,
+                         unnest([{D.no_symbol('parts[2]')}, {D.no_symbol('parts[1]')},
+                                 {D.no_symbol("CASE WHEN np = 3 THEN parts[3] ELSE 'PLACEHOLDER' END")}]) AS txt
+                  FROM tp2 WHERE reject IS NULL)"""),
+    ("aw", """SELECT w.part, w.toks, w.pos, coalesce(v.vec, (SELECT vec FROM unk)) AS vec FROM (
+                SELECT part, toks, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos
+                FROM (SELECT DISTINCT part, toks FROM ans)) w LEFT JOIN fx_word_vectors v ON v.token = w.token"""),
+    ("al", "SELECT part, toks, list(vec ORDER BY pos) AS vs FROM aw GROUP BY part, toks"),
+    ("af", f"MATERIALIZED (SELECT part, toks, {_duck_fold('vs')} AS h FROM al)"),
+    ("zero", "SELECT list(0.0::DOUBLE) AS z FROM dims"),
+    ("ap", """SELECT a.row_id, max(CASE WHEN a.part = 'e1' THEN coalesce(f.h, zero.z) END) AS e1,
+                     max(CASE WHEN a.part = 'r' THEN coalesce(f.h, zero.z) END) AS r,
+                     max(CASE WHEN a.part = 'e2' THEN coalesce(f.h, zero.z) END) AS e2
+              FROM ans a CROSS JOIN zero LEFT JOIN af f ON f.part = a.part AND f.toks = a.toks GROUP BY a.row_id"""),
+    ("ae", f"MATERIALIZED (SELECT row_id, r, {_duck_cc('e1', 'e2')} AS ee FROM ap)"),
+    ("ah", f"MATERIALIZED (SELECT row_id, {_duck_cc('r', 'ee')} AS h FROM ae)"),
+]
+
+
+@query("holographic_answers", D.with_fx("""
+SELECT row_id, dim, round(h[dim + 1], 6) + 0.0 AS value
+FROM (SELECT row_id, h, CAST(unnest(range(0, len(h))) AS BIGINT) AS dim FROM ah)""",
+                                        "fx_triples", "fx_word_vectors", extra=_DUCK_ANSWERS))
+def holographic_answers(spark, d):
+    """Structured answers ``e1|r|e2`` of the test rows, entities of any number of
+    words: ``fold(r) * (fold(e1) * fold(e2))``."""
+    vectors = X.word_vectors(spark, d)
+    unknown = unknown_for(spark, d, vectors)
+    t = G.test_pairs(X.test_label_lines(spark, d), X.cluster_id_lines(spark, d)).where(F.col("reject").isNull())
+    f = F.split(F.lower("a"), r"\|")
+    rows = t.select("row_id", *[T.split_ws(F.get(f, i)).alias(p) for i, p in enumerate(("e1", "r", "e2"))])
+    h = H.answer_holographic(rows, ["row_id"], {p: p for p in ("e1", "r", "e2")}, vectors, unknown)
+    return h.select("row_id", F.posexplode("vec").alias("dim", "value")).select(
+        "row_id", F.col("dim").cast("long").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
