@@ -33,9 +33,9 @@ from qaspark.llm.common import materialize
 
 
 #: Words kept in a worker's table.
-WORD_CACHE = 800_000
+WORD_CACHE = 1_500_000
 #: Characters tokenised together.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 4_000_000
 
 
 class WordCoder:
@@ -58,32 +58,29 @@ class WordCoder:
 
     def _learn(self, words: set[str]) -> None:
         known = self.known
-        plain, ending, other = set(), [], []
-        for w in words:
-            if w.isalpha():
-                plain.add(w)
-            elif w[-1] in ".,;:!?|" and w[:-1].isalpha() and normalize("NFC", w[:-1]).lower().isalpha():
+        plain = {w for w in words if w.isalpha()}
+        ending, other = [], []
+        for w in words - plain:
+            if w[-1] in ".,;:!?|" and w[:-1].isalpha() and (
+                    w.isascii() or normalize("NFC", w[:-1]).lower().isalpha()):
                 ending.append(w)
-                plain.add(w[:-1])
-                known.get(w[-1]) or other.append(w[-1])
             else:
                 other.append(w)
-        todo = [w for w in plain if w not in known]
+        plain.update([w[:-1] for w in ending])
+        other += {w[-1] for w in ending}.difference(known, other)
+        todo = list(plain.difference(known))
         if todo:
             # One word of letters is one unit whose last token marks its end.
             ids = np.array(self.tok.encode_batch_fast([" ".join(todo)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(ends) == len(todo):
-                raw, a = ids.tobytes(), 0
-                for w, b in zip(todo, (ends * 4).tolist(), strict=True):
-                    known[w] = raw[a:b]
-                    a = b
+                raw = ids.tobytes()
+                known.update(zip(todo, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
             else:  # some letter's normal form holds a mark
                 other += todo
         for w, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
-        for w in ending:
-            known[w] = known[w[:-1]] + known[w[-1]]
+        known.update([(w, known[w[:-1]] + known[w[-1]]) for w in ending])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes."""
