@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaspark.functions import text as T
+from qaspark.operators.ranking import running_rank
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES - question templates by relation class, and the answer form.
@@ -96,7 +97,7 @@ def last_wins_map(df: DataFrame, key: str, value: str, order: str = "line_no") -
 
 
 def test_pairs(label_lines: DataFrame, cluster_lines: DataFrame, whole_line: bool = False) -> DataFrame:
-    """Labelled QA rows -> ``(row_id, q_id, q, a, label, reject)``.
+    """Labelled QA rows -> ``(row_id, q_id, q_raw, q, a, label_text, reject)``.
 
     ``label_lines``: ``(line_no, value)`` with ``label \\t question \\t r e1 [e2]``.
     ``cluster_lines``: ``(line_no, value)`` with ``id \\t question``; a question
@@ -123,7 +124,7 @@ def test_pairs(label_lines: DataFrame, cluster_lines: DataFrame, whole_line: boo
     reject = (F.when(F.col("nf") != 3, "bad_line").when(F.col("q_id").isNull(), "unknown_question")
               .when((n != 2) & (n != 3), "bad_answer"))
     return j.select(
-        "row_id", F.col("q_id"), T.no_symbol(F.col("q0")).alias("q"),
+        "row_id", F.col("q_id"), F.col("q0").alias("q_raw"), T.no_symbol(F.col("q0")).alias("q"),
         F.concat_ws(ANSWER_SEP, T.no_symbol(e1), T.no_symbol(r), T.no_symbol(e2)).alias("a"),
         F.col("l").alias("label_text"), reject.alias("reject"))
 
@@ -155,11 +156,12 @@ def paraphrases(question_lines: DataFrame, alignment_lines: DataFrame, prefix: b
 
 def stratified_sample(triples: DataFrame, n_other: int = 30000, n_special: int = 60000) -> DataFrame:
     """Union (distinct) of the first ``n_other`` triples whose relation ends
-    neither ``-in.r`` nor ``-on.r`` and the first ``n_special`` that do."""
+    neither ``-in.r`` nor ``-on.r`` and the first ``n_special`` that do, by
+    distributed rank: no task holds a whole class."""
     special = F.col("rel").like("%-in.r") | F.col("rel").like("%-on.r")
-    a = triples.filter(~special).orderBy("tid").limit(n_other)
-    b = triples.filter(special).orderBy("tid").limit(n_special)
-    return a.union(b).distinct()
+    ranked = running_rank(triples.withColumn("_special", special), ["_special"], [F.col("tid")], rank_col="_rank")
+    limit = F.when(F.col("_special"), n_special).otherwise(n_other)
+    return ranked.where(F.col("_rank") <= limit).drop("_special", "_rank").distinct()
 
 
 def rated_positive(*line_sets: DataFrame) -> DataFrame:

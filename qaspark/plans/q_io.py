@@ -162,6 +162,32 @@ def roundtrip_vectors(spark, d):
     return long.select("form", "token", F.col("dim").cast("long").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
 
 
+@query("roundtrip_corpus", f"""
+SELECT array_to_string({D.split_ws(D.no_symbol('line'))}, ' ') AS tokens
+FROM (SELECT unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) AS line FROM documents)""")
+def roundtrip_corpus(spark, d):
+    """The corpus written as a directory of text files and read from there."""
+    path = scratch_path(spark, "corpus")
+    X.corpus(spark, d).where(F.col("text").isNotNull()).select("text").write.text(path)
+    return S.read_corpus(spark, path).select(F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("roundtrip_unknown", D.with_fx("""
+SELECT 'vector' AS kind, token, CAST(i - 1 AS BIGINT) AS dim, round(x, 6) + 0.0 AS value FROM (
+  SELECT token, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM (
+    SELECT token, vec FROM fx_word_vectors WHERE token <> 'UNKNOWN' UNION ALL SELECT 'UNKNOWN', vec FROM unk))
+UNION ALL SELECT 'rare', token, CAST(0 AS BIGINT), 0.0 FROM rare""", "fx_word_vectors", extra=_DUCK_UNK))
+def roundtrip_unknown(spark, d):
+    """The vector table with its UNKNOWN row and the rare-token list, written and read back."""
+    vectors, p1, p2 = X.word_vectors(spark, d), scratch_path(spark, "with-unknown"), scratch_path(spark, "rare")
+    K.write_table(VEC.with_unknown(vectors, P.unknown_of(spark, d, vectors)), p1)
+    K.write_table(VEC.low_frequency_tokens(X.corpus_token_counts(spark, d), vectors), p2)
+    long = S.read_table(spark, p1).select(F.lit("vector").alias("kind"), "token", F.posexplode("vec").alias("dim", "value"))
+    rare = S.read_table(spark, p2).select(F.lit("rare").alias("kind"), "token", F.lit(0).alias("dim"), F.lit(0.0).alias("value"))
+    return long.unionByName(rare).select("kind", "token", F.col("dim").cast("long").alias("dim"),
+                                         (F.round("value", 6) + 0.0).alias("value"))
+
+
 # ---- data sets in index and embedding form --------------------------------
 
 def _train_rows(spark, d, grams=1):

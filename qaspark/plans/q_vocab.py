@@ -38,9 +38,11 @@ def test_rows(spark, d, mode="raw_token"):
 
 
 def _duck_vocab(grams: int, name: str = "vocab") -> list[tuple[str, str]]:
-    qt = "qt" if grams == 1 else (
-        "CASE WHEN len(qt) >= 2 THEN list_transform(range(1, len(qt)), lambda i: qt[i] || ' ' || qt[i + 1]) "
-        "ELSE [] END")
+    qt = "qt"
+    if grams > 1:
+        parts = " || ' ' || ".join(f"qt[i + {k}]" for k in range(grams))
+        qt = (f"CASE WHEN len(qt) >= {grams} THEN list_transform(range(1, len(qt) - {grams - 2}), lambda i: {parts}) "
+              "ELSE [] END")
     return _duck_train_lines() + [
         ("rt", f"""SELECT row_id, {D.split_ws(D.tokenize('f[1]'))} AS qt, {_duck_answer_tokens(D.tokenize('f[2]'))} AS ans
                    FROM (SELECT line_no AS row_id, string_split({D.strip('value')}, {TAB}) AS f FROM train_lines)
@@ -62,11 +64,29 @@ def vocab_index_bigram(spark, d):
     return train_vocab(spark, d, 2)
 
 
-@query("vocab_sizes", D.with_fx(
-    "SELECT 1 AS grams, side, max(idx) + 1 AS n FROM vocab GROUP BY side",
-    "fx_triples", extra=_duck_vocab(1)))
+@query("vocab_index_trigram", D.with_fx("SELECT side, token, idx FROM vocab", "fx_triples", extra=_duck_vocab(3)))
+def vocab_index_trigram(spark, d):
+    return train_vocab(spark, d, 3)
+
+
+def _duck_sizes() -> str:
+    extra = _duck_vocab(1)
+    for n in (2, 3):
+        names = {"tok": f"tok{n}", "freq": f"freq{n}", "vocab": f"vocab{n}"}
+        for name, body in _duck_vocab(n):
+            if name in names:
+                extra.append((names[name], body.replace("FROM tok ", f"FROM tok{n} ").replace("FROM freq", f"FROM freq{n}")))
+    parts = [f"SELECT {n} AS grams, side, max(idx) + 1 AS n FROM vocab{n if n > 1 else ''} GROUP BY side" for n in (1, 2, 3)]
+    return D.with_fx(" UNION ALL ".join(parts), "fx_triples", extra=extra)
+
+
+@query("vocab_sizes", _duck_sizes())
 def vocab_sizes(spark, d):
-    return VO.vocab_sizes(train_vocab(spark, d, 1)).select(F.lit(1).alias("grams"), "side", "n")
+    out = None
+    for n in (1, 2, 3):
+        s = VO.vocab_sizes(train_vocab(spark, d, n)).select(F.lit(n).alias("grams"), "side", "n")
+        out = s if out is None else out.unionByName(s)
+    return out
 
 
 def _duck_test_tokens() -> list[tuple[str, str]]:

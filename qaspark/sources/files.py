@@ -17,6 +17,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.struct("_f", "_b", "_i").alias("line_no"), "value")
 
 
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """A file or directory of corpus files, a sentence per line, as
+    symbol-cleaned token arrays ``(line_no, tokens)``."""
+    return read_lines(spark, path).select("line_no", T.split_ws(T.no_symbol(F.col("value"))).alias("tokens"))
+
+
 def read_word2vec_text(spark: SparkSession, path: str) -> DataFrame:
     """``(token, vec)`` from the word-vector text format; the header
     ``count width`` line (two fields) is skipped."""
