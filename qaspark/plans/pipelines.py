@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from qaspark.functions import text as T
 from qaspark.functions.vector import cosine_distance
 from qaspark.operators import cca as CCA
+from qaspark.operators import coverage as C
 from qaspark.operators import evaluate as E
 from qaspark.operators import features as FT
 from qaspark.operators import generate as G
@@ -163,14 +164,31 @@ def paraphrase_features(spark: SparkSession, d: str, vectors: DataFrame, unknown
     return VEC.pivot_sides(v, ["conv_id", "turn"], {"qv": 1, "av": 2})
 
 
+def training_pairs(spark: SparkSession, d: str, dataset: str) -> DataFrame | None:
+    """Keys of the pairs a data set trains on: ``full`` (None, all pairs) or
+    ``filtered`` (pairs that pass the coverage filter)."""
+    if dataset == "full":
+        return None
+    if dataset != "filtered":
+        raise ValueError(f"unknown data set {dataset}")
+    pairs = (X.qa_pairs(spark, d).withColumn("qt", T.split_ws(F.lower("q")))
+             .withColumn("at", T.answer_tokens(F.lower("a"))))
+    return C.filter_covered(pairs, ["conv_id", "turn"], ["qt", "at"], X.covered_tokens(spark, d)).select("conv_id", "turn")
+
+
 def sweep(spark: SparkSession, d: str, embeddings: Sequence[str] = ("main", "other", "expanded"),
-          stages: Sequence[int] = (1, 2)) -> DataFrame:
-    """The experiment grid: statistics rows for every (embedding, stage); the
-    paraphrase model and features of an embedding are reused across stages."""
+          stages: Sequence[int] = (1, 2), datasets: Sequence[str] = ("full", "filtered")) -> DataFrame:
+    """The experiment grid: statistics rows for every (data set, embedding,
+    stage); the vectors, turns and paraphrase model of an embedding are reused
+    across data sets and stages."""
     out = None
+    keys = {ds: training_pairs(spark, d, ds) for ds in datasets}
     for emb in embeddings:
         prepared = prepare(spark, d, emb, stages)
-        for st in stages:
-            r = evaluate_config(spark, d, emb, st, prepared=prepared)
-            out = r if out is None else out.unionByName(r)
+        for ds, kept in keys.items():
+            own = prepared if kept is None else prepared | {
+                "features": prepared["features"].join(kept, ["conv_id", "turn"], "left_semi")}
+            for st in stages:
+                r = evaluate_config(spark, d, emb, st, prepared=own).withColumn("dataset", F.lit(ds))
+                out = r if out is None else out.unionByName(r)
     return out
