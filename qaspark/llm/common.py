@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from qaspark.session import materialize as _materialize
 
 #: White space of the word and line rules: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
+#: Rows of an Arrow batch that Python code holds at a time.
+SLICE_ROWS = 512
 #: Documents without an id sort behind all others and count as one document.
 NO_ID = (1 << 63) - 1
 
@@ -55,3 +63,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         return _materialize(df, name)
     finally:
         conf.set(key, before)
+
+
+def map_slices(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str,
+               rows: int = SLICE_ROWS) -> DataFrame:
+    """Like ``mapInPandas``, but ``fn`` sees an Arrow batch in slices of ``rows``
+    rows: long texts become Python strings a few at a time. Integer columns with
+    nulls hold Python integers and None."""
+    out = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = (b.slice(at, rows).to_pandas(integer_object_nulls=True)
+                  for b in batches for at in range(0, b.num_rows, rows))
+        for frame in fn(slices):
+            if len(frame):
+                yield pa.RecordBatch.from_pandas(frame, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, out)
+
+
+def add_columns(df: DataFrame, inputs: list[str], fn: Callable[..., pd.DataFrame], schema: str,
+                rows: int = SLICE_ROWS) -> DataFrame:
+    """``df`` with the columns that ``fn`` makes of the ``inputs``, in slices of
+    ``rows`` rows; they replace columns of those names. All others pass as they are."""
+    new = StructType.fromDDL(schema)
+    keep = [f for f in df.schema.fields if f.name not in new.names]
+    arrow = to_arrow_schema(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                s = b.slice(at, rows)
+                made = fn(*[s.column(c).to_pandas(integer_object_nulls=True) for c in inputs])
+                made = pa.RecordBatch.from_pandas(made, schema=arrow, preserve_index=False)
+                fields = [s.schema.field(f.name) for f in keep] + list(arrow)
+                yield pa.RecordBatch.from_arrays([s.column(f.name) for f in keep] + made.columns, schema=pa.schema(fields))
+
+    return df.mapInArrow(run, StructType(keep + new.fields))

@@ -26,11 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qaspark.llm.common import materialize, order_id
+from qaspark.llm.common import add_columns, map_slices, materialize, order_id
 
-MEAN_CHUNK, MIN_CHUNK, MAX_CHUNK = 48, 8, 1024
+#: One place in ``MEAN_CHUNK`` ends a chunk; with ``MIN_CHUNK``, chunks are some 28
+#: bytes long, so that a passage of 50 words holds several whole ones.
+MEAN_CHUNK, MIN_CHUNK, MAX_CHUNK = 20, 8, 1024
 #: Bytes chunked together.
-BATCH = 4_000_000
+BATCH = 2_000_000
 _GEAR = np.random.RandomState(10).randint(0, 1 << 16, 256).astype(np.uint16)
 _GEAR[0] = 0  # the zero bytes between texts add nothing
 _WINDOW = 16
@@ -109,8 +111,8 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     texts, n, first = [], 0, k + 1
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return (docs.select(order_id(id_col).alias("ord"), F.xxhash64(text).alias("th"), text.alias("t"))
-            .mapInPandas(cut, "ord long, th long, start int, size int, d1 long, d2 int"))
+    texts = docs.select(order_id(id_col).alias("ord"), F.xxhash64(text).alias("th"), text.alias("t"))
+    return map_slices(texts, cut, "ord long, th long, start int, size int, d1 long, d2 int")
 
 
 def repeated_chunks(chunks: DataFrame) -> DataFrame:
@@ -118,6 +120,8 @@ def repeated_chunks(chunks: DataFrame) -> DataFrame:
     firsts = (chunks.groupBy("d1", "d2")
               .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "start")).alias("f"))
               .where(F.col("c") > 1).select("d1", "d2", "f"))
+    # Written: a join of two plain exchanges is one whose hot keys Spark splits.
+    firsts = materialize(firsts, "first-chunks")
     return (chunks.join(firsts, ["d1", "d2"])
             .where((F.col("ord") != F.col("f.ord")) | (F.col("start") != F.col("f.start")))
             .select("ord", "th", "start", "size"))
@@ -135,31 +139,29 @@ def spans_of(parts: list, min_run: int) -> list[tuple[int, int]]:
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     min_run: int = 64) -> DataFrame:
+                     min_run: int = 96) -> DataFrame:
     """All columns of ``docs`` with the text without its repeated runs, and
     ``n_bytes``, ``n_removed``, ``n_spans`` (long; they replace such columns)."""
     chunks = materialize(chunk_table(docs, id_col, text_col), "chunks")
     gone = (repeated_chunks(chunks).groupBy("ord", "th")
-            .agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("_sd_parts"))
-            .withColumnsRenamed({"ord": "_sd_ord", "th": "_sd_th"}))
+            .agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("_sd_parts")))
+    gone = materialize(gone, "repeated").withColumnsRenamed({"ord": "_sd_ord", "th": "_sd_th"})
 
     def cut(texts: pd.Series, parts: pd.Series) -> pd.DataFrame:
         rows = []
         for t, p in zip(texts, parts, strict=True):
-            raw = t.encode("utf-8", "surrogatepass")
+            raw = (t or "").encode("utf-8", "surrogatepass")
             spans = [] if p is None else spans_of([(x["start"], x["size"]) for x in p], min_run)
             if spans:
                 edges = [0, *[e for s in spans for e in s], len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 rows.append((kept.decode("utf-8", "surrogatepass"), len(raw), len(raw) - len(kept), len(spans)))
             else:
-                rows.append((t, len(raw), 0, 0))
-        return pd.DataFrame(rows, columns=["text", "n_bytes", "n_removed", "n_spans"])
+                rows.append((t or "", len(raw), 0, 0))
+        return pd.DataFrame(rows, columns=[text_col, "n_bytes", "n_removed", "n_spans"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     left = docs.withColumns({"_sd_ord": order_id(id_col), "_sd_th": F.xxhash64(text)})
-    done = F.pandas_udf(cut, "text string, n_bytes long, n_removed long, n_spans long")
-    return (left.join(gone, ["_sd_ord", "_sd_th"], "left")
-            .withColumn("_sd", done(text, F.col("_sd_parts")))
-            .withColumns({text_col: F.col("_sd.text"), **{c: F.col(f"_sd.{c}") for c in ("n_bytes", "n_removed", "n_spans")}})
-            .drop("_sd", "_sd_ord", "_sd_th", "_sd_parts"))
+    both = left.join(gone, ["_sd_ord", "_sd_th"], "left").drop("_sd_ord", "_sd_th")
+    return add_columns(both, [text_col, "_sd_parts"], cut,
+                       f"`{text_col}` string, n_bytes long, n_removed long, n_spans long").drop("_sd_parts")

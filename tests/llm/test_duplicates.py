@@ -135,7 +135,7 @@ def slow_chunks(raw):
     return sorted(set(out))
 
 
-def slow_dedup(rows, min_run=64):
+def slow_dedup(rows, min_run=96):
     seen, out = set(), {}
     order = sorted(range(len(rows)), key=lambda k: (1 << 63) - 1 if rows[k][0] is None else rows[k][0])
     for k in order:

@@ -74,3 +74,22 @@ def test_repeated_rows_nulls_and_empty_tables(spark, docs_of):
     got = sorted((r.doc_id or 0, r.n_removed) for r in out.collect())
     assert got == [(0, 0), (1, len(t)), (1, len(t)), (2, 0)]
     assert suffix_dedup.remove_repeats(docs_of([]).where(F.lit(False))).count() == 0
+
+
+def test_whole_documents_against_brute_force(spark):
+    """Production parameters over the whole small table."""
+    import hashlib
+
+    import pandas as pd
+    from llm_fixtures import SF001
+
+    from qaspark.llm import queries
+    docs = pd.read_parquet(f"{SF001}/documents.parquet")
+    flags = brute(docs.text.tolist(), 400)
+    want = {}
+    for i, t, f in zip(docs.doc_id, docs.text, flags, strict=True):
+        raw = (t or "").encode()
+        kept = bytes(b for b, x in zip(raw, f, strict=True) if not x)
+        want[i] = (len(raw), sum(f), sum(x and not (k and f[k - 1]) for k, x in enumerate(f)), hashlib.sha256(kept).hexdigest())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.QUERIES["op5_suffix_dedup"](spark, SF001).collect()}
+    assert got == want and sum(w[1] for w in want.values()) > 0
