@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaspark.llm import line_dedup, ngram_join, packing, quality_rules, substring_dedup
-from qaspark.llm.common import materialize, table
+from qaspark.llm.common import materialize, order_id, table
 
 
 def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -28,8 +28,13 @@ def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their own rules and their host's."""
-    judged = quality_rules.judge(docs, keep=tuple(docs.columns))
-    return judged.where("kept").select(*docs.columns)
+    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.withColumns({"_ord": order_id("doc_id"), "_th": th})
+    judged = quality_rules.judge(keyed, keep=("_ord", "_th"))
+    # A verdict follows from the text and its host, so rows alike share theirs.
+    kept = judged.where("kept").select("_ord", "_th", F.col("source").alias("_host")).distinct()
+    return keyed.join(kept, (keyed["_ord"] == kept["_ord"]) & (keyed["_th"] == kept["_th"])
+                      & keyed["source"].eqNullSafe(kept["_host"]), "left_semi").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qaspark.llm.common import map_slices
+
 #: Entries of a worker's table of pieces (two generations of this size are
 #: kept) and of its table of pairs.
 PIECE_CACHE = 300_000
@@ -204,6 +206,6 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield out
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-            .mapInPandas(digest, f"i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-            .withColumnRenamed("i", id_col))
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    return map_slices(texts, digest, f"i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+                      ).withColumnRenamed("i", id_col)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from qaspark.session import materialize as _materialize
+from qaspark.session import scratch_path
 
 #: White space of the word and line rules: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -55,14 +55,29 @@ def fold_is(id_col: str, m: int, r: int) -> Column:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back. The job's shuffle
     files are dropped when it ends: nothing reads them again."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    conf = df.sparkSession.conf
+    conf = spark.conf
     before = conf.get(key, "false")
     conf.set(key, "true")
     try:
-        return _materialize(df, name)
+        df.write.parquet(path)
     finally:
         conf.set(key, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that no later plan reads."""
+    for t in tables:
+        delete_path(t.sparkSession, t._scratch)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def map_slices(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str,

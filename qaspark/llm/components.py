@@ -14,10 +14,16 @@ from qaspark.llm.common import materialize
 
 
 
+def _written(least: DataFrame) -> DataFrame:
+    """Written, so that the join with it is one of two plain exchanges: Spark
+    splits a node with very many neighbours over tasks."""
+    return materialize(least, "cc-least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to its smallest one (or itself)."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = _written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     return (both.where(F.col("b") > F.col("a")).join(least, "a")
             .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
 
@@ -25,7 +31,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node's smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = _written(down.groupBy("a").agg(F.min("b").alias("m")))
     return (down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(least.select("a", F.col("m").alias("b")))
             .where("a <> b").distinct())
@@ -36,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select("a", "b").where("a <> b").distinct(), "cc")
     seen = None
     while True:
-        now = materialize(_small_star(_large_star(now)), "cc")
+        now = materialize(_small_star(materialize(_large_star(now), "cc")), "cc")
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 31))).first()
         if mark == seen:
             break

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qaspark.llm.common import add_columns, map_slices
+
 #: N-grams a task holds before it hands on its counts.
 FLUSH = 2_000_000
 #: N-grams of one language that wait to be counted together.
@@ -103,7 +105,7 @@ def count_ngrams(rows: DataFrame, text: Column, lang: Column) -> DataFrame:
             settle(name)
         yield from hand_on()
 
-    return rows.select(text.alias("t"), lang.alias("l")).mapInPandas(count, "lang string, gram long, n long")
+    return map_slices(rows.select(text.alias("t"), lang.alias("l")), count, "lang string, gram long, n long")
 
 
 def learn_profiles(train: DataFrame, text_col: str = "text", lang_col: str = "lang",
@@ -147,6 +149,4 @@ def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size:
     def label(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([guess(t) for t in texts], columns=["lang_pred", "score"])
 
-    found = F.pandas_udf(label, "lang_pred string, score double")(F.col(text_col))
-    return (docs.withColumn("_li", found)
-            .withColumns({"lang_pred": F.col("_li.lang_pred"), "score": F.col("_li.score")}).drop("_li"))
+    return add_columns(docs, [text_col], label, "lang_pred string, score double")

@@ -25,7 +25,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaspark.llm.common import SPACES, materialize, order_id
+from qaspark.llm.common import SPACES, delete_path, discard, materialize, order_id
 from qaspark.session import scratch_path
 
 _KEY = ["h1", "h2"]
@@ -103,6 +103,13 @@ class LineRuns:
             for n in old:
                 self.spark.sql(f"DROP TABLE IF EXISTS {n}")
 
+    def close(self) -> None:
+        """Delete the runs."""
+        for n in self.names():
+            self.spark.sql(f"DROP TABLE IF EXISTS {n}")
+        self.levels = []
+        delete_path(self.spark, self.path)
+
     def repeated(self, occurrences: DataFrame) -> DataFrame:
         """The occurrences of keys that an earlier document holds."""
         runs = self.all()
@@ -124,8 +131,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         batch = occ
         batch = batch if lo is None else batch.where(F.col("ord") > lo)
         runs.add(batch if hi is None else batch.where(F.col("ord") <= hi))
-    return (runs.repeated(occ).groupBy("ord", "th")
-            .agg(F.collect_set("pos").alias("gone")))
+    gone = materialize(runs.repeated(occ).groupBy("ord", "th").agg(F.collect_set("pos").alias("gone")), "repeated")
+    runs.close()
+    discard(occ)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qaspark.llm.common import materialize, order_id
+from qaspark.llm.common import discard, map_slices, materialize, order_id
 from qaspark.llm.components import components
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -132,8 +132,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows
                              pd.DataFrame(out, columns=["node", "grams", "sig", "band"])], axis=1)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return (docs.select(order_id(id_col).alias("ord"), F.xxhash64(text).alias("th"), text.alias("t"))
-            .mapInPandas(run, "ord long, th long, node binary, grams int, sig binary, band array<long>"))
+    texts = docs.select(order_id(id_col).alias("ord"), F.xxhash64(text).alias("th"), text.alias("t"))
+    return map_slices(texts, run, "ord long, th long, node binary, grams int, sig binary, band array<long>")
 
 
 class _Forest:
@@ -219,7 +219,7 @@ def verify(nodes: DataFrame, groups: DataFrame, sets: DataFrame, threshold: floa
     of the links (links null). ``groups``: (node, root); ``sets``: (node, bytes)."""
     sizes = groups.join(nodes.select("node", "grams"), "node")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int")
-    per = sizes.groupBy("root").agg(blocks.alias("nb"))
+    per = materialize(sizes.groupBy("root").agg(blocks.alias("nb")), "blocks")  # so that a hot root is split
     members = (groups.join(per, "root")
                .withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
                .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -261,9 +261,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands, per = choose_bands(threshold, recall)
     known = materialize(sketch(docs, id_col, text_col, n, bands, per), "sketch")
     # Repeated rows are one document; one row with sketch per node.
-    place = known.select("ord", "th", F.coalesce("node", F.concat(F.lit(b"-"), F.col("ord").cast("string").cast("binary"))).alias("node"))
+    place = materialize(known.select("ord", "th", F.coalesce("node", F.concat(F.lit(b"-"), F.col("ord").cast("string").cast("binary"))).alias("node")), "place")
     nodes = materialize(known.where(F.col("node").isNotNull()).groupBy("node")
                         .agg(F.min(F.struct("ord", "th", "grams", "sig", "band")).alias("r")).select("node", "r.*"), "nodes")
+    discard(known)
     near = components(screen(nodes, threshold - MARGIN, bands * per))
     groups = materialize(near, "groups")
 
@@ -274,9 +275,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     wanted = nodes.join(groups.select("node"), "node", "left_semi").select("node", "ord", "th")
-    sets = (docs.select(order_id(id_col).alias("ord"), F.xxhash64(text).alias("th"), text.alias("t"))
-            .join(wanted, ["ord", "th"]).select("node", "t").mapInPandas(gather, "node binary, bytes binary")
-            .dropDuplicates(["node"]))
+    texts = docs.select(order_id(id_col).alias("ord"), F.xxhash64(text).alias("th"), text.alias("t"))
+    sets = map_slices(texts.join(wanted, ["ord", "th"]).select("node", "t"), gather,
+                      "node binary, bytes binary").dropDuplicates(["node"])
     found = materialize(verify(nodes, groups, sets, threshold), "links")
     classes = components(found.where(F.col("b").isNotNull()).select("a", "b"))
     links = found.where(F.col("links").isNotNull()).groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
@@ -285,7 +286,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("node", "rep_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce("root", "node").alias("root")))
     info = materialize(info, "info")
-    firsts = info.groupBy("root").agg(F.min("rep_id").alias("class_id"))
+    discard(nodes, groups, found)
+    firsts = materialize(info.groupBy("root").agg(F.min("rep_id").alias("class_id")), "classes")
     info = info.join(firsts, "root").drop("root")
     return place.join(info, "node").select("ord", "th", "class_id", "rep_id", "n_links", "n_copies")
 

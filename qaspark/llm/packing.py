@@ -18,10 +18,11 @@ repeated rows are packed each; an empty table gives an empty table.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import normalize
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pandas as pd
@@ -29,15 +30,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qaspark.llm.common import materialize
+from qaspark.llm.common import map_slices, materialize
 
 
 #: Words kept in a worker's table.
-WORD_CACHE = 1_500_000
+WORD_CACHE = 700_000
 #: Characters tokenised together.
 BATCH_CHARS = 4_000_000
 
 
+_CLUSTER = re.compile(r"[.,](?:[^\s\w]|_)|(?:[^\s\w]|_)[.,]").search
+
+
 class WordCoder:
     """Token ids by a word-level BPE of the ``tokenizers`` library that drops
     white space. A text is the sequence of its white-space separated words, so
@@ -56,6 +60,17 @@ class WordCoder:
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
 
+    @staticmethod
+    def _plain(text: str) -> str:
+        """The text with fewer different words and the same ids: in lower case,
+        where that is what the tokenizer makes of it, and with commas and full
+        stops set apart, where no other mark is next to them."""
+        if text.isascii() or (is_normalized("NFC", text) and "\u0130" not in text and "\u03a3" not in text):
+            text = text.lower()
+            if _CLUSTER(text) is None:
+                text = text.replace(",", " , ").replace(".", " . ")
+        return text
+
     def _learn(self, words: set[str]) -> None:
         known = self.known
         plain = {w for w in words if w.isalpha()}
@@ -86,7 +101,7 @@ class WordCoder:
         """Ids of each text as bytes."""
         # str.split also splits at \x1c-\x1f, which the tokenizer does not drop.
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        words = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
+        words = [[] if o else self._plain(t).split() for t, o in zip(texts, odd, strict=True)]
         need = set().union(*words)
         if len(self.known) > WORD_CACHE:
             self.known = {w: self.known[w] for w in need if w in self.known}
@@ -142,10 +157,9 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                 yield out if with_ids else out.drop(columns="ids")
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-            .mapInPandas(cut, f"i {kind}, uid long, piece int, start long, length long, ids_crc32 long"
-                         + (", ids binary" if with_ids else ""))
-            .withColumnRenamed("i", id_col))
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    schema = f"i {kind}, uid long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    return map_slices(texts, cut, schema, 2048).withColumnRenamed("i", id_col)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

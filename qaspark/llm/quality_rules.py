@@ -77,19 +77,19 @@ def host_rates(measured: DataFrame, host_col: str) -> DataFrame:
     variance v less the binomial part; alpha + beta = m(1-m)/v - 1, held
     between 1 and 10^6 (no spread between hosts: all shrink to the mean)."""
     fails = [F.sum(F.expr(f"CAST(({r}) AS INT)")).alias(f"f_{k}") for k, r in RULES.items()]
-    hosts = (measured.where(F.col(host_col).isNotNull())
-             .groupBy(host_col).agg(F.count(F.lit(1)).alias("n_docs"), *fails))
+    hosts = materialize(measured.where(F.col(host_col).isNotNull())
+                        .groupBy(host_col).agg(F.count(F.lit(1)).alias("n_docs"), *fails), "host-counts")
     stats = []
     for k in RULES:
         p = F.col(f"f_{k}") / F.col("n_docs")
-        stats += [(F.sum(f"f_{k}") / F.sum("n_docs")).alias(f"m_{k}"),
-                  F.var_pop(p).alias(f"v_{k}")]
-    prior = hosts.agg(*stats, F.avg(1 / F.col("n_docs")).alias("inv"))
-    rates = hosts.crossJoin(prior)  # the prior is one row
+        stats += [(F.sum(f"f_{k}") / F.sum("n_docs")).alias(f"m_{k}"), F.var_pop(p).alias(f"v_{k}")]
+    prior = hosts.agg(*stats, F.avg(1 / F.col("n_docs")).alias("inv")).first()  # one row
+    rates = hosts
     for k in RULES:
-        m, spread = F.col(f"m_{k}"), F.col(f"m_{k}") * (1 - F.col(f"m_{k}"))
-        v = F.greatest(F.col(f"v_{k}") - spread * F.col("inv"), F.lit(1e-12))
-        weight = F.least(F.greatest(spread / v - 1, F.lit(1.0)), F.lit(1e6))
+        m = prior[f"m_{k}"] or 0.0
+        spread = m * (1 - m)
+        v = max((prior[f"v_{k}"] or 0.0) - spread * (prior["inv"] or 0.0), 1e-12)
+        weight = min(max(spread / v - 1, 1.0), 1e6)
         rates = rates.withColumn(f"rate_{k}", (F.col(f"f_{k}") + m * weight) / (F.col("n_docs") + weight))
     return rates.select(host_col, "n_docs", *[f"rate_{k}" for k in RULES])
 

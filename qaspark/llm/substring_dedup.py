@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qaspark.llm.common import add_columns, map_slices, materialize, order_id
+from qaspark.llm.common import add_columns, discard, map_slices, materialize, order_id
 
 #: One place in ``MEAN_CHUNK`` ends a chunk; with ``MIN_CHUNK``, chunks are some 28
 #: bytes long, so that a passage of 50 words holds several whole ones.
@@ -115,13 +115,17 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_slices(texts, cut, "ord long, th long, start int, size int, d1 long, d2 int")
 
 
-def repeated_chunks(chunks: DataFrame) -> DataFrame:
-    """(ord, th, start, size) of the chunks whose digest an earlier place holds."""
+def first_chunks(chunks: DataFrame) -> DataFrame:
+    """(d1, d2, f): the first place of each digest that occurs twice or more."""
     firsts = (chunks.groupBy("d1", "d2")
               .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "start")).alias("f"))
               .where(F.col("c") > 1).select("d1", "d2", "f"))
     # Written: a join of two plain exchanges is one whose hot keys Spark splits.
-    firsts = materialize(firsts, "first-chunks")
+    return materialize(firsts, "first-chunks")
+
+
+def repeated_chunks(chunks: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(ord, th, start, size) of the chunks whose digest an earlier place holds."""
     return (chunks.join(firsts, ["d1", "d2"])
             .where((F.col("ord") != F.col("f.ord")) | (F.col("start") != F.col("f.start")))
             .select("ord", "th", "start", "size"))
@@ -143,9 +147,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """All columns of ``docs`` with the text without its repeated runs, and
     ``n_bytes``, ``n_removed``, ``n_spans`` (long; they replace such columns)."""
     chunks = materialize(chunk_table(docs, id_col, text_col), "chunks")
-    gone = (repeated_chunks(chunks).groupBy("ord", "th")
+    firsts = first_chunks(chunks)
+    gone = (repeated_chunks(chunks, firsts).groupBy("ord", "th")
             .agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("_sd_parts")))
     gone = materialize(gone, "repeated").withColumnsRenamed({"ord": "_sd_ord", "th": "_sd_th"})
+    discard(chunks, firsts)
 
     def cut(texts: pd.Series, parts: pd.Series) -> pd.DataFrame:
         rows = []

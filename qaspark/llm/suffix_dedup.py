@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qaspark.llm.common import materialize, order_id
+from qaspark.llm.common import add_columns, discard, map_slices, materialize, order_id
 from qaspark.llm.suffix_array import suffix_ranks
 
 _BYTE = np.random.RandomState(5).randint(0, 1 << 62, 256, dtype=np.int64).astype(np.uint64)
@@ -97,18 +97,21 @@ def all_runs(texts: DataFrame, length: int, window: int, gram: int) -> DataFrame
                     rows = []
             yield pd.DataFrame(rows, columns=["ord", "th", "p0", "m", "s", "c", "f1", "f2"])
 
-    return texts.mapInPandas(cut, _RUN)
+    return map_slices(texts, cut, _RUN)
 
 
 def settle(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(repeats, rest): runs equal to another run, as (ord, th, p0, m); one of
-    each kind of run that shares its core with another kind."""
-    shared = runs.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("c")
+    each kind of run that shares its core with another kind. ``runs`` is a written
+    table, deleted once read."""
+    # Written: a join of two plain exchanges is one whose hot keys Spark splits.
+    shared = materialize(runs.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("c"), "shared")
     some = materialize(runs.join(shared, "c"), "runs")
     kinds = materialize(some.groupBy("c", "f1", "f2").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "th", "p0", "m", "s")).alias("r")), "kinds")
+    discard(runs, shared)
     repeats = some.join(kinds.where(F.col("n") > 1).select("c", "f1", "f2"), ["c", "f1", "f2"])
-    torn = kinds.groupBy("c").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("c")
+    torn = materialize(kinds.groupBy("c").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("c"), "torn")
     return repeats.select("ord", "th", "p0", "m"), kinds.join(torn, "c").select("c", "r.*")
 
 
@@ -131,7 +134,7 @@ def parts_of_texts(texts: DataFrame, rest: DataFrame, length: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["ord", "th", "p0", "m", "s", "text"])
 
     # Rows that share id and text would bring the same run twice.
-    return texts.join(wanted, ["ord", "th"]).mapInPandas(read, _PART).dropDuplicates(["ord", "th", "p0"])
+    return map_slices(texts.join(wanted, ["ord", "th"]), read, _PART).dropDuplicates(["ord", "th", "p0"])
 
 
 def _split(p0: int, m: int, s: int, step: int) -> Iterator[tuple[int, int, int, int]]:
@@ -195,9 +198,10 @@ def repeated_starts(texts: DataFrame, length: int, window: int, gram: int, steps
         more, rest = settle(materialize(split_parts(parts, step, length), "split"))
         found = found.unionByName(more)
         rest = materialize(rest, "rest")
-        parts = parts_of_parts(parts, rest, step, length)
+        whole, parts = parts, parts_of_parts(parts, rest, step, length)
         if i < len(steps) - 1:
             parts = materialize(parts, "parts")
+            discard(whole)
     strings = symbol_strings(parts, rest, steps[-1], length)
     twins = suffix_ranks(strings.select("sid", "t"), steps[-1]).where("twin").select("sid", "pos")
     last = twins.join(strings.select("sid", "ord", "th", "p0"), "sid").select(
@@ -220,7 +224,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(column: pd.Series, runs: pd.Series) -> pd.DataFrame:
         rows = []
         for t, found in zip(column, runs, strict=True):
-            raw = t.encode("utf-8", "surrogatepass")
+            raw = (t or "").encode("utf-8", "surrogatepass")
             spans: list[list[int]] = []
             for r in () if found is None else found:
                 a, e = r["p0"], r["p0"] + r["m"] - 1 + length
@@ -233,8 +237,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows.append((len(raw), len(raw) - len(kept), len(spans), [{"start": a, "end": e} for a, e in spans], kept))
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    done = F.pandas_udf(cut, "n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary")
     left = docs.withColumns({"_sa_ord": order_id(id_col), "_sa_th": F.xxhash64(text)})
-    return (left.join(per_text, ["_sa_ord", "_sa_th"], "left").withColumn("_sa", done(text, F.col("_sa_runs")))
-            .withColumns({c: F.col(f"_sa.{c}") for c in ("n_bytes", "n_removed", "n_spans", "spans", "kept")})
-            .drop("_sa", "_sa_ord", "_sa_th", "_sa_runs"))
+    both = left.join(per_text, ["_sa_ord", "_sa_th"], "left").drop("_sa_ord", "_sa_th")
+    return add_columns(both, [text_col, "_sa_runs"], cut, "n_bytes long, n_removed long, n_spans long, "
+                       "spans array<struct<start: long, end: long>>, kept binary").drop("_sa_runs")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qaspark.llm.common import materialize
+from qaspark.llm.common import add_columns, map_slices, materialize
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 #: Examples in a block of the index.
@@ -62,8 +62,8 @@ def class_counts(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
                     yield hand_on()
         yield hand_on()
 
-    return (rows.select(F.col(text_col).alias("t"), F.col(label_col).alias("y"))
-            .mapInPandas(count, "term string, toxic long, clean long")
+    texts = rows.select(F.col(text_col).alias("t"), F.col(label_col).alias("y"))
+    return (map_slices(texts, count, "term string, toxic long, clean long")
             .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
 
 
@@ -115,7 +115,7 @@ def document_frequencies(docs: DataFrame, text_col: str, terms: list[str]) -> tu
         at = np.flatnonzero(df)
         yield pd.DataFrame({"i": at, "n": df[at]})
 
-    rows = (docs.select(F.col(text_col).alias("t")).mapInPandas(count, "i int, n long")
+    rows = (map_slices(docs.select(F.col(text_col).alias("t")), count, "i int, n long")
             .groupBy("i").agg(F.sum("n").alias("n")).collect())  # max_terms + 1 rows
     df = np.zeros(len(terms) + 1, np.int64)
     for r in rows:
@@ -279,6 +279,4 @@ def score(docs: DataFrame, index: BlockMaxIndex | None, text_col: str = "text",
             out.append((x.score(near), [{"doc_id": int(x.ids[i]), "label": int(x.labels[i]), "cosine": s} for i, s in near]))
         return pd.DataFrame(out, columns=["score", "evidence"])
 
-    got = F.pandas_udf(rate, kind)(F.col(text_col))
-    return (docs.withColumn("_tx", got)
-            .withColumns({"score": F.col("_tx.score"), "evidence": F.col("_tx.evidence")}).drop("_tx"))
+    return add_columns(docs, [text_col], rate, kind)
