@@ -54,7 +54,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and place in it."""
-    return packing.pack_documents(docs).drop("uid")
+    return packing.pack_documents(docs, compact=True).drop("uid")
 
 
 STAGES = [

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from qaspark.llm.common import map_slices, materialize
 
 
-#: Words kept in a worker's table.
-WORD_CACHE = 700_000
+#: Words kept in a worker's table (some 250 MB), and in a compact one.
+WORD_CACHE, COMPACT_CACHE = 1_500_000, 700_000
 #: Characters tokenised together.
 BATCH_CHARS = 4_000_000
 
@@ -47,7 +47,9 @@ class WordCoder:
     white space. A text is the sequence of its white-space separated words, so
     each distinct word is encoded once; ids are little-endian 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, compact: bool = False):
+        """``compact``: less memory, more time."""
+        self.compact = compact
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -101,9 +103,9 @@ class WordCoder:
         """Ids of each text as bytes."""
         # str.split also splits at \x1c-\x1f, which the tokenizer does not drop.
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        words = [[] if o else self._plain(t).split() for t, o in zip(texts, odd, strict=True)]
+        words = [[] if o else (self._plain(t) if self.compact else t).split() for t, o in zip(texts, odd, strict=True)]
         need = set().union(*words)
-        if len(self.known) > WORD_CACHE:
+        if len(self.known) > (COMPACT_CACHE if self.compact else WORD_CACHE):
             self.known = {w: self.known[w] for w in need if w in self.known}
         self._learn(need.difference(self.known))
         get = self.known.__getitem__
@@ -112,8 +114,8 @@ class WordCoder:
 
 
 @lru_cache(maxsize=2)
-def word_coder(path: str) -> WordCoder:
-    return WordCoder(path)
+def word_coder(path: str, compact: bool = False) -> WordCoder:
+    return WordCoder(path, compact)
 
 
 def runs_of(texts: list[str], chars: int = BATCH_CHARS) -> Iterator[list[str]]:
@@ -130,7 +132,7 @@ def runs_of(texts: list[str], chars: int = BATCH_CHARS) -> Iterator[list[str]]:
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096,
-           end_id: int = 1, path: str | None = None, with_ids: bool = False) -> DataFrame:
+           end_id: int = 1, path: str | None = None, with_ids: bool = False, compact: bool = False) -> DataFrame:
     """One row per piece: id, uid, piece, start, length, ids_crc32 and, if
     asked for, the ids themselves (binary, little-endian 32 bit)."""
     end = np.array([end_id], "<u4").tobytes()
@@ -138,7 +140,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers as P
-        coder = word_coder(path or P.path("word_bpe_49k.json"))
+        coder = word_coder(path or P.path("word_bpe_49k.json"), compact)
         base = TaskContext.get().partitionId() << 40
         for b in batches:
             at = 0
@@ -236,7 +238,8 @@ def pack_pieces(cut: DataFrame, capacity: int = 4096, group_items: int = 20_000,
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    capacity: int = 4096, end_id: int = 1, path: str | None = None,
-                   with_ids: bool = False, group_items: int = 20_000) -> DataFrame:
-    """One row per piece with its sequence and place; ``uid`` names the piece."""
-    cut = materialize(pieces(docs, id_col, text_col, capacity, end_id, path, with_ids), "pieces")
+                   with_ids: bool = False, group_items: int = 20_000, compact: bool = False) -> DataFrame:
+    """One row per piece with its sequence and place; ``uid`` names the piece.
+    ``compact`` keeps smaller word tables, for workers that do other work too."""
+    cut = materialize(pieces(docs, id_col, text_col, capacity, end_id, path, with_ids, compact), "pieces")
     return pack_pieces(cut, capacity, group_items)

@@ -47,9 +47,10 @@ def test_documents_round_trip(spark, docs_of):
 def test_words_equal_the_library():
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     tok.encode_special_tokens = True
-    coder = packing.word_coder(P.path("word_bpe_49k.json"))
     given = [t or "" for t in texts()] + ["a" + chr(c) + "b, " + chr(c) + "." for c in range(0x80, 0x3000)]
-    for t, raw in zip(given, coder.encode(given), strict=True):
+    both = [packing.word_coder(P.path("word_bpe_49k.json"), c).encode(given) for c in (False, True)]
+    assert both[0] == both[1]
+    for t, raw in zip(given, both[0], strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
