@@ -2,16 +2,18 @@
 
 The model is learned from at most ``max_rows`` labelled documents of each class,
 picked by a hash of their id. Terms are lower-case words and their first 4, 5 and
-6 letters; those that mark the toxic class (by chi-square and odds in these
-rows) span the space. Document frequencies come from all documents. The first
-``max_examples`` rows of each class form an inverted index in blocks with the
-largest weight of each term in each block. For a text the blocks are visited by falling upper bound until no
-block can reach the k-th cosine, so the nearest examples are exact. They vote
+6 letters. The first ``max_examples`` rows of each class are the examples, and all
+of their terms span the space. A term weighs (1 + ln tf) idf; one that marks the
+toxic class weighs more, by its odds and chi-square in the rows learned from, and
+none weighs less. Document frequencies come from all documents. Cosines with all examples
+are summed in single precision, from a dense matrix of the frequent terms and
+postings of the others; all examples within the proven error of the k-th are then
+compared in double precision, so the nearest examples are exact. They vote
 with their cosine, each class weighted back to its share of the labelled rows;
 a monotone map fitted on the examples themselves, each left out of its own
 vote, turns votes into probabilities. The neighbours are the evidence.
 
-What is learned is bounded by ``max_rows``, ``max_examples`` and ``max_terms``, so
+What is learned is bounded by ``max_rows`` and the terms of ``max_examples`` rows, so
 it is sent to every task; frequencies are counted in Spark. Defined results: a text without
 any term of the space (null and empty ones too) gets the share of toxic
 examples among examples like it; without labels every score is 0; a document
@@ -24,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,8 +36,12 @@ from pyspark.sql import functions as F
 from qaspark.llm.common import add_columns, map_slices, materialize
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
-#: Examples in a block of the index.
-BLOCK = 64
+#: Weight of a term per unit of log odds of the toxic class, over 1 for any term.
+MARK = 1.0
+#: A term in one of so many examples has a dense row in the index.
+DENSE = 8
+#: Texts compared with the examples at a time.
+BLOCK = 128
 #: Terms a task counts before it hands them on, and words remembered by a worker.
 FLUSH = 400_000
 
@@ -43,137 +50,169 @@ def terms_of(word: str) -> tuple[str, ...]:
     return tuple({word[:24], word[:4], word[:5], word[:6]})
 
 
-def class_counts(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """(term, toxic, clean): labelled documents of each class with the term."""
+def class_counts(rows: DataFrame, text_col: str, label_col: str, example_col: str) -> DataFrame:
+    """(term, toxic, clean): labelled rows of each class with the term, for the
+    terms of the examples."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, list[int]] = {}
 
         def hand_on() -> pd.DataFrame:
-            out = pd.DataFrame([(t, a, b) for t, (a, b) in sums.items()], columns=["term", "toxic", "clean"])
+            out = pd.DataFrame([(t, *n) for t, n in sums.items()], columns=["term", "toxic", "clean", "examples"])
             sums.clear()
             return out
 
         for b in batches:
-            for text, y in zip(b["t"], b["y"], strict=True):
-                at = 0 if y else 1
+            for text, y, e in zip(b["t"], b["y"], b["e"], strict=True):
+                at, e = 0 if y else 1, int(e)
                 for term in {t for w in set(_WORDS((text or "").lower())) for t in terms_of(w)}:
-                    sums.setdefault(term, [0, 0])[at] += 1
+                    n = sums.setdefault(term, [0, 0, 0])
+                    n[at] += 1
+                    n[2] += e
                 if len(sums) >= FLUSH:
                     yield hand_on()
         yield hand_on()
 
-    texts = rows.select(F.col(text_col).alias("t"), F.col(label_col).alias("y"))
-    return (map_slices(texts, count, "term string, toxic long, clean long")
-            .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    texts = rows.select(F.col(text_col).alias("t"), F.col(label_col).alias("y"), F.col(example_col).alias("e"))
+    return (map_slices(texts, count, "term string, toxic long, clean long, examples long").groupBy("term")
+            .agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "examples")])
+            .where(F.col("examples") > 0).drop("examples"))
 
 
-def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int, max_terms: int, min_chi2: float,
-                 min_odds: float, min_share: float) -> list[str]:
-    """The terms that mark the toxic class most clearly, at most ``max_terms``.
-    A term must occur in ``min_share`` of the toxic rows: the words of one text
-    and its copies are no mark of the class."""
-    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    c, d, n = F.lit(float(n_toxic)) - a, F.lit(float(n_clean)) - b, float(n_toxic + n_clean)
-    chi2 = F.lit(n) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * float(n_toxic) * float(n_clean))
+def mark_weights(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, min_chi2: float) -> np.ndarray:
+    """1 for a term that does not mark the toxic class, more by the log odds of one
+    that does; ``min_chi2`` is the chi-square at which half of that counts."""
+    a, b = toxic.astype(np.float64), clean.astype(np.float64)
+    c, d, n = n_toxic - a, n_clean - b, float(n_toxic + n_clean)
+    chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n_toxic * n_clean, 1.0)
     odds = (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))
-    best = (counts.where((F.col("toxic") + F.col("clean") >= 5) & (c + d > 0)).withColumn("x", chi2)
-            .where((F.col("x") >= min_chi2) & (odds >= min_odds) & (a >= min_share * n_toxic))
-            .orderBy(F.col("x").desc(), "term").limit(max_terms))
-    return sorted(r["term"] for r in best.select("term").collect())
+    return 1 + MARK * np.maximum(np.log(odds), 0.0) * chi2 / (chi2 + min_chi2)
 
 
 class TermSpace:
-    """Term counts of a text over the chosen terms."""
+    """Term counts of a text over the terms of the examples."""
 
     def __init__(self, terms: list[str]):
         self.place = {t: i for i, t in enumerate(terms)}
         self._seen: dict[str, tuple[int, ...]] = {}
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        seen, place = self._seen, self.place
-        for word, n in Counter(_WORDS((text or "").lower())).items():
-            got = seen.get(word)
-            if got is None:
-                if len(seen) >= FLUSH:
-                    seen.clear()
-                got = seen[word] = tuple(sorted(place[t] for t in terms_of(word) if t in place))
-            for i in got:
-                out[i] = out.get(i, 0) + n
-        return out
+    def _places(self, word: str) -> tuple[int, ...]:
+        got = self._seen.get(word)
+        if got is None:
+            if len(self._seen) >= FLUSH:
+                self._seen.clear()
+            got = self._seen[word] = tuple(self.place[t] for t in terms_of(word) if t in self.place)
+        return got
+
+    def places(self, text: str | None) -> np.ndarray:
+        """Places of the text's terms; a place may come repeatedly."""
+        words = set(_WORDS((text or "").lower()))
+        return np.fromiter(chain.from_iterable(map(self._places, words)), np.int64)
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending places of the text's terms and how often they occur."""
+        words = Counter(_WORDS((text or "").lower()))
+        got = [self._places(w) for w in words]
+        n = np.repeat(np.fromiter(words.values(), np.float64, len(got)), [len(g) for g in got]) if got else np.empty(0)
+        t, of = np.unique(np.fromiter(chain.from_iterable(got), np.int64, len(n)), return_inverse=True)
+        return t, np.bincount(of, weights=n, minlength=len(t))
 
 
 def document_frequencies(docs: DataFrame, text_col: str, terms: list[str]) -> tuple[int, np.ndarray]:
-    """Number of documents, and of documents with each chosen term."""
+    """Number of documents, and of documents with each term."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space, df, n = TermSpace(terms), np.zeros(len(terms) + 1, np.int64), 0
         for b in batches:
             for text in b["t"]:
-                df[list(space.counts(text))] += 1
+                df[space.places(text)] += 1  # a repeated place counts once
                 n += 1
         df[-1] = n
         at = np.flatnonzero(df)
         yield pd.DataFrame({"i": at, "n": df[at]})
 
     rows = (map_slices(docs.select(F.col(text_col).alias("t")), count, "i int, n long")
-            .groupBy("i").agg(F.sum("n").alias("n")).collect())  # max_terms + 1 rows
+            .groupBy("i").agg(F.sum("n").alias("n")).toArrow())  # a row a term
     df = np.zeros(len(terms) + 1, np.int64)
-    for r in rows:
-        df[r["i"]] = r["n"]
+    df[rows["i"].to_numpy()] = rows["n"].to_numpy()
     return int(df[-1]), df[:-1]
 
 
-class BlockMaxIndex:
-    """Exact nearest examples by TF-IDF cosine."""
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start .. start + size - 1 of each span, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
 
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray,
-                 counts: list[dict[int, int]], weights: np.ndarray):
-        self.terms, self.idf = terms, idf
+class ExampleIndex:
+    """Exact nearest examples by the cosine over all of their terms."""
+
+    def __init__(self, terms: list[str], scale: np.ndarray, ids: np.ndarray, labels: np.ndarray,
+                 counts: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray):
+        self.terms, self.scale, self.ids, self.labels, self.weights = terms, scale, ids, labels, weights
         self.space = TermSpace(terms)
-        vectors = [self.vector(c) for c in counts]
-        # Alike examples share a block: by heaviest terms, then id.
-        lead = [tuple(t[np.argsort(-w, kind="stable")][:4]) for t, w in vectors]
-        order = sorted(range(len(ids)), key=lambda i: (lead[i], int(ids[i])))
-        self.ids, self.labels, self.weights = ids[order], labels[order], weights[order]
-        self.vectors = [vectors[i] for i in order]
-        n_blocks = max(1, -(-len(ids) // BLOCK))
-        self.block_max = np.zeros((len(terms), n_blocks))
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i, (t, w) in enumerate(self.vectors):
-            for j, x in zip(t.tolist(), w.tolist(), strict=True):
-                lists.setdefault((j, i // BLOCK), []).append((i % BLOCK, x))
-        for (j, b), items in lists.items():
-            at, x = np.array([p for p, _ in items]), np.array([x for _, x in items])
-            self.postings[j, b] = at, x
-            self.block_max[j, b] = x.max()
+        self.vectors = [self.vector(c) for c in counts]
+        self.sizes = np.array([len(t) for t, _ in self.vectors], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.t = np.concatenate([t for t, _ in self.vectors]).astype(np.int32)
+        self.w = np.concatenate([w for _, w in self.vectors])
+        self.vectors = [(self.t[a:a + m], self.w[a:a + m]) for a, m in zip(self.starts.tolist(), self.sizes.tolist(), strict=True)]
+        held = np.repeat(np.arange(len(ids), dtype=np.int32), self.sizes)
+        often = np.bincount(self.t, minlength=len(terms)) * DENSE >= len(ids)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((int(often.sum()), len(ids)), np.float32)
+        m = often[self.t]
+        self.dense[self.row[self.t[m]], held[m]] = self.w[m]
+        rare = np.flatnonzero(~m)
+        rare = rare[np.argsort(self.t[rare], kind="stable")]
+        self.held, self.held_w = held[rare], self.w[rare].astype(np.float32)
+        self.first = np.searchsorted(self.t[rare], np.arange(len(terms) + 1))
         self.votes = self.values = np.empty(0)
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit-length weights (1 + ln tf) idf."""
-        t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[i] for i in t.tolist()])) * self.idf[t] if len(t) else np.empty(0)
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "vectors"}  # views of t and w
+
+    def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and unit-length weights (1 + ln tf) scale."""
+        t, n = counts
+        w = (1 + np.log(n)) * self.scale[t]
         return t, w / np.sqrt((w * w).sum()) if len(t) else w
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, leave_out: int = -1) -> list[tuple[int, float]]:
+    def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> list[tuple[int, float]]:
         """(place, cosine) of the k nearest examples with a cosine above 0."""
+        return self.nearest_all([(t, w)], k)[0]
+
+    def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int,
+                    leave_out: bool = False) -> list[list[tuple[int, float]]]:
+        """The nearest of each vector; ``leave_out``: the i-th is not its own neighbour."""
+        out, full = [], np.zeros(len(self.terms))
+        for lo in range(0, len(vectors), BLOCK):
+            part = vectors[lo:lo + BLOCK]
+            often = np.zeros((len(part), len(self.dense)), np.float32)
+            for i, (t, w) in enumerate(part):
+                row = self.row[t]
+                often[i, row[row >= 0]] = w[row >= 0]
+            for i, rough in enumerate(often @ self.dense):
+                out.append(self._nearest(*part[i], rough, k, lo + i if leave_out else -1, full))
+        return out
+
+    def _nearest(self, t: np.ndarray, w: np.ndarray, rough: np.ndarray, k: int, but: int,
+                 full: np.ndarray) -> list[tuple[int, float]]:
         if not len(t):
             return []
-        bound = w @ self.block_max[t]
-        found: list[tuple[float, int, int]] = []
-        query = list(zip(t.tolist(), w.tolist(), strict=True))
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(found) >= k and bound[b] * (1 + 1e-9) < -found[k - 1][0]:
-                break
-            score = np.zeros(BLOCK)
-            for j, q in query:
-                p = self.postings.get((j, b))
-                if p is not None:
-                    score[p[0]] += q * p[1]
-            new = [(-round(float(score[i]), 12), int(self.ids[b * BLOCK + i]), b * BLOCK + i)
-                   for i in np.flatnonzero(score).tolist() if b * BLOCK + i != leave_out]
-            found = sorted(found + new)[:k]
-        return [(i, -s) for s, _, i in found]
+        sizes = self.first[t + 1] - self.first[t]
+        at = _spans(self.first[t], sizes)
+        rough = rough + np.bincount(self.held[at], weights=self.held_w[at] * np.repeat(w, sizes), minlength=len(rough))
+        if but >= 0:
+            rough[but] = 0
+        # A sum of len(t) products of at most 1 in all is off by less than len(t) 2^-23.
+        least = np.partition(rough, -k)[-k] - (len(t) + 8) * 2.0 ** -21 if len(rough) > k else 0.0
+        near = np.flatnonzero((rough >= least) & (rough > 0))
+        if not len(near):
+            return []
+        full[t] = w
+        at, sizes = _spans(self.starts[near], self.sizes[near]), self.sizes[near]
+        cos = np.round(np.add.reduceat(full[self.t[at]] * self.w[at], np.cumsum(sizes) - sizes), 12)
+        full[t] = 0
+        best = np.lexsort((self.ids[near], -cos))[:k]
+        return [(int(near[i]), float(cos[i])) for i in best.tolist() if cos[i] > 0]
 
     def vote(self, near: list[tuple[int, float]]) -> float:
         """Share of toxic weight among the neighbours; -1 without any."""
@@ -185,7 +224,7 @@ class BlockMaxIndex:
 
     def calibrate(self, k: int) -> None:
         """Monotone map from votes to probabilities (pooled neighbours)."""
-        votes = np.array([self.vote(self.nearest(*v, k, leave_out=i)) for i, v in enumerate(self.vectors)])
+        votes = np.array([self.vote(near) for near in self.nearest_all(self.vectors, k, leave_out=True)])
         pools: list[list[float]] = []  # toxic weight, weight, largest vote
         for v in np.unique(votes):
             m = votes == v
@@ -217,8 +256,7 @@ def pick(marked: DataFrame, n: dict[int, int], max_rows: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_col: str = "doc_id",
         text_col: str = "text", label_col: str = "toxic", max_rows: int = 10_000, max_examples: int = 2000,
-        max_terms: int = 1024, min_chi2: float = 20.0, min_odds: float = 5.0,
-        min_share: float = 0.02, k: int = 15) -> BlockMaxIndex | None:
+        min_chi2: float = 20.0, k: int = 15) -> ExampleIndex | None:
     """The index over labelled examples; None if a class has none. ``learnable``
     is a condition on the id column."""
     marked = (labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y"))
@@ -237,7 +275,16 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_
     have = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not have.get(0) or not have.get(1):
         return None
-    terms = choose_terms(class_counts(rows, "t", "y"), have[1], have[0], max_terms, min_chi2, min_odds, min_share)
+    ex = None
+    for y in (0, 1):
+        part = rows.where(F.col("y") == y).orderBy("h", "i").limit(max_examples).select("i")
+        ex = part if ex is None else ex.unionByName(part)
+    # At most 2 * max_examples ids.
+    rows = rows.join(F.broadcast(ex.withColumn("e", F.lit(True))), "i", "left").fillna(False, "e")
+    rows = materialize(rows, "examples")
+    counts = class_counts(rows, "t", "y", "e").toArrow().sort_by("term")  # a row a term
+    terms = counts["term"].to_pylist()
+    marks = mark_weights(counts["toxic"].to_numpy(), counts["clean"].to_numpy(), have[1], have[0], min_chi2)
     total, df = document_frequencies(docs, text_col, terms)
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
 
@@ -245,25 +292,21 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_
         space = TermSpace(terms)
         for b in batches:
             got = [space.counts(t) for t in b["t"]]
-            yield pd.DataFrame({"i": b["i"], "y": b["y"], "at": [list(c) for c in got], "n": [list(c.values()) for c in got]})
+            yield pd.DataFrame({"i": b["i"], "y": b["y"], "at": [t.astype(np.int32).tobytes() for t, _ in got],
+                                "n": [n.astype(np.int32).tobytes() for _, n in got]})
 
-    ex = None
-    for y in (0, 1):
-        part = rows.where(F.col("y") == y).orderBy("h", "i").limit(max_examples)
-        ex = part if ex is None else ex.unionByName(part)
-    # At most 2 * max_examples rows of at most max_terms counts.
-    ex = (ex.select("i", "y", "t").mapInPandas(vectors, "i long, y int, at array<int>, n array<int>")
-          .toPandas().sort_values("i", ignore_index=True))
-    y = ex["y"].to_numpy(np.float64)
+    # At most 2 * max_examples rows with the counts of their terms.
+    ex = map_slices(rows.where("e").select("i", "y", "t"), vectors, "i long, y int, at binary, n binary").toArrow().sort_by("i")
+    y = ex["y"].to_numpy().astype(np.float64)
     share = {c: n[c] / max(1, int((y == c).sum())) for c in (0, 1)}
-    index = BlockMaxIndex(terms, idf, ex["i"].to_numpy(np.int64), y,
-                          [dict(zip(map(int, a), map(int, m), strict=True)) for a, m in zip(ex["at"], ex["n"], strict=True)],
-                          np.where(y == 1, share[1], share[0]))
+    held = [(np.frombuffer(t.as_buffer(), np.int32), np.frombuffer(m.as_buffer(), np.int32))
+            for t, m in zip(ex["at"], ex["n"], strict=True)]
+    index = ExampleIndex(terms, idf * marks, ex["i"].to_numpy(), y, held, np.where(y == 1, share[1], share[0]))
     index.calibrate(k)
     return index
 
 
-def score(docs: DataFrame, index: BlockMaxIndex | None, text_col: str = "text", k: int = 15) -> DataFrame:
+def score(docs: DataFrame, index: ExampleIndex | None, text_col: str = "text", k: int = 15) -> DataFrame:
     """``docs`` with ``score`` and ``evidence`` (nearest examples: id, label,
     cosine); they replace columns of those names."""
     kind = "score double, evidence array<struct<doc_id: long, label: int, cosine: double>>"
@@ -274,8 +317,7 @@ def score(docs: DataFrame, index: BlockMaxIndex | None, text_col: str = "text",
     def rate(texts: pd.Series) -> pd.DataFrame:
         x = sent.value
         out = []
-        for t in texts:
-            near = x.nearest(*x.vector(x.space.counts(t)), k)
+        for near in x.nearest_all([x.vector(x.space.counts(t)) for t in texts], k):
             out.append((x.score(near), [{"doc_id": int(x.ids[i]), "label": int(x.labels[i]), "cosine": s} for i, s in near]))
         return pd.DataFrame(out, columns=["score", "evidence"])
 

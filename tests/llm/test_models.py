@@ -97,6 +97,20 @@ def test_toxicity_edges(spark, docs_of):
     assert toxicity.score(docs_of([]).where(F.lit(False)), index).count() == 0
 
 
+def test_toxicity_space_is_the_whole_vocabulary(spark, docs_of):
+    rng = np.random.RandomState(5)
+    plain = lambda n: " ".join(f"w{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}q" for a, b, c in rng.randint(0, 8, (n, 3)))
+    rows = [(i, f"vile {plain(8)}") for i in range(200)] + [(200 + i, plain(8)) for i in range(400)]
+    rows += [(600 + i, f"zorgon blemfar {plain(8)}") for i in range(4)]  # marks of less than 2 % of the toxic rows
+    rows += [(620 + i, f"{plain(150)} vile") for i in range(40)]  # long clean texts with one such word
+    labels = spark.createDataFrame([(i, int(i < 200 or 600 <= i < 604)) for i, _ in rows], "doc_id long, toxic int")
+    new = [(700, f"zorgon blemfar {plain(8)}"), (701, f"vile {plain(8)}"), (702, f"vile {plain(150)}"), (703, plain(8))]
+    index = toxicity.fit(docs_of(rows), labels)
+    assert set(index.terms) == {t for _, x in rows for w in x.split() for t in toxicity.terms_of(w)}
+    out = {r.doc_id: r.score for r in toxicity.score(docs_of(new), index).collect()}
+    assert out[700] > 0.7 and out[701] > 0.7 and out[702] < 0.3 and out[703] < 0.3, out
+
+
 def brute(x, ids, q, k):
     s = (x * x[q]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((x[q] * x[q]).sum()))
     order = [i for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:k]
