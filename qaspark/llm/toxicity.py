@@ -1,8 +1,9 @@
 """Toxicity by nearest labelled examples (operator 8).
 
-The model is learned from at most ``max_rows`` labelled documents of each class,
-picked by a hash of their id. Terms are lower-case words and their first 4, 5 and
-6 letters. The first ``max_examples`` rows of each class are the examples, and all
+The model is learned from at most ``max_rows`` labelled texts of each class,
+picked by a hash of their id; the copies of a text are one, with the smallest id,
+and count for the class's share of the labelled rows only. Terms are lower-case words and their first 4, 5 and
+6 letters. The first ``max_examples`` texts of each class are the examples, and all
 of their terms span the space. A term weighs (1 + ln tf) idf; one that marks the
 toxic class weighs more, by its odds and chi-square in the rows learned from, and
 none weighs less. Document frequencies come from all documents. Cosines with all examples
@@ -11,7 +12,7 @@ postings of the others; all examples within the proven error of the k-th are the
 compared in double precision, so the nearest examples are exact. They vote
 with their cosine, each class weighted back to its share of the labelled rows;
 a monotone map fitted on the examples themselves, each left out of its own
-vote, turns votes into probabilities. The neighbours are the evidence.
+vote unless it has copies, turns votes into probabilities. The neighbours are the evidence.
 
 What is learned is bounded by ``max_rows`` and the terms of ``max_examples`` rows, so
 it is sent to every task; frequencies are counted in Spark. Defined results: a text without
@@ -88,31 +89,39 @@ def mark_weights(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: in
     return 1 + MARK * np.maximum(np.log(odds), 0.0) * chi2 / (chi2 + min_chi2)
 
 
-class TermSpace:
-    """Term counts of a text over the terms of the examples."""
+class _Places(dict):
+    """Places of a word's terms, filled as words come."""
 
     def __init__(self, terms: list[str]):
+        super().__init__()
         self.place = {t: i for i, t in enumerate(terms)}
-        self._seen: dict[str, tuple[int, ...]] = {}
-
-    def _places(self, word: str) -> tuple[int, ...]:
-        got = self._seen.get(word)
-        if got is None:
-            if len(self._seen) >= FLUSH:
-                self._seen.clear()
-            got = self._seen[word] = tuple(self.place[t] for t in terms_of(word) if t in self.place)
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= FLUSH:
+            self.clear()
+        got = self[word] = tuple(self.place[t] for t in terms_of(word) if t in self.place)
         return got
 
+    def __reduce__(self):
+        return _Places, (list(self.place),)
+
+
+class TermSpace:
+    """Term counts of a text over the terms of the examples."""
+
+    def __init__(self, terms: list[str]):
+        self.of = _Places(terms)
+
     def places(self, text: str | None) -> np.ndarray:
         """Places of the text's terms; a place may come repeatedly."""
         words = set(_WORDS((text or "").lower()))
-        return np.fromiter(chain.from_iterable(map(self._places, words)), np.int64)
+        return np.fromiter(chain.from_iterable(map(self.of.__getitem__, words)), np.int64)
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ascending places of the text's terms and how often they occur."""
         words = Counter(_WORDS((text or "").lower()))
-        got = [self._places(w) for w in words]
-        n = np.repeat(np.fromiter(words.values(), np.float64, len(got)), [len(g) for g in got]) if got else np.empty(0)
+        got = list(map(self.of.__getitem__, words))
+        n = np.repeat(np.fromiter(words.values(), np.float64, len(got)), list(map(len, got))) if got else np.empty(0)
         t, of = np.unique(np.fromiter(chain.from_iterable(got), np.int64, len(n)), return_inverse=True)
         return t, np.bincount(of, weights=n, minlength=len(t))
 
@@ -180,8 +189,8 @@ class ExampleIndex:
         return self.nearest_all([(t, w)], k)[0]
 
     def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int,
-                    leave_out: bool = False) -> list[list[tuple[int, float]]]:
-        """The nearest of each vector; ``leave_out``: the i-th is not its own neighbour."""
+                    leave_out: np.ndarray | None = None) -> list[list[tuple[int, float]]]:
+        """The nearest of each vector; ``leave_out[i]``: the i-th example is not a neighbour of the i-th vector."""
         out, full = [], np.zeros(len(self.terms))
         for lo in range(0, len(vectors), BLOCK):
             part = vectors[lo:lo + BLOCK]
@@ -190,7 +199,7 @@ class ExampleIndex:
                 row = self.row[t]
                 often[i, row[row >= 0]] = w[row >= 0]
             for i, rough in enumerate(often @ self.dense):
-                out.append(self._nearest(*part[i], rough, k, lo + i if leave_out else -1, full))
+                out.append(self._nearest(*part[i], rough, k, lo + i if leave_out is not None and leave_out[lo + i] else -1, full))
         return out
 
     def _nearest(self, t: np.ndarray, w: np.ndarray, rough: np.ndarray, k: int, but: int,
@@ -202,8 +211,9 @@ class ExampleIndex:
         rough = rough + np.bincount(self.held[at], weights=self.held_w[at] * np.repeat(w, sizes), minlength=len(rough))
         if but >= 0:
             rough[but] = 0
-        # A sum of len(t) products of at most 1 in all is off by less than len(t) 2^-23.
-        least = np.partition(rough, -k)[-k] - (len(t) + 8) * 2.0 ** -21 if len(rough) > k else 0.0
+        # A single-precision sum of m products of at most 1 in all is off by less than
+        # (m + 4) 2^-24, and so is the k-th; only products that are not 0 count.
+        least = np.partition(rough, -k)[-k] - (np.count_nonzero(sizes == 0) + 8) * 2.0 ** -23 if len(rough) > k else 0.0
         near = np.flatnonzero((rough >= least) & (rough > 0))
         if not len(near):
             return []
@@ -222,9 +232,10 @@ class ExampleIndex:
         w = np.array([s for _, s in near]) * self.weights[at]
         return float((w * self.labels[at]).sum() / w.sum())
 
-    def calibrate(self, k: int) -> None:
-        """Monotone map from votes to probabilities (pooled neighbours)."""
-        votes = np.array([self.vote(near) for near in self.nearest_all(self.vectors, k, leave_out=True)])
+    def calibrate(self, k: int, alone: np.ndarray) -> None:
+        """Monotone map from votes to probabilities (pooled neighbours). ``alone``:
+        the example has no copy that would be found without it."""
+        votes = np.array([self.vote(near) for near in self.nearest_all(self.vectors, k, leave_out=alone)])
         pools: list[list[float]] = []  # toxic weight, weight, largest vote
         for v in np.unique(votes):
             m = votes == v
@@ -263,18 +274,21 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_
               .where(F.col("i").isNotNull() & F.col("y").isin(0, 1)).groupBy("i").agg(F.max("y").alias("y")))
     if learnable is not None:
         marked = marked.withColumnRenamed("i", id_col).where(learnable).withColumnRenamed(id_col, "i")
-    marked = materialize(marked, "labels")
-    n = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    docs_t = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    th = F.xxhash64(F.coalesce("t", F.lit("")))
+    # Copies are one text, whatever their number.
+    marked = marked.join(docs_t.select("i", th.alias("th")), "i").groupBy("i", "y").agg(F.min("th").alias("th"))
+    marked = materialize(marked.groupBy("y", "th").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("copies")), "labels")
+    sums = marked.groupBy("y").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("texts")).collect()
+    n, texts = {r["y"]: r["n"] for r in sums}, {r["y"]: r["texts"] for r in sums}
     if not n.get(0) or not n.get(1):
         return None
     # At most 2 * max_rows ids and labels are sent out.
-    rows = (docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-            .join(F.broadcast(pick(marked, n, max_rows)), "i")
-            .groupBy("i", "y", "h").agg(F.min("t").alias("t")))
+    chosen = pick(marked.select("i", "y", "th", (F.col("copies") == 1).alias("alone")), texts, max_rows)
+    rows = (docs_t.withColumn("th", th).join(F.broadcast(chosen), ["i", "th"])
+            .groupBy("i", "y", "h", "alone").agg(F.min("t").alias("t")))
     rows = materialize(rows, "labelled")
     have = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not have.get(0) or not have.get(1):
-        return None
     ex = None
     for y in (0, 1):
         part = rows.where(F.col("y") == y).orderBy("h", "i").limit(max_examples).select("i")
@@ -292,17 +306,18 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_
         space = TermSpace(terms)
         for b in batches:
             got = [space.counts(t) for t in b["t"]]
-            yield pd.DataFrame({"i": b["i"], "y": b["y"], "at": [t.astype(np.int32).tobytes() for t, _ in got],
+            yield pd.DataFrame({"i": b["i"], "y": b["y"], "alone": b["alone"], "at": [t.astype(np.int32).tobytes() for t, _ in got],
                                 "n": [n.astype(np.int32).tobytes() for _, n in got]})
 
     # At most 2 * max_examples rows with the counts of their terms.
-    ex = map_slices(rows.where("e").select("i", "y", "t"), vectors, "i long, y int, at binary, n binary").toArrow().sort_by("i")
+    ex = map_slices(rows.where("e").select("i", "y", "alone", "t"), vectors,
+                    "i long, y int, alone boolean, at binary, n binary").toArrow().sort_by("i")
     y = ex["y"].to_numpy().astype(np.float64)
     share = {c: n[c] / max(1, int((y == c).sum())) for c in (0, 1)}
     held = [(np.frombuffer(t.as_buffer(), np.int32), np.frombuffer(m.as_buffer(), np.int32))
             for t, m in zip(ex["at"], ex["n"], strict=True)]
     index = ExampleIndex(terms, idf * marks, ex["i"].to_numpy(), y, held, np.where(y == 1, share[1], share[0]))
-    index.calibrate(k)
+    index.calibrate(k, ex["alone"].to_numpy())
     return index
 
 

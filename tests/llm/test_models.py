@@ -111,6 +111,21 @@ def test_toxicity_space_is_the_whole_vocabulary(spark, docs_of):
     assert out[700] > 0.7 and out[701] > 0.7 and out[702] < 0.3 and out[703] < 0.3, out
 
 
+def test_toxicity_learns_from_distinct_texts(spark, docs_of):
+    rng = np.random.RandomState(6)
+    plain = lambda n: " ".join(f"w{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}q" for a, b, c in rng.randint(0, 8, (n, 3)))
+    copied = "copied " + plain(60)
+    rows = [(i, f"vile {plain(8)}") for i in range(60)] + [(100 + i, f"kind fair gentle {plain(8)}") for i in range(200)]
+    rows += [(400 + i, copied) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(not 100 <= i < 300)) for i, _ in rows], "doc_id long, toxic int")
+    index = toxicity.fit(docs_of(rows), labels, max_examples=40)
+    texts = dict(rows)
+    assert len({texts[i] for i in index.ids.tolist()}) == len(index.ids) == 80
+    assert abs(index.weights[index.labels == 1].sum() - 360) < 1e-9 and abs(index.weights[index.labels == 0].sum() - 200) < 1e-9
+    out = {r.doc_id: r.score for r in toxicity.score(docs_of([(800, f"vile {plain(8)}"), (801, f"kind fair gentle {plain(8)}")]), index).collect()}
+    assert out[800] > 0.7 and out[801] < 0.3, out
+
+
 def brute(x, ids, q, k):
     s = (x * x[q]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((x[q] * x[q]).sum()))
     order = [i for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:k]
