@@ -212,26 +212,38 @@ def build(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     return Index(tree, filled, blocks, visits, reached)
 
 
+def in_blocks(asked: DataFrame, rows: DataFrame, blocks: np.ndarray, bound: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Queries (a row per visited leaf) and vectors dealt over (leaf, qb, block):
+    about ``bound`` queries or vectors of a leaf each, and all pairs of blocks."""
+    spark = rows.sparkSession
+    per_leaf = [(r["leaf"], int(blocks[r["leaf"]]), -(-r["count"] // bound))
+                for r in asked.groupBy("leaf").count().collect()]  # a row per leaf
+    per_leaf = F.broadcast(spark.createDataFrame(per_leaf, "leaf int, nb int, nq int"))
+    asked = (asked.join(per_leaf, "leaf").withColumn("qb", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("nq")).cast("int"))
+             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb", "nq"))
+    held = (rows.join(per_leaf, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).drop("nb", "nq"))
+    return asked, held
+
+
 def search(index: Index, queries: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) for the indexed rows that meet the
     condition ``queries`` on ``id``."""
     spark = index.rows.sparkSession
-    sent = spark.sparkContext.broadcast((index.tree, index.blocks, index.visits))
+    sent = spark.sparkContext.broadcast((index.tree, index.visits))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, blocks, visits = sent.value
+        tree, visits = sent.value
         for b in batches:
             for at in range(0, len(b), 64):
                 part = b.iloc[at:at + 64]
-                rows = [(i, v, leaf, n) for i, v, u in zip(part["id"], part["v"], _unit(_matrix(part["v"])), strict=True)
-                        for leaf in tree.leaves(u, visits) for n in range(blocks[leaf])]
-                yield pd.DataFrame(rows, columns=["id", "v", "leaf", "block"])
+                rows = [(i, v, leaf) for i, v, u in zip(part["id"], part["v"], _unit(_matrix(part["v"])), strict=True)
+                        for leaf in tree.leaves(u, visits)]
+                yield pd.DataFrame(rows, columns=["id", "v", "leaf"])
 
-    asked = index.rows.where(queries).select("id", "v").dropDuplicates(["id"]).mapInPandas(
-        walk, "id long, v array<double>, leaf int, block int")
-    per_leaf = spark.createDataFrame(pd.DataFrame({"leaf": np.arange(len(index.blocks), dtype=np.int32), "nb": index.blocks}))
-    held = (index.rows.join(F.broadcast(per_leaf.withColumn("leaf", F.col("leaf").cast("int"))), "leaf")
-            .withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).drop("nb"))
+    asked = materialize(index.rows.where(queries).select("id", "v").dropDuplicates(["id"]).mapInPandas(
+        walk, "id long, v array<double>, leaf int"), "visits")
+    asked, held = in_blocks(asked, index.rows, index.blocks)
 
     def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
@@ -243,5 +255,5 @@ def search(index: Index, queries: Column, k: int = 5) -> DataFrame:
             out += _best(_matrix(part["v"]), part["id"].to_numpy(np.int64), xs, x_ids, k)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = asked.groupBy("leaf", "block").cogroup(held.groupBy("leaf", "block")).applyInPandas(compare, _FOUND)
+    found = asked.groupBy("leaf", "qb", "block").cogroup(held.groupBy("leaf", "qb", "block")).applyInPandas(compare, _FOUND)
     return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -163,3 +163,13 @@ def test_neighbours_edges(spark):
     few = table.where("vec_id in (0, 1, 2)")
     assert ann.search(ann.build(few), F.col("id") == 0).count() == 2
     assert ann.build(table.where(F.lit(False))) is None
+
+
+def test_queries_of_a_leaf_are_split(spark):
+    rows = spark.range(3000).selectExpr("id", "array(1D, 2D) AS v", "CAST(IF(id < 2500, 0, 1) AS INT) AS leaf")
+    asked, held = ann.in_blocks(rows.where("id % 2 = 0"), rows, np.array([10, 2, 1]), bound=100)
+    keys = ["leaf", "qb", "block"]
+    assert asked.groupBy(keys).count().agg({"count": "max"}).first()[0] < 150
+    assert held.groupBy(keys).count().agg({"count": "max"}).first()[0] < 375
+    pairs = asked.selectExpr("id AS q", *keys).join(held.selectExpr("id AS x", *keys), keys).select("q", "x")
+    assert pairs.count() == pairs.distinct().count() == 1250 * 2500 + 250 * 500
