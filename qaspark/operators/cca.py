@@ -76,9 +76,8 @@ class CCAModel:
     s: np.ndarray          # singular values (canonical correlations up to scale)
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        """``(side, i, k, w)``; one Arrow row per matrix row, unfolded by Spark."""
-        frame = pd.DataFrame([(side, i, row) for side, m in (("q", self.q), ("a", self.a)) for i, row in enumerate(m)],
-                             columns=["side", "i", "row"])
+        """``(side, i, k, w)``; one row per matrix row, unfolded by Spark."""
+        frame = [(side, i, row) for side, m in (("q", self.q), ("a", self.a)) for i, row in enumerate(m.tolist())]
         rows = spark.createDataFrame(frame, "side string, i int, row array<double>")
         return rows.select("side", "i", F.posexplode("row").alias("k", "w"))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from qaspark.operators import cca as CCA
@@ -132,8 +131,7 @@ def _product(features, model):
     spark = features.sparkSession
     n = features.count()
     rows = ((model.q * model.s) @ model.a.T) * float(n) ** 6
-    frame = pd.DataFrame({"i": range(len(rows)), "row": list(rows)})
-    out = spark.createDataFrame(frame, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v"))
+    out = spark.createDataFrame(list(enumerate(rows.tolist())), "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v"))
     return out.select("i", F.col("j").cast("int").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
 
 

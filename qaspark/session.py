@@ -82,6 +82,7 @@ def work_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused sub-folder of the shared working folder."""
+    ship(spark)  # whoever made the session: what writes here may run our Python
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
