@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from qaspark.session import scratch_path
+from qaspark.session import scratch_path, ship
 
 #: White space of the word and line rules: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -22,6 +22,7 @@ NO_ID = (1 << 63) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

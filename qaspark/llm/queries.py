@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from qaspark.llm import ann, bpe, language_id, line_dedup, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, toxicity
-from qaspark.llm.common import fold_is, order_id, table
+from qaspark.llm import (ann, bpe, fingerprints, hard_negatives, language_id, line_dedup, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, toxicity,
+                         whitening)
+from qaspark.llm.common import fold_is, materialize, order_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,6 +163,41 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# --- 11: embedding whitening -----------------------------------------------
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", whitening.whole_numbers(F.col("embedding"), 1024, 100_000).alias("x"))
+    rows = whitening.usable(rows, "x")
+    model = whitening.fit(rows, "x", 8)
+    if model is None or not len(model.values):
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, "
+                                         "explained double, identity_error double")
+    white = materialize(whitening.apply(rows, model, "x").drop("x"), "whitened")
+    error = whitening.identity_error(white, len(model.values))
+    share = F.array(*[F.lit(float(e / model.trace)) for e in model.values])
+    return white.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(share, F.col("at")).alias("explained"), F.lit(float(error)).alias("identity_error"))
+
+
+# --- 12: hard-negative mining ----------------------------------------------
+
+@query("op12_hard_negatives")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", label.alias("label"), whitening.whole_numbers(F.col("embedding"), 256, 0).alias("embedding"))
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+# --- 13: document fingerprints ---------------------------------------------
+
+@query("op13_fingerprints")
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 # --- the pipeline ----------------------------------------------------------
 
 QUERIES["pipeline"] = corpus_pipeline.run
