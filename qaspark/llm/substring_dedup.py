@@ -7,13 +7,16 @@ small within the last ``MIN_CHUNK`` bytes, and never inside a character; where
 no end comes for ``MAX_CHUNK`` bytes one is forced. Ends depend on nearby bytes
 only, so an insertion shifts no chunk but its own.
 
-Chunks are deduplicated by digest (96 bits): the first holder by (document,
-offset) keeps its chunk. Runs of adjacent repeated chunks that together
-reach ``min_run`` bytes are cut out; shorter coincidences stay. Counting is
-aggregated before the shuffle, and only chunks that occur twice are joined back.
-
-Defined results: null and empty texts have no chunks and stay as they are
-(null becomes empty); a null id counts as one last document; rows with the
+What is deduplicated are runs of adjacent chunks: from each chunk on, as few as reach
+``min_run`` bytes, by the digest (96 bits) of their bytes. The first holder by
+(document, text hash, offset) keeps its run; every later one is cut out as a whole. So each byte
+that goes lies in a string of at least ``min_run`` bytes that an earlier place holds as it
+is, while chunks that are alike by chance, shorter than that, stay; and the first
+holder of a chunk keeps it, since no run with it comes earlier. Counting is
+aggregated before the shuffle, and only runs that occur twice are joined back.
+
+Defined results: null and empty texts, and texts of fewer than ``min_run`` bytes, have no runs and stay as they are
+(null becomes empty); null ids come last, ordered by a hash of the text, as do different texts of one id; rows with the
 same id and text count as one document; an empty table gives an empty table.
 """
 
@@ -59,8 +62,9 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hit) + 1
 
 
-def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, length, digest as 16 bytes) of every chunk."""
+def chunks_of(texts: list[bytes], min_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, length, digest as 16 bytes) of the run of chunks from each chunk
+    on that reaches ``min_run`` bytes, where the text is long enough."""
     from xxhash import xxh3_128_digest
     gap = b"\0" * _WINDOW
     buf = gap + gap.join(texts) + gap
@@ -89,13 +93,17 @@ def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         starts = np.concatenate(([0], stops[:-1]))
         which = np.searchsorted(begin, stops, side="left") - 1
         starts = np.maximum(starts, begin[which])
+    last = np.searchsorted(stops, starts + min_run)  # the first chunk that ends there or later
+    ok = last < len(stops)
+    ok[ok] = which[last[ok]] == which[ok]
+    which, starts, stops = which[ok], starts[ok], stops[last[ok]]
     view = memoryview(buf)
     digests = b"".join([xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
     return which, starts - begin[which], stops - starts, np.frombuffer(digests, "<i8").reshape(-1, 2)
 
 
-def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(ord, th, start, size, d1, d2) of every chunk of every text."""
+def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 96) -> DataFrame:
+    """(ord, th, start, size, d1, d2) of every run of chunks of every text."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ords, hashes = b["ord"].to_numpy(), b["th"].to_numpy()
@@ -104,7 +112,7 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 texts.append(t.encode("utf-8", "surrogatepass"))
                 n += len(texts[-1])
                 if n >= BATCH or k == len(b) - 1:
-                    which, start, size, d = chunks_of(texts)
+                    which, start, size, d = chunks_of(texts, min_run)
                     which = which + first
                     yield pd.DataFrame({"ord": ords[which], "th": hashes[which], "start": start.astype(np.int32),
                                         "size": size.astype(np.int32), "d1": d[:, 0], "d2": d[:, 1].astype(np.int32)})
@@ -118,35 +126,35 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def first_chunks(chunks: DataFrame) -> DataFrame:
     """(d1, d2, f): the first place of each digest that occurs twice or more."""
     firsts = (chunks.groupBy("d1", "d2")
-              .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "start")).alias("f"))
+              .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "th", "start")).alias("f"))
               .where(F.col("c") > 1).select("d1", "d2", "f"))
     # Written: a join of two plain exchanges is one whose hot keys Spark splits.
     return materialize(firsts, "first-chunks")
 
 
 def repeated_chunks(chunks: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(ord, th, start, size) of the chunks whose digest an earlier place holds."""
+    """(ord, th, start, size) of the runs whose digest an earlier place holds."""
     return (chunks.join(firsts, ["d1", "d2"])
-            .where((F.col("ord") != F.col("f.ord")) | (F.col("start") != F.col("f.start")))
+            .where((F.col("ord") != F.col("f.ord")) | (F.col("th") != F.col("f.th")) | (F.col("start") != F.col("f.start")))
             .select("ord", "th", "start", "size"))
 
 
-def spans_of(parts: list, min_run: int) -> list[tuple[int, int]]:
-    """Maximal runs of adjacent chunks of at least ``min_run`` bytes."""
-    runs: list[list[int]] = []
+def spans_of(parts: list) -> list[tuple[int, int]]:
+    """Maximal spans that ascending, overlapping or adjacent (start, size) cover."""
+    spans: list[list[int]] = []
     for start, size in parts:
-        if runs and runs[-1][1] == start:
-            runs[-1][1] = start + size
+        if spans and start <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], start + size)
         else:
-            runs.append([start, start + size])
-    return [(a, b) for a, b in runs if b - a >= min_run]
+            spans.append([start, start + size])
+    return [(a, b) for a, b in spans]
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      min_run: int = 96) -> DataFrame:
     """All columns of ``docs`` with the text without its repeated runs, and
     ``n_bytes``, ``n_removed``, ``n_spans`` (long; they replace such columns)."""
-    chunks = materialize(chunk_table(docs, id_col, text_col), "chunks")
+    chunks = materialize(chunk_table(docs, id_col, text_col, min_run), "chunks")
     firsts = first_chunks(chunks)
     gone = (repeated_chunks(chunks, firsts).groupBy("ord", "th")
             .agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("_sd_parts")))
@@ -157,7 +165,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         rows = []
         for t, p in zip(texts, parts, strict=True):
             raw = (t or "").encode("utf-8", "surrogatepass")
-            spans = [] if p is None else spans_of([(x["start"], x["size"]) for x in p], min_run)
+            spans = [] if p is None else spans_of([(x["start"], x["size"]) for x in p])
             if spans:
                 edges = [0, *[e for s in spans for e in s], len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))

@@ -18,6 +18,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     texts = {i: "\n".join([words(rng.randint(20, 60)), words(40), footer]) for i in range(40)}
     texts |= {50 + i: texts[i] + "\n" + words(3) for i in range(6)}  # near copies
     texts |= {60 + i: words(60) + " " + passage + " " + words(50) for i in range(5)}
+    texts |= {200 + i: texts[2] for i in range(1000)}  # copies that line dedup empties
     texts |= {70: None, 71: "", 72: "few words", 73: "again and " * 80, 74: texts[1]}
     frame = pd.DataFrame({"doc_id": list(texts), "text": list(texts.values()), "lang": "en",
                           "source": [f"s{i % 3}" for i in range(len(texts))], "n_chars": [len(t or "") for t in texts.values()]})
@@ -62,5 +63,5 @@ def test_the_rest_works_without_this_package(tmp_path):
 
 def test_queries_are_registered():
     names = set(queries.QUERIES)
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
     assert set(queries.ORACLES) <= names
