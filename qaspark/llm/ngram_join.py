@@ -17,10 +17,10 @@ a band with probability ``recall``; nodes are dealt out by band hash.
 3. The components of the verified links are the classes.
 
 So no pair of a group is ever a row, copies are compared once, and a group of
-many near copies is spread over tasks. Defined results: a text without words is
-linked to nothing and is its own class unless it repeats; a null text counts
-as empty; rows that share id and text are one document; a null id counts as one
-last document; an empty table gives an empty table.
+many near copies is spread over tasks. Defined results: texts without words (a null text is empty)
+have equal, empty sets and are one class of copies, linked to nothing else; rows that share id and text are one
+document; documents without an id come last, as one in the number of copies; of documents with one id the
+smaller hash of the text comes first; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -253,15 +253,15 @@ def verify(nodes: DataFrame, groups: DataFrame, sets: DataFrame, threshold: floa
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                     threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """(ord, th, class_id, rep_id, n_links, n_copies) of every document.
+    """(ord, th, class_id, class_th, rep_id, n_links, n_copies) of every document.
 
-    ``class_id``: smallest id of its class; ``rep_id``: smallest id with the same
-    set; ``n_links``: different texts within the threshold; ``n_copies``:
-    documents with the same set."""
+    ``class_id``: smallest id of its class, and ``class_th`` the hash of that text;
+    ``rep_id``: smallest id with the same set; ``n_links``: different texts within
+    the threshold; ``n_copies``: documents with the same set."""
     bands, per = choose_bands(threshold, recall)
     known = materialize(sketch(docs, id_col, text_col, n, bands, per), "sketch")
     # Repeated rows are one document; one row with sketch per node.
-    place = materialize(known.select("ord", "th", F.coalesce("node", F.concat(F.lit(b"-"), F.col("ord").cast("string").cast("binary"))).alias("node")), "place")
+    place = materialize(known.select("ord", "th", F.coalesce("node", F.lit(b"-")).alias("node")), "place")
     nodes = materialize(known.where(F.col("node").isNotNull()).groupBy("node")
                         .agg(F.min(F.struct("ord", "th", "grams", "sig", "band")).alias("r")).select("node", "r.*"), "nodes")
     discard(known)
@@ -281,23 +281,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = materialize(verify(nodes, groups, sets, threshold), "links")
     classes = components(found.where(F.col("b").isNotNull()).select("a", "b"))
     links = found.where(F.col("links").isNotNull()).groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-    copies = place.groupBy("node").agg(F.min("ord").alias("rep_id"), F.count_distinct("ord").alias("n_copies"))
+    copies = place.groupBy("node").agg(F.min(F.struct("ord", "th")).alias("rep"), F.count_distinct("ord").alias("n_copies"))
     info = (copies.join(links, "node", "left").join(classes, "node", "left")
-            .select("node", "rep_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            .select("node", "rep", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce("root", "node").alias("root")))
     info = materialize(info, "info")
     discard(nodes, groups, found)
-    firsts = materialize(info.groupBy("root").agg(F.min("rep_id").alias("class_id")), "classes")
+    firsts = materialize(info.groupBy("root").agg(F.min("rep").alias("first")), "classes")
     info = info.join(firsts, "root").drop("root")
-    return place.join(info, "node").select("ord", "th", "class_id", "rep_id", "n_links", "n_copies")
+    return place.join(info, "node").select("ord", "th", F.col("first.ord").alias("class_id"), F.col("first.th").alias("class_th"),
+                                           F.col("rep.ord").alias("rep_id"), "n_links", "n_copies")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                          threshold: float = 0.8) -> DataFrame:
-    """The first document of each class, with all columns of ``docs``."""
-    classes = near_duplicates(docs, id_col, text_col, n, threshold)
-    first = (classes.where(F.col("ord") == F.col("class_id")).select("ord", "th").distinct()
-             .withColumnsRenamed({"ord": "_nj_ord", "th": "_nj_th"}))
+    """The first document of each class by id and hash of the text, with all columns of
+    ``docs``; of its repeated rows, the one with the smallest hash of all columns."""
+    found = materialize(near_duplicates(docs, id_col, text_col, n, threshold).select(
+        "ord", "th", ((F.col("ord") == F.col("class_id")) & (F.col("th") == F.col("class_th"))).alias("first")), "nj-found")
+    first = found.where("first").groupBy("ord", "th").agg(F.count(F.lit(1)).alias("_nj_rows"))
+    first = materialize(first, "nj-first").withColumnsRenamed({"ord": "_nj_ord", "th": "_nj_th"})
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return (docs.withColumns({"_nj_ord": order_id(id_col), "_nj_th": F.xxhash64(text)})
-            .join(first, ["_nj_ord", "_nj_th"], "left_semi").drop("_nj_ord", "_nj_th"))
+    keyed = docs.withColumns({"_nj_ord": order_id(id_col), "_nj_th": F.xxhash64(text)})
+    keys = ["_nj_ord", "_nj_th"]
+    once = keyed.join(first.where(F.col("_nj_rows") == 1).select(*keys), keys, "left_semi").select(*docs.columns)
+    if first.where(F.col("_nj_rows") > 1).isEmpty():
+        return once
+    again = (keyed.join(first.where(F.col("_nj_rows") > 1).select(*keys), keys, "left_semi").groupBy(*keys)
+             .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r")).select("r.*"))
+    return once.unionByName(again)

@@ -41,9 +41,8 @@ def classes(texts, sets, links):
         up[find(x)] = find(y)
     first = {}
     for i in sorted(texts):
-        if sets[i]:
-            first.setdefault(find(sets[i]), i)
-    return {i: first[find(sets[i])] if sets[i] else i for i in texts}
+        first.setdefault(find(sets[i]), i)
+    return {i: first[find(sets[i])] for i in texts}
 
 
 def check_join(texts, got):
@@ -57,7 +56,7 @@ def check_join(texts, got):
         r = got[i]
         assert r.class_id == own[i], i
         assert r.n_links == count.get(sets[i], 0), i
-        assert r.n_copies == (sum(s == sets[i] for s in sets.values()) if sets[i] else 1)
+        assert r.n_copies == sum(s == sets[i] for s in sets.values())
 
 
 def test_join_against_all_pairs_on_documents(spark):
@@ -89,7 +88,10 @@ def test_one_document_of_each_class_stays(spark, docs_of):
     base = " ".join(f"word{i}" for i in range(80))
     rows = [(5, base), (3, base), (9, base + " tail"), (1, "other text of some words here"), (None, base), (7, None), (8, None), (3, base)]
     out = ngram_join.drop_near_duplicates(docs_of(rows).withColumn("node", F.lit("x"))).collect()
-    assert sorted(r.doc_id for r in out) == [1, 3, 3, 7, 8]  # rows of one id and text are one document
+    assert sorted(r.doc_id for r in out) == [1, 3, 7]  # wordless texts are copies; a repeated row is one document
+    bare = [(None, base), (None, base + " tail"), (None, "tail " + base), (None, None), (None, "")] + [(i, "") for i in range(50)]
+    out = ngram_join.drop_near_duplicates(docs_of(bare)).collect()
+    assert sorted((r.text or "")[:5] for r in out) == ["", (out[0].text or out[1].text)[:5]] and len(out) == 2
     assert ngram_join.drop_near_duplicates(docs_of([]).where(F.lit(False))).count() == 0
 
 
@@ -136,22 +138,22 @@ def slow_chunks(raw):
 
 
 def slow_dedup(rows, min_run=96):
+    """Runs of chunks, as few as reach ``min_run`` bytes, go where an earlier place holds them."""
     seen, out = set(), {}
     order = sorted(range(len(rows)), key=lambda k: (1 << 63) - 1 if rows[k][0] is None else rows[k][0])
     for k in order:
         raw = (rows[k][1] or "").encode()
-        spans, at = [], 0
-        for e in slow_chunks(raw):
-            if raw[at:e] in seen:
-                if spans and spans[-1][1] == at:
-                    spans[-1][1] = e
-                else:
-                    spans.append([at, e])
-            seen.add(raw[at:e])
-            at = e
-        spans = [s for s in spans if s[1] - s[0] >= min_run]
-        edges = [0, *[x for s in spans for x in s], len(raw)]
-        out[k] = (b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode(), len(raw), len(spans))
+        gone = bytearray(len(raw))
+        ends = slow_chunks(raw)
+        for a in [0, *ends[:-1]]:
+            e = next((e for e in ends if e - a >= min_run), None)
+            if e is None:
+                continue
+            if raw[a:e] in seen:
+                gone[a:e] = b"\1" * (e - a)
+            seen.add(raw[a:e])
+        spans = sum(x and not (i and gone[i - 1]) for i, x in enumerate(gone))
+        out[k] = (bytes(b for b, x in zip(raw, gone, strict=True) if not x).decode(), len(raw), spans)
     return out
 
 
@@ -172,6 +174,27 @@ def test_substrings_against_brute_force(spark, docs_of):
     assert substring_dedup.dedup_substrings(docs_of([]).where(F.lit(False))).count() == 0
 
 
+def test_what_goes_is_repeated_as_a_whole(spark, docs_of):
+    """Chunks that other documents hold, in another order, are no reason to cut."""
+    rng = random.Random(10)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    phrases = [words(9) for _ in range(12)]
+    rows = [(i, p) for i, p in enumerate(phrases)]  # every phrase alone, under 96 bytes
+    rows += [(100 + i, " ".join(rng.sample(phrases, 12))) for i in range(8)]
+    passage = words(60)
+    rows += [(200, words(30) + " " + passage), (201, words(20) + " " + passage + " " + words(20)), (None, passage + "!"), (None, passage + "?")]
+    out = substring_dedup.dedup_substrings(docs_of(rows)).collect()
+    texts, text_of = sorted((r.text for r in out), key=len), dict(rows)
+    seen = ""
+    for r in sorted((r for r in out if r.doc_id is not None), key=lambda r: r.doc_id):
+        raw, kept = text_of[r.doc_id], r.text
+        if r.n_removed:  # cut out in one piece that an earlier text holds
+            assert r.n_spans > 1 or any(raw[:a] + raw[a + r.n_removed:] == kept and raw[a:a + r.n_removed] in seen for a in range(len(raw)))
+        seen += raw + "\n"
+    assert all(r.n_removed == 0 for r in out if r.doc_id is not None and r.doc_id < 100)
+    assert sum(passage in t for t in texts) == 1
+
+
 def test_chunks_resist_insertions():
     rng = random.Random(9)
     raw = bytes(rng.choice(b"abcdefgh ") for _ in range(20_000))
