@@ -2,19 +2,27 @@
 
 The model is learned from at most ``max_rows`` labelled texts of each class,
 picked by a hash of their id; the copies of a text are one, with the smallest id,
-and count for the class's share of the labelled rows only. Terms are lower-case words and their first 4, 5 and
-6 letters. The first ``max_examples`` texts of each class are the examples, and all
+and count for the class's share of the labelled rows only. Terms are lower-case words. The
+first ``max_examples`` texts of each class (of at most ``max_bytes`` in all) are the examples, and all
 of their terms span the space. A term weighs (1 + ln tf) idf; one that marks the
 toxic class weighs more, by its odds and chi-square in the rows learned from, and
-none weighs less. Document frequencies come from all documents. Cosines with all examples
-are summed in single precision, from a dense matrix of the frequent terms and
-postings of the others; all examples within the proven error of the k-th are then
+none weighs less: with plain idf the words of a long text outweigh the few that
+matter (see the README). Document frequencies come from all documents.
+
+The index is a block-max inverted index. Examples are cut into blocks of
+``BLOCK``; a term's postings are grouped by block, with the largest weight of each
+group. Terms in many examples have a dense row instead and are summed for all examples
+at once. The k-th largest of these partial sums is a lower bound of the k-th cosine, and the
+best partial sum of a block plus the sum of the largest weights of the other terms an
+upper bound of its cosines: blocks below are not read. The best blocks are read
+first, which raises the lower bound for the others. These sums are in
+single precision; all examples within the proven error of the k-th are then
 compared in double precision, so the nearest examples are exact. They vote
 with their cosine, each class weighted back to its share of the labelled rows;
 a monotone map fitted on the examples themselves, each left out of its own
 vote unless it has copies, turns votes into probabilities. The neighbours are the evidence.
 
-What is learned is bounded by ``max_rows`` and the terms of ``max_examples`` rows, so
+What is learned is bounded by ``max_rows`` and ``max_bytes``, so
 it is sent to every task; frequencies are counted in Spark. Defined results: a text without
 any term of the space (null and empty ones too) gets the share of toxic
 examples among examples like it; without labels every score is 0; a document
@@ -27,7 +35,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -39,16 +47,16 @@ from qaspark.llm.common import add_columns, map_slices, materialize
 _WORDS = re.compile(r"[^\W\d_]+").findall
 #: Weight of a term per unit of log odds of the toxic class, over 1 for any term.
 MARK = 1.0
-#: A term in one of so many examples has a dense row in the index.
-DENSE = 8
-#: Texts compared with the examples at a time.
-BLOCK = 128
-#: Terms a task counts before it hands them on, and words remembered by a worker.
+#: A term in one of so many examples has a dense row in the index, so many rows at most.
+DENSE, MAX_DENSE = 32, 2048
+#: Examples of a block, blocks read first, and texts compared with the examples at a time.
+BLOCK, FIRST, BATCH = 16, 16, 128
+#: Terms a task counts before it hands them on.
 FLUSH = 400_000
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    return tuple({word[:24], word[:4], word[:5], word[:6]})
+def words_of(text: str | None) -> list[str]:
+    return _WORDS((text or "").lower())
 
 
 def class_counts(rows: DataFrame, text_col: str, label_col: str, example_col: str) -> DataFrame:
@@ -65,7 +73,7 @@ def class_counts(rows: DataFrame, text_col: str, label_col: str, example_col: st
         for b in batches:
             for text, y, e in zip(b["t"], b["y"], b["e"], strict=True):
                 at, e = 0 if y else 1, int(e)
-                for term in {t for w in set(_WORDS((text or "").lower())) for t in terms_of(w)}:
+                for term in set(words_of(text)):
                     n = sums.setdefault(term, [0, 0, 0])
                     n[at] += 1
                     n[2] += e
@@ -89,41 +97,24 @@ def mark_weights(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: in
     return 1 + MARK * np.maximum(np.log(odds), 0.0) * chi2 / (chi2 + min_chi2)
 
 
-class _Places(dict):
-    """Places of a word's terms, filled as words come."""
-
-    def __init__(self, terms: list[str]):
-        super().__init__()
-        self.place = {t: i for i, t in enumerate(terms)}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= FLUSH:
-            self.clear()
-        got = self[word] = tuple(self.place[t] for t in terms_of(word) if t in self.place)
-        return got
-
-    def __reduce__(self):
-        return _Places, (list(self.place),)
-
-
 class TermSpace:
     """Term counts of a text over the terms of the examples."""
 
     def __init__(self, terms: list[str]):
-        self.of = _Places(terms)
+        self.place = {t: i for i, t in enumerate(terms)}
 
     def places(self, text: str | None) -> np.ndarray:
-        """Places of the text's terms; a place may come repeatedly."""
-        words = set(_WORDS((text or "").lower()))
-        return np.fromiter(chain.from_iterable(map(self.of.__getitem__, words)), np.int64)
+        """Places of the text's terms, each once."""
+        words = set(words_of(text))
+        t = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        return t[t >= 0]
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ascending places of the text's terms and how often they occur."""
-        words = Counter(_WORDS((text or "").lower()))
-        got = list(map(self.of.__getitem__, words))
-        n = np.repeat(np.fromiter(words.values(), np.float64, len(got)), list(map(len, got))) if got else np.empty(0)
-        t, of = np.unique(np.fromiter(chain.from_iterable(got), np.int64, len(n)), return_inverse=True)
-        return t, np.bincount(of, weights=n, minlength=len(t))
+        words = Counter(words_of(text))
+        t = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        order = np.argsort(t, kind="stable")[np.count_nonzero(t < 0):]
+        return t[order], np.fromiter(words.values(), np.float64, len(words))[order]
 
 
 def document_frequencies(docs: DataFrame, text_col: str, terms: list[str]) -> tuple[int, np.ndarray]:
@@ -132,7 +123,7 @@ def document_frequencies(docs: DataFrame, text_col: str, terms: list[str]) -> tu
         space, df, n = TermSpace(terms), np.zeros(len(terms) + 1, np.int64), 0
         for b in batches:
             for text in b["t"]:
-                df[space.places(text)] += 1  # a repeated place counts once
+                df[space.places(text)] += 1
                 n += 1
         df[-1] = n
         at = np.flatnonzero(df)
@@ -151,10 +142,15 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class ExampleIndex:
-    """Exact nearest examples by the cosine over all of their terms."""
+    """Exact nearest examples by the cosine over all of their terms. ``read`` counts
+    the pairs of a text and a block, and those of them that were read."""
 
     def __init__(self, terms: list[str], scale: np.ndarray, ids: np.ndarray, labels: np.ndarray,
                  counts: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray):
+        # Examples of one class and of like size share blocks.
+        order = sorted(range(len(ids)), key=lambda i: (labels[i], len(counts[i][0]), ids[i]))
+        self.order = np.array(order)
+        ids, labels, weights, counts = ids[order], labels[order], weights[order], [counts[i] for i in order]
         self.terms, self.scale, self.ids, self.labels, self.weights = terms, scale, ids, labels, weights
         self.space = TermSpace(terms)
         self.vectors = [self.vector(c) for c in counts]
@@ -163,17 +159,27 @@ class ExampleIndex:
         self.t = np.concatenate([t for t, _ in self.vectors]).astype(np.int32)
         self.w = np.concatenate([w for _, w in self.vectors])
         self.vectors = [(self.t[a:a + m], self.w[a:a + m]) for a, m in zip(self.starts.tolist(), self.sizes.tolist(), strict=True)]
+        self.blocks = -(-len(ids) // BLOCK)
         held = np.repeat(np.arange(len(ids), dtype=np.int32), self.sizes)
-        often = np.bincount(self.t, minlength=len(terms)) * DENSE >= len(ids)
+        df = np.bincount(self.t, minlength=len(terms))
+        often = df * DENSE >= len(ids)
+        often[np.argsort(-df, kind="stable")[MAX_DENSE:]] = False
         self.row = np.where(often, np.cumsum(often) - 1, -1)
-        self.dense = np.zeros((int(often.sum()), len(ids)), np.float32)
+        self.dense = np.zeros((int(often.sum()), self.blocks * BLOCK), np.float32)
         m = often[self.t]
         self.dense[self.row[self.t[m]], held[m]] = self.w[m]
+        # Postings by term and block; group g has postings first[g] to first[g + 1].
         rare = np.flatnonzero(~m)
-        rare = rare[np.argsort(self.t[rare], kind="stable")]
+        rare = rare[np.lexsort((held[rare], self.t[rare]))]
         self.held, self.held_w = held[rare], self.w[rare].astype(np.float32)
-        self.first = np.searchsorted(self.t[rare], np.arange(len(terms) + 1))
+        t, block = self.t[rare], self.held // BLOCK
+        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(t)), bool), (t[1:] != t[:-1]) | (block[1:] != block[:-1]))))
+        self.first = np.concatenate((new, [len(t)]))
+        self.block = block[new]
+        self.most = np.maximum.reduceat(self.held_w, new) if len(new) else np.empty(0, np.float32)
+        self.groups = np.searchsorted(t[new], np.arange(len(terms) + 1))
         self.votes = self.values = np.empty(0)
+        self.read = [0, 0]
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "vectors"}  # views of t and w
@@ -192,29 +198,60 @@ class ExampleIndex:
                     leave_out: np.ndarray | None = None) -> list[list[tuple[int, float]]]:
         """The nearest of each vector; ``leave_out[i]``: the i-th example is not a neighbour of the i-th vector."""
         out, full = [], np.zeros(len(self.terms))
-        for lo in range(0, len(vectors), BLOCK):
-            part = vectors[lo:lo + BLOCK]
-            often = np.zeros((len(part), len(self.dense)), np.float32)
-            for i, (t, w) in enumerate(part):
-                row = self.row[t]
-                often[i, row[row >= 0]] = w[row >= 0]
-            for i, rough in enumerate(often @ self.dense):
-                out.append(self._nearest(*part[i], rough, k, lo + i if leave_out is not None and leave_out[lo + i] else -1, full))
+        for lo in range(0, len(vectors), BATCH):
+            part = vectors[lo:lo + BATCH]
+            but = np.full(len(part), -1)
+            if leave_out is not None:
+                m = leave_out[lo:lo + BATCH]
+                but[m] = lo + np.flatnonzero(m)
+            for (t, w), near, b in zip(part, self._candidates(part, k, but), but.tolist(), strict=True):
+                out.append(self._exactly(t, w, near[near != b], k, full))
         return out
 
-    def _nearest(self, t: np.ndarray, w: np.ndarray, rough: np.ndarray, k: int, but: int,
-                 full: np.ndarray) -> list[tuple[int, float]]:
-        if not len(t):
-            return []
-        sizes = self.first[t + 1] - self.first[t]
-        at = _spans(self.first[t], sizes)
-        rough = rough + np.bincount(self.held[at], weights=self.held_w[at] * np.repeat(w, sizes), minlength=len(rough))
-        if but >= 0:
-            rough[but] = 0
-        # A single-precision sum of m products of at most 1 in all is off by less than
-        # (m + 4) 2^-24, and so is the k-th; only products that are not 0 count.
-        least = np.partition(rough, -k)[-k] - (np.count_nonzero(sizes == 0) + 8) * 2.0 ** -23 if len(rough) > k else 0.0
-        near = np.flatnonzero((rough >= least) & (rough > 0))
+    def _candidates(self, part: list, k: int, but: np.ndarray) -> list[np.ndarray]:
+        """Examples that can be among the k nearest of each vector."""
+        n, width = len(part), self.blocks * BLOCK
+        of = np.repeat(np.arange(n), [len(t) for t, _ in part])
+        t, w = np.concatenate([t for t, _ in part]), np.concatenate([w for _, w in part])
+        row = self.row[t]
+        often = np.zeros((n, len(self.dense)), np.float32)
+        often[of[row >= 0], row[row >= 0]] = w[row >= 0]
+        rough = (often @ self.dense).astype(np.float64)
+        left = np.flatnonzero(but >= 0)
+        rough[left, but[left]] = 0
+        # A single-precision sum of m products of at most 1 in all is off by less than (m + 4) 2^-24.
+        error = (np.count_nonzero(often, axis=1) + 8) * 2.0 ** -23
+        sizes = self.groups[t + 1] - self.groups[t]
+        group = _spans(self.groups[t], sizes)
+        of, w = np.repeat(of, sizes), np.repeat(w, sizes)
+        cell = of * self.blocks + self.block[group]
+        bound = np.bincount(cell, weights=w * self.most[group], minlength=n * self.blocks).reshape(n, self.blocks)
+        bound = bound + rough.reshape(n, self.blocks, BLOCK).max(axis=2) + 4 * error[:, None]
+        first = np.zeros((n, self.blocks), bool)
+        first[np.arange(n)[:, None], np.argsort(-bound, axis=1)[:, :FIRST]] = True
+        seen = np.zeros((n, self.blocks), bool)
+        for best in (True, False):
+            kth = self._kth(rough, k) - 2 * error
+            # A block without a shared term in any example has the bound 4 error.
+            wanted = (bound >= kth[:, None]) & (bound > 4 * error[:, None]) & ~seen & (first if best else True)
+            at = wanted.ravel()[cell]
+            g = group[at]
+            sizes = self.first[g + 1] - self.first[g]
+            post = _spans(self.first[g], sizes)
+            add = np.repeat(w[at], sizes) * self.held_w[post]
+            rough += np.bincount(np.repeat(of[at], sizes) * width + self.held[post], weights=add, minlength=n * width).reshape(n, width)
+            rough[left, but[left]] = 0
+            seen |= wanted
+        self.read = [self.read[0] + seen.size, self.read[1] + int(seen.sum())]
+        kth = self._kth(rough, k) - 2 * error
+        fits = (rough >= kth[:, None]) & (rough > 0) & np.repeat(seen, BLOCK, axis=1)
+        return [np.flatnonzero(x) for x in fits]
+
+    @staticmethod
+    def _kth(rough: np.ndarray, k: int) -> np.ndarray:
+        return np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.zeros(len(rough))
+
+    def _exactly(self, t: np.ndarray, w: np.ndarray, near: np.ndarray, k: int, full: np.ndarray) -> list[tuple[int, float]]:
         if not len(near):
             return []
         full[t] = w
@@ -236,20 +273,19 @@ class ExampleIndex:
         """Monotone map from votes to probabilities (pooled neighbours). ``alone``:
         the example has no copy that would be found without it."""
         votes = np.array([self.vote(near) for near in self.nearest_all(self.vectors, k, leave_out=alone)])
-        pools: list[list[float]] = []  # toxic weight, weight, largest vote
+        pools: list[list[float]] = []  # toxic weight, weight, smallest and largest vote
         for v in np.unique(votes):
             m = votes == v
-            pools.append([float((self.weights * self.labels)[m].sum()), float(self.weights[m].sum()), float(v)])
+            pools.append([float((self.weights * self.labels)[m].sum()), float(self.weights[m].sum()), float(v), float(v)])
             while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-                a, n, v2 = pools.pop()
-                pools[-1] = [pools[-1][0] + a, pools[-1][1] + n, v2]
-        self.votes = np.array([p[2] for p in pools])
-        self.values = np.array([p[0] / p[1] for p in pools])
+                a, n, _, v2 = pools.pop()
+                pools[-1] = [pools[-1][0] + a, pools[-1][1] + n, pools[-1][2], v2]
+        self.votes = np.array([v for p in pools for v in p[2:]])
+        self.values = np.array([p[0] / p[1] for p in pools for _ in p[2:]])
 
     def score(self, near: list[tuple[int, float]]) -> float:
-        v = self.vote(near)
-        i = min(int(np.searchsorted(self.votes, v)), len(self.votes) - 1)
-        return float(min(1.0, max(0.0, self.values[i])))
+        # Between the votes of two pools, in proportion.
+        return float(min(1.0, max(0.0, np.interp(self.vote(near), self.votes, self.values))))
 
 
 def pick(marked: DataFrame, n: dict[int, int], max_rows: int) -> DataFrame:
@@ -266,8 +302,8 @@ def pick(marked: DataFrame, n: dict[int, int], max_rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_col: str = "doc_id",
-        text_col: str = "text", label_col: str = "toxic", max_rows: int = 10_000, max_examples: int = 2000,
-        min_chi2: float = 20.0, k: int = 15) -> ExampleIndex | None:
+        text_col: str = "text", label_col: str = "toxic", max_rows: int = 10_000, max_examples: int = 1000,
+        max_bytes: int = 64 << 20, min_chi2: float = 20.0, k: int = 15) -> ExampleIndex | None:
     """The index over labelled examples; None if a class has none. ``learnable``
     is a condition on the id column."""
     marked = (labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y"))
@@ -288,13 +324,18 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_
     rows = (docs_t.withColumn("th", th).join(F.broadcast(chosen), ["i", "th"])
             .groupBy("i", "y", "h", "alone").agg(F.min("t").alias("t")))
     rows = materialize(rows, "labelled")
-    have = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ex = None
+    sizes = (rows.select("i", "y", "h", F.octet_length(F.coalesce("t", F.lit(""))).alias("bytes"))
+             .orderBy("y", "h", "i").toArrow().to_pylist())  # a row for each text learned from
+    have = {y: sum(r["y"] == y for r in sizes) for y in (0, 1)}
+    ex = []
     for y in (0, 1):
-        part = rows.where(F.col("y") == y).orderBy("h", "i").limit(max_examples).select("i")
-        ex = part if ex is None else ex.unionByName(part)
-    # At most 2 * max_examples ids.
-    rows = rows.join(F.broadcast(ex.withColumn("e", F.lit(True))), "i", "left").fillna(False, "e")
+        left = max_bytes // 2
+        for r in [r for r in sizes if r["y"] == y][:max_examples]:
+            if r["bytes"] <= left:
+                left -= r["bytes"]
+                ex.append((r["i"], True))
+    ex = rows.sparkSession.createDataFrame(ex, "i long, e boolean")  # at most 2 * max_examples ids
+    rows = rows.join(F.broadcast(ex), "i", "left").fillna(False, "e")
     rows = materialize(rows, "examples")
     counts = class_counts(rows, "t", "y", "e").toArrow().sort_by("term")  # a row a term
     terms = counts["term"].to_pylist()
@@ -317,7 +358,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_
     held = [(np.frombuffer(t.as_buffer(), np.int32), np.frombuffer(m.as_buffer(), np.int32))
             for t, m in zip(ex["at"], ex["n"], strict=True)]
     index = ExampleIndex(terms, idf * marks, ex["i"].to_numpy(), y, held, np.where(y == 1, share[1], share[0]))
-    index.calibrate(k, ex["alone"].to_numpy())
+    index.calibrate(k, ex["alone"].to_numpy(zero_copy_only=False)[index.order])
     return index
 
 

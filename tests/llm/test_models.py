@@ -82,6 +82,7 @@ def test_toxicity_neighbours_are_exact(spark):
         cos = np.round(dense @ q, 12)
         order = sorted((i for i in range(len(cos)) if cos[i] > 0), key=lambda i: (-cos[i], index.ids[i]))[:15]
         assert [i for i, _ in index.nearest(t, w, 15)] == order
+    assert 0 < index.read[1] < index.read[0]  # some blocks need not be read
 
 
 def test_toxicity_edges(spark, docs_of):
@@ -106,11 +107,20 @@ def test_toxicity_space_is_the_whole_vocabulary(spark, docs_of):
     labels = spark.createDataFrame([(i, int(i < 200 or 600 <= i < 604)) for i, _ in rows], "doc_id long, toxic int")
     new = [(700, f"zorgon blemfar {plain(8)}"), (701, f"vile {plain(8)}"), (702, f"vile {plain(150)}"), (703, plain(8))]
     index = toxicity.fit(docs_of(rows), labels)
-    assert set(index.terms) == {t for _, x in rows for w in x.split() for t in toxicity.terms_of(w)}
+    assert set(index.terms) == {w for _, x in rows for w in x.split()}
     out = {r.doc_id: r.score for r in toxicity.score(docs_of(new), index).collect()}
     assert out[700] > 0.7 and out[701] > 0.7 and out[702] < 0.3 and out[703] < 0.3, out
 
 
+def test_toxicity_examples_are_bounded_by_bytes(spark, docs_of):
+    rows = [(i, f"vile w{i}") for i in range(40)] + [(100 + i, f"kind v{i}") for i in range(40)] + [(300, "vile " * 40_000)]
+    labels = spark.createDataFrame([(i, int(i < 100 or i == 300)) for i, _ in rows], "doc_id long, toxic int")
+    index = toxicity.fit(docs_of(rows), labels, max_bytes=1000)
+    assert len(index.ids) == 80 and 300 not in index.ids
+    out = {r.doc_id: r for r in toxicity.score(docs_of([(900, "vile"), (901, "kind"), (902, "vile " * 100_000)]), index).collect()}
+    assert out[900].score > 0.7 > out[901].score and out[902].score > 0.7
+
+
 def test_toxicity_learns_from_distinct_texts(spark, docs_of):
     rng = np.random.RandomState(6)
     plain = lambda n: " ".join(f"w{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}q" for a, b, c in rng.randint(0, 8, (n, 3)))
