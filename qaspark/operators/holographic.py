@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from qaspark.functions import vector as V
 from qaspark.operators import vectors as VEC
+from qaspark.session import materialize
 
 
 def cc_fft(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,6 +96,45 @@ def answer_holographic(answers: DataFrame, ids: Sequence[str], parts: dict, vect
     return wide.select(*ids, structure_udf(len(unknown))("e1", "r", "e2").alias("vec"))
 
 
+def _levels(nodes: DataFrame, ids: list[str]) -> list[DataFrame]:
+    """The nodes by nesting, outermost first; those not below a top item are left out."""
+    level = materialize(nodes.where(F.col("parent").isNull()), "tree-0")
+    out = []
+    while not level.isEmpty():
+        out.append(level)
+        above = level.where(F.col("token").isNull()).select(*ids, F.col("node").alias("parent"))
+        level = materialize(nodes.join(above, [*ids, "parent"]), f"tree-{len(out)}")
+    return out
+
+
+def fold_tree(sentences: DataFrame, nodes: DataFrame, ids: Sequence[str], vectors: DataFrame, unknown: Sequence[float]) -> DataFrame:
+    """``(ids, vec)``: circular correlation folded over nested lists, any depth.
+
+    ``nodes``: ``(ids, node, parent, ord, token)``, an item of a list each: a word (``token``)
+    or, with a null token, a list of its own; ``parent`` is the list it stands in (null: the
+    sentence's own list) and ``ord`` its place there. Lists are folded level by level from the
+    innermost, all lists of a level at once; the items of one list meet in a group. An empty list counts as a zero vector and so for nothing, and a
+    sentence without items is a zero vector."""
+    ids = list(ids)
+    fold = fold_udf(len(unknown))
+    items = nodes.select(*ids, "node", "parent", "ord", "token")
+    folded = None
+    for level in reversed(_levels(items, ids)):
+        words = level.where(F.col("token").isNotNull()).join(vectors, "token", "left").select(
+            *ids, "parent", "ord", F.coalesce("vec", V.literal(unknown)).alias("vec"))
+        if folded is not None:
+            lists = level.where(F.col("token").isNull()).drop("parent").join(
+                folded.withColumnRenamed("parent", "node"), [*ids, "node"]).join(
+                level.select(*ids, "node", "parent"), [*ids, "node"])
+            words = words.unionByName(lists.select(*ids, "parent", "ord", "vec"))
+        groups = words.groupBy(*ids, "parent").agg(F.array_sort(F.collect_list(F.struct("ord", "vec"))).alias("pv"))
+        folded = materialize(groups.select(*ids, "parent", fold(F.transform("pv", lambda x: x["vec"])).alias("vec")), "tree-fold")
+    zero = V.literal([0.0] * len(unknown))
+    if folded is None:
+        return sentences.select(*ids, zero.alias("vec"))
+    return sentences.select(*ids).join(folded.drop("parent"), ids, "left").select(*ids, F.coalesce("vec", zero).alias("vec"))
+
+
 def structure_udf(d: int):
     """FFT form of ``fold(r) * (fold(e1) * fold(e2))`` over three arrays of vectors."""
     @F.pandas_udf(ArrayType(DoubleType()))

@@ -8,6 +8,14 @@ is two passes over the sparse entries - a join of ``(row, idx, cnt)`` with a
 table ``idx -> r-vector`` and a per-key vector sum. The whitened entries and
 every factor are tables; the driver holds r x r Gram matrices only
 (r = k + oversampling), which also give the orthonormal bases.
+
+The second stage maps a question to ``z = [q P1, q P2]`` with the factors of a
+paraphrase model and correlates z with the answers. ``P^T C_qq P`` is never formed from a
+Gram matrix: its diagonal ``p_j^T C_qq p_j`` is the sum of ``z_j^2`` over the rows, and the whitened
+``T' = W' (P^T C_qa) Wa`` has only as many rows as z is wide, so its left side is a small Gram
+matrix and its right side a table over the answer vocabulary. A model is a table ``(side,
+idx, w)``; a two-stage question side is the product of both question factors, so
+rows are projected and scored alike for either.
 """
 
 from __future__ import annotations
@@ -21,6 +29,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qaspark.functions.vector import cosine_distance
 from qaspark.session import materialize
 
 
@@ -31,6 +40,16 @@ def _times(entries: DataFrame, by: str, factor: DataFrame, to: str) -> DataFrame
     return j.groupBy(to).agg(vector_to_array(Summarizer.sum(array_to_vector(scaled))).alias("w"))
 
 
+def _counts(features: DataFrame) -> DataFrame:
+    return materialize(features.select("row_id", "side", F.col("idx").cast("long").alias("idx"),
+                                       F.col("cnt").cast("double").alias("cnt")), "sparse-counts")
+
+
+def _weights(counts: DataFrame, n: float) -> DataFrame:
+    """Inverse square roots of the diagonal auto-covariances (with the factor 1 / n of the dense form)."""
+    return materialize(counts.groupBy("side", "idx").agg((1 / (F.sqrt(F.sum(F.col("cnt") ** 2)) * n)).alias("wt")), "sparse-weights")
+
+
 def _matrix(s: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in s])
 
@@ -71,10 +90,9 @@ def sparse_factors(features: DataFrame, k: int = 100, oversample: int = 10, powe
                    seed: int = 0) -> tuple[DataFrame, np.ndarray]:
     """``features``: long ``(row_id, side, idx, cnt)`` with sides ``q`` / ``a``.
     Returns the projections as a table ``(side, idx, w)`` and the singular values."""
-    f = materialize(features.select("row_id", "side", F.col("idx").cast("long").alias("idx"),
-                                    F.col("cnt").cast("double").alias("cnt")), "sparse-counts")
+    f = _counts(features)
     n = float(f.select("row_id").distinct().count())
-    weight = materialize(f.groupBy("side", "idx").agg((1 / (F.sqrt(F.sum(F.col("cnt") ** 2)) * n)).alias("wt")), "sparse-weights")
+    weight = _weights(f, n)
     widths = {x["side"]: x["n"] for x in weight.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
     r = min(k + oversample, widths.get("q", 0), widths.get("a", 0))
     if not r:
@@ -115,3 +133,73 @@ def fit_sparse(features: DataFrame, k: int = 100, oversample: int = 10, power_it
     """The projections in long form ``(side, i, k, w)``."""
     model, _ = sparse_factors(features, k, oversample, power_iters, seed)
     return model.select("side", F.col("idx").cast("int").alias("i"), F.posexplode("w").alias("k", "w"))
+
+
+def question_map(para: DataFrame) -> DataFrame:
+    """``(idx, w)`` with ``w = [P1, P2]`` of a paraphrase model whose two sides share the
+    question vocabulary; an index that one side lacks has zeros there."""
+    sides = [para.where(F.col("side") == s).select("idx", F.col("w").alias(f"w{s}")) for s in ("q", "a")]
+    width = para.select(F.size("w").alias("d")).first()["d"]
+    zeros = F.array_repeat(F.lit(0.0), width)
+    both = sides[0].join(sides[1], "idx", "full")
+    return materialize(both.select("idx", F.concat(F.coalesce("wq", zeros), F.coalesce("wa", zeros)).alias("w")), "sparse-map")
+
+
+def two_stage_factors(features: DataFrame, mapped: DataFrame, k: int | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """CCA of the mapped questions with the answers. ``features`` as for
+    :func:`sparse_factors`; ``mapped``: :func:`question_map`. Returns the answer factors
+    ``(side, idx, w)``, the matrix of the question side (as many rows as ``mapped`` is wide) and the
+    singular values."""
+    f = _counts(features)
+    n = float(f.select("row_id").distinct().count())
+    q, a = (f.where(F.col("side") == s).drop("side") for s in ("q", "a"))
+    rows = materialize(_times(q, "idx", mapped, "row_id"), "sparse-rows")
+    first = mapped.select(F.size("w").alias("d")).first()
+    if first is None or rows.isEmpty():
+        raise ValueError("no question has a mapped feature")
+    r = first["d"]
+    diag = np.diagonal(_gram(rows, r)).copy()
+    wq = np.zeros(r)
+    wq[diag > 0] = 1 / (np.sqrt(diag[diag > 0]) * n)  # a dead dimension gets weight 0
+    weight = _weights(f.where(F.col("side") == "a"), n).drop("side")
+    # Columns of T': a vector of r numbers for each answer index.
+    cross = _times(a, "row_id", rows, "idx").join(weight, "idx")
+    columns = materialize(_apply(cross.select("idx", F.transform("w", lambda x: x * F.col("wt") / n).alias("w")), np.diag(wq)), "sparse-columns")
+    value, vector = np.linalg.eigh(_gram(columns, r))
+    order = np.argsort(-value)[:k]
+    order = order[value[order] > max(value.max(), 0) * 1e-14]
+    s, u = np.sqrt(value[order]), vector[:, order]
+    scaled = F.transform("w", lambda x: x * F.col("wt"))
+    answers = _apply(columns, u / s).join(weight, "idx").select(F.lit("a").alias("side"), "idx", scaled.alias("w"))
+    return materialize(answers, "sparse-answers"), wq[:, None] * u, s
+
+
+def two_stage_model(features: DataFrame, mapped: DataFrame, k: int | None = None) -> DataFrame:
+    """The two-stage model as one table ``(side, idx, w)`` over question and answer
+    indices: the question side is ``[P1, P2] Q``."""
+    answers, q, _ = two_stage_factors(features, mapped, k)
+    return materialize(_apply(mapped, q).select(F.lit("q").alias("side"), "idx", "w").unionByName(answers), "sparse-model")
+
+
+def project_rows(features: DataFrame, model: DataFrame) -> DataFrame:
+    """``(row_id, side, vec)``: the counts of each row and side times the model's
+    factors - a join on the index, split by AQE where one is hot, and a sum a row."""
+    held = materialize(model.select("side", "idx", "w"), "sparse-model")
+    scaled = F.transform("w", lambda x: x * F.col("cnt"))
+    return (features.select("row_id", "side", F.col("idx").cast("long").alias("idx"), "cnt").join(held, ["side", "idx"])
+            .groupBy("row_id", "side").agg(vector_to_array(Summarizer.sum(array_to_vector(scaled))).alias("vec")))
+
+
+def score(features: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    """``(row_id, dist)``: cosine distance of the projected sides of each row of
+    ``features``; without a model, of the counts themselves. A row with a side without a
+    known feature has no distance."""
+    rows = features.select("row_id").distinct()
+    if model is None:
+        q, a = (features.where(F.col("side") == s).select("row_id", "idx", F.col("cnt").alias(s)) for s in ("q", "a"))
+        sums = (q.join(a, ["row_id", "idx"], "full").groupBy("row_id")
+                .agg(F.sum(F.col("q") * F.col("a")).alias("dot"), F.sum(F.col("q") ** 2).alias("qq"), F.sum(F.col("a") ** 2).alias("aa")))
+        dist = 1 - F.coalesce("dot", F.lit(0.0)) / F.sqrt(F.col("qq")) / F.sqrt(F.col("aa"))
+        return sums.select("row_id", dist.alias("dist"))
+    v = project_rows(features, model).groupBy("row_id").pivot("side", ["q", "a"]).agg(F.first("vec"))
+    return rows.join(v.select("row_id", cosine_distance("q", "a").alias("dist")), "row_id", "left")

@@ -3,12 +3,18 @@ cosine distance."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 from qaspark.functions import text as T
 from qaspark.functions import vector as V
@@ -17,6 +23,9 @@ from qaspark.functions import vector as V
 RARE_MAX_COUNT = 4
 # Largest vector width accepted where a vector is held as a model parameter.
 MAX_WIDTH = 4096
+#: Bytes of word vectors sent to every task at a time, so many times at most, and
+#: sentences looked up together.
+LOOKUP_BYTES, MAX_BLOCKS, LOOKUP_ROWS = 128 << 20, 16, 1024
 
 
 def corpus_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,25 +84,99 @@ def long_sides(df: DataFrame, ids: Sequence[str], sides: dict) -> DataFrame:
     return df.select(*ids, F.explode(F.array(*each)).alias("_s")).select(*ids, "_s.side", "_s.tokens")
 
 
+class _Lookup:
+    """Word vectors of one block: words dealt by ``crc32 % blocks``. The last row of
+    the matrix is the UNKNOWN vector."""
+
+    def __init__(self, tokens: list[str], matrix: np.ndarray, unknown: Sequence[float], block: int, blocks: int):
+        self.place = {t: i for i, t in enumerate(tokens)}
+        self.matrix = np.vstack([matrix.reshape(len(tokens), -1) if len(tokens) else np.zeros((0, len(unknown))), np.asarray(unknown, np.float64)])
+        self.live = (self.matrix != 0).any(axis=1)
+        self.block, self.blocks = block, blocks
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Matrix row of each word; -1 for a word of another block."""
+        last = len(self.matrix) - 1
+        if self.blocks == 1:
+            return np.fromiter((self.place.get(w, last) for w in words), np.int64, len(words))
+        return np.fromiter((self.place.get(w, last) if zlib.crc32(w.encode()) % self.blocks == self.block else -1 for w in words),
+                           np.int64, len(words))
+
+    def sums(self, tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the vectors and number of the non-zero ones of each token list."""
+        coded = tokens.flatten().dictionary_encode()
+        rows = self.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(coded) else np.empty(0, np.int64)
+        n = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.repeat(np.arange(len(n)), n)
+        of, rows = of[rows >= 0], rows[rows >= 0]
+        of, rows = of[self.live[rows]], rows[self.live[rows]]
+        total = np.zeros((len(n), self.matrix.shape[1]))
+        live = np.bincount(of, minlength=len(n))
+        if len(of):
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            total[of[first]] = np.add.reduceat(self.matrix[rows], first)
+        return total, live
+
+
+def _block_sums(sentences: DataFrame, ids: list[str], tokens_col: str, lookup: _Lookup) -> DataFrame:
+    """``(ids, _sum, _live)`` of every sentence over the words of one block."""
+    held = sentences.select(*ids, F.col(tokens_col).alias("_tokens"))
+    out = StructType([held.schema[c] for c in ids]).add("_sum", ArrayType(DoubleType())).add("_live", LongType())
+    arrow = to_arrow_schema(out)
+    sent = sentences.sparkSession.sparkContext.broadcast(lookup)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, LOOKUP_ROWS):
+                part = b.slice(at, LOOKUP_ROWS)
+                total, live = sent.value.sums(part.column("_tokens"))
+                flat = pa.ListArray.from_arrays(np.arange(len(live) + 1, dtype=np.int32) * total.shape[1], total.ravel())
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ids], flat.cast(arrow.field("_sum").type), pa.array(live, pa.int64())],
+                                                 schema=pa.schema([*[part.schema.field(c) for c in ids], arrow.field("_sum"), arrow.field("_live")]))
+
+    return held.mapInArrow(run, out)
+
+
 def sentence_vectors(sentences: DataFrame, ids: Sequence[str], tokens_col: str, vectors: DataFrame,
-                     unknown: Sequence[float]) -> DataFrame:
+                     unknown: Sequence[float], block_bytes: int = LOOKUP_BYTES) -> DataFrame:
     """Mean word vector per sentence: unseen words take the UNKNOWN vector,
     all-zero vectors are skipped and not counted, no words -> zero vector.
 
-    ``sentences`` must be unique on ``ids``. Words are exploded (an empty
-    sentence keeps one row without a word) and joined to the vector table on
-    ``token`` (shuffle join; AQE splits hot words), then summed per sentence
-    with a partial-aggregating vector sum and divided by the live words."""
+    ``sentences`` must be unique on ``ids``. The vector table is measured first: up to
+    ``block_bytes`` it is sent to the tasks, which look up and add a sentence's words in one
+    go, without a shuffle; a larger one is sent in blocks of words, a pass over the sentences
+    each, and the blocks' sums are added per sentence (blocks x width numbers move, never a
+    vector per word). Beyond ``MAX_BLOCKS`` blocks words and vectors meet in a shuffle join."""
     ids = list(ids)
+    d = len(unknown)
+    size = vectors.agg(F.sum(F.octet_length("token") + 8 * d + 64)).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    if blocks > MAX_BLOCKS:
+        sums = _joined_sums(sentences, ids, tokens_col, vectors, unknown)
+    else:
+        parts = None
+        for b in range(blocks):
+            some = vectors if blocks == 1 else vectors.where(F.crc32(F.col("token").cast("binary")) % blocks == b)
+            got = some.select("token", "vec").toArrow()  # at most about block_bytes
+            lookup = _Lookup(got["token"].to_pylist(), got["vec"].combine_chunks().flatten().to_numpy(), unknown, b, blocks)
+            part = _block_sums(sentences, ids, tokens_col, lookup)
+            parts = part if parts is None else parts.unionByName(part)
+        sums = parts if blocks == 1 else parts.groupBy(*ids).agg(
+            vector_to_array(Summarizer.sum(array_to_vector("_sum"))).alias("_sum"), F.sum("_live").alias("_live"))
+    mean = F.transform("_sum", lambda x: x / F.greatest(F.col("_live"), F.lit(1)))
+    return sums.select(*ids, mean.alias("vec"))
+
+
+def _joined_sums(sentences: DataFrame, ids: list[str], tokens_col: str, vectors: DataFrame, unknown: Sequence[float]) -> DataFrame:
+    """``(ids, _sum, _live)`` by exploding the words (an empty sentence keeps one row
+    without a word) and a shuffle join, whose hot words AQE splits."""
     zero = V.literal([0.0] * len(unknown))
     words = sentences.select(*ids, F.explode_outer(tokens_col).alias("token"))
     vec = F.when(F.col("token").isNull(), zero).otherwise(F.coalesce(F.col("vec"), V.literal(unknown)))
     looked = words.join(vectors, "token", "left").select(*ids, vec.alias("vec"))
-    sums = looked.groupBy(*ids).agg(
+    return looked.groupBy(*ids).agg(
         vector_to_array(Summarizer.sum(array_to_vector(F.col("vec")))).alias("_sum"),
         F.sum((~V.is_zero("vec")).cast("int")).alias("_live"))
-    mean = F.transform("_sum", lambda x: x / F.greatest(F.col("_live"), F.lit(1)))
-    return sums.select(*ids, mean.alias("vec"))
 
 
 def pivot_sides(v: DataFrame, ids: Sequence[str], sides: dict, side_col: str = "side",

@@ -61,6 +61,21 @@ def sentences(spark: SparkSession, d: str) -> DataFrame:
                        .otherwise(T.split_ws("text")).alias("tokens"))
 
 
+def token_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Tokenised QA pairs ``(row_id, q, a)`` of the n-gram features."""
+    return X.qa_pairs(spark, d).select(X.line_key(F.col("conv_id"), F.col("turn")).alias("row_id"),
+                                       T.split_ws(T.tokenize("q")).alias("q"), T.answer_tokens(T.tokenize("a")).alias("a"))
+
+
+def pair_vocab(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """The n-gram vocabulary ``(side, token, idx)`` of the QA pairs, kept as an artifact."""
+    def build(s, dd):
+        grams = G.with_ngrams(token_pairs(s, dd), "q", FT.NGRAM_KINDS[kind])
+        return VO.build_vocab(VO.side_tokens(grams, {"q": "q", "a": "a"}))
+
+    return X.artifact(spark, d, f"pair-vocab-{kind}", build)
+
+
 def featurize(spark: SparkSession, d: str, kind: str, vectors: DataFrame | None = None,
               unknown: Sequence[float] | None = None) -> DataFrame:
     """Feature dispatcher over the QA pairs: n-gram kinds give sparse long
@@ -68,11 +83,7 @@ def featurize(spark: SparkSession, d: str, kind: str, vectors: DataFrame | None
     ``(conv_id, turn, qv, av)``."""
     pairs = X.qa_pairs(spark, d)
     if kind in FT.NGRAM_KINDS:
-        rows = pairs.select(X.line_key(F.col("conv_id"), F.col("turn")).alias("row_id"),
-                            T.split_ws(T.tokenize("q")).alias("q"), T.answer_tokens(T.tokenize("a")).alias("a"))
-        grams = G.with_ngrams(rows, "q", FT.NGRAM_KINDS[kind])
-        vocab = VO.build_vocab(VO.side_tokens(grams, {"q": "q", "a": "a"}))
-        return FT.featurize(rows, kind, {"q": "q", "a": "a"}, vocab=vocab)
+        return FT.featurize(token_pairs(spark, d), kind, {"q": "q", "a": "a"}, vocab=pair_vocab(spark, d, kind))
     vectors = vectors if vectors is not None else X.word_vectors(spark, d)
     unknown = unknown if unknown is not None else unknown_of(spark, d, vectors)
     s = pairs.select(F.struct("conv_id", "turn").alias("row_id"), T.split_ws("q").alias("q"), T.answer_tokens("a").alias("a"))

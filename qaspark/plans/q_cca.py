@@ -6,8 +6,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from qaspark.operators import cca as CCA
+from qaspark.operators import features as FT
+from qaspark.operators import sparse_cca as SC
+from qaspark.operators import vocab as VO
 from qaspark.plans import duck as D
+from qaspark.plans import pipelines as P
 from qaspark.plans.catalog import query
+from qaspark.plans.q_io import duck_pair_counts
 from qaspark.plans.q_vectors import _DUCK_SENT, pair_vectors, unknown_for
 from qaspark.sources import fixtures as X
 from qaspark.functions import text as T
@@ -120,11 +125,102 @@ def cca_scores(spark, d):
 @query("sparse_cca")
 def sparse_cca(spark, d, k: int = 10):
     """CCA over unigram count features (randomized truncated SVD, no Gram matrix)."""
-    from qaspark.operators import sparse_cca as SC
-    from qaspark.plans import pipelines as P
     return SC.fit_sparse(P.featurize(spark, d, "unigram"), k=k)
 
 
+def paraphrase_counts(spark, d, kind="unigram"):
+    """Sparse counts of both sides of the paraphrases over the question vocabulary
+    of the pairs, ``(row_id, side, idx, cnt)``."""
+    vocab = P.pair_vocab(spark, d, kind).where(F.col("side") == "q")
+    both = vocab.unionByName(vocab.withColumn("side", F.lit("a")))
+    rows = X.paraphrase_pairs(spark, d).select(
+        X.line_key(F.col("conv_id"), F.col("turn")).alias("row_id"),
+        T.split_ws(T.tokenize("q1")).alias("q"), T.split_ws(T.tokenize("q2")).alias("a"))
+    n = FT.NGRAM_KINDS[kind]
+    if n > 1:
+        rows = rows.withColumns({"q": T.ngrams(F.col("q"), n), "a": T.ngrams(F.col("a"), n)})
+    return VO.ngram_counts(VO.index_tokens(VO.side_tokens(rows, {"q": "q", "a": "a"}), both))
+
+
+@query("sparse_cca_two_stage")
+def sparse_cca_two_stage(spark, d, k: int = 10):
+    """Two-stage CCA over bigram counts: paraphrase model, then questions mapped by it with
+    the answers; ``(side, idx, k, w)`` over question and answer indices."""
+    para, _ = SC.sparse_factors(paraphrase_counts(spark, d, "bigram"), k)
+    model = SC.two_stage_model(P.featurize(spark, d, "bigram"), SC.question_map(para), k)
+    return model.select("side", "idx", F.posexplode("w").alias("k", "w"))
+
+
+def given_factors(spark, d, sides, width=4):
+    """A model table from the embedding table: index i of a side takes the first
+    numbers of vector i (the last ones on side a) modulo the number of vectors."""
+    e = X._vectors(spark, d)
+    n = e.select(F.count(F.lit(1))).scalar()
+    vocab = P.pair_vocab(spark, d, "unigram")
+    out = None
+    for side, of, at in sides:
+        rows = vocab.where(F.col("side") == of).select("idx", (F.col("idx") % n).alias("vec_id")).join(e, "vec_id")
+        rows = rows.select(F.lit(side).alias("side"), "idx", F.slice("vec", at, width).alias("w"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_DUCK_GIVEN = [("nv", "SELECT count(*) AS n FROM fx_emb")]
+
+
+@query("sparse_two_stage_product", D.with_fx("""
+SELECT z.j, a.idx, round(any_value(n.n) * sum(z.z * a.cnt) / nullif(any_value(dz.d) * any_value(da.d), 0), 6) + 0.0 AS v
+FROM z JOIN unigram a ON a.row_id = z.row_id AND a.side = 'a' JOIN dz ON dz.j = z.j JOIN da ON da.idx = a.idx, n
+GROUP BY z.j, a.idx""", "fx_pairs", "fx_emb", extra=duck_pair_counts(1, "unigram") + _DUCK_GIVEN + [
+    ("pf", "SELECT vec_id, unnest(vec[1:8]) AS x, generate_subscripts(vec[1:8], 1) - 1 AS j FROM fx_emb"),
+    ("z", """SELECT u.row_id, pf.j, sum(u.cnt * pf.x) AS z FROM unigram u, nv, pf
+             WHERE u.side = 'q' AND pf.vec_id = u.idx % nv.n GROUP BY u.row_id, pf.j"""),
+    ("dz", "SELECT j, sum(z * z) AS d FROM z GROUP BY j"),
+    ("da", "SELECT idx, sum(cnt * cnt) AS d FROM unigram WHERE side = 'a' GROUP BY idx"),
+    ("n", "SELECT count(DISTINCT row_id) AS n FROM unigram")]))
+def sparse_two_stage_product(spark, d):
+    """The second stage over given question factors, multiplied out: free of signs and
+    rotations. ``n^6 * sum_k q_jk s_k a_ik``, where the pair has rows in common."""
+    features = P.featurize(spark, d, "unigram")
+    mapped = SC.question_map(given_factors(spark, d, [("q", "q", 1), ("a", "q", 5)]))
+    answers, q, s = SC.two_stage_factors(features, mapped)
+    n = features.select("row_id").distinct().count()
+    scaled = (q * s) * float(n) ** 6
+    out = SC._apply(answers, scaled.T).select("idx", F.posexplode("w").alias("j", "v"))
+    # Pairs of a component and an index that share a row: all components of an answer index.
+    return out.select(F.col("j").cast("long").alias("j"), "idx", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query("sparse_scores", D.with_fx("""
+SELECT r.row_id, round(1 - q.dot / nullif(sqrt(q.qq) * sqrt(q.aa), 0), 6) AS dist
+FROM (SELECT DISTINCT row_id FROM unigram) r LEFT JOIN (
+  SELECT q.row_id, sum(q.v * a.v) AS dot, sum(q.v * q.v) AS qq, sum(a.v * a.v) AS aa
+  FROM pv q JOIN pv a ON a.row_id = q.row_id AND a.j = q.j AND a.side = 'a' WHERE q.side = 'q' GROUP BY q.row_id) q
+ON q.row_id = r.row_id""", "fx_pairs", "fx_emb", extra=duck_pair_counts(1, "unigram") + _DUCK_GIVEN + [
+    ("pf", """SELECT 'q' AS side, vec_id, unnest(vec[1:4]) AS x, generate_subscripts(vec[1:4], 1) AS j FROM fx_emb
+              UNION ALL SELECT 'a', vec_id, unnest(vec[5:8]), generate_subscripts(vec[5:8], 1) FROM fx_emb"""),
+    ("pv", """SELECT u.row_id, u.side, pf.j, sum(u.cnt * pf.x) AS v FROM unigram u, nv, pf
+              WHERE pf.side = u.side AND pf.vec_id = u.idx % nv.n GROUP BY u.row_id, u.side, pf.j""")]))
+def sparse_scores(spark, d):
+    """Distances of the pairs under a given model table over sparse counts."""
+    model = given_factors(spark, d, [("q", "q", 1), ("a", "a", 5)])
+    return SC.score(P.featurize(spark, d, "unigram"), model).select("row_id", F.round("dist", 6).alias("dist"))
+
+
+@query("sparse_cca_scores")
+def sparse_cca_scores(spark, d, k: int = 10):
+    """Distances of every pair under the 0-, 1- and 2-stage models over unigram counts."""
+    features = P.featurize(spark, d, "unigram")
+    para, _ = SC.sparse_factors(paraphrase_counts(spark, d), k)
+    one, _ = SC.sparse_factors(features, k)
+    models = (None, one, SC.two_stage_model(features, SC.question_map(para), k))
+    out = None
+    for stage, model in enumerate(models):
+        r = SC.score(features, model).select("row_id", F.lit(stage).alias("stage"), F.round("dist", 6).alias("dist"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 def _product(features, model):
     """``n^6 * sum_k q_ik s_k a_jk``. With all singular vectors this is
     ``n * C_ij / (dq_i da_j)`` for the sums C, dq, da of products and squares."""

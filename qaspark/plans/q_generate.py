@@ -137,12 +137,12 @@ def gen_paraphrases_parity(spark, d):
 
 @query("triples_stratified_sample", D.with_fx("""
 SELECT DISTINCT * FROM (
-  (SELECT * FROM fx_triples WHERE NOT (rel LIKE '%-in.r' OR rel LIKE '%-on.r') ORDER BY tid LIMIT 3000)
+  (SELECT * FROM fx_triples WHERE NOT (rel LIKE '%-in.r' OR rel LIKE '%-on.r') ORDER BY tid LIMIT 30000)
   UNION ALL
-  (SELECT * FROM fx_triples WHERE rel LIKE '%-in.r' OR rel LIKE '%-on.r' ORDER BY tid LIMIT 2000))""",
+  (SELECT * FROM fx_triples WHERE rel LIKE '%-in.r' OR rel LIKE '%-on.r' ORDER BY tid LIMIT 60000))""",
                                               "fx_triples"))
 def triples_stratified_sample(spark, d):
-    return G.stratified_sample(X.triples(spark, d), 3000, 2000)
+    return G.stratified_sample(X.triples(spark, d))
 
 
 @query("rated_union", f"""

@@ -99,6 +99,41 @@ def holographic_features(spark, d):
         "conv_id", "turn", F.col("dim").cast("long").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
 
 
+_DUCK_NESTED = _DUCK_WORDS[:len(_DUCK_UNK) + 1] + [
+    ("hp", "SELECT *, (pos - 1) // 4 AS c, (pos - 1) % 4 AS p FROM hw"),
+    ("hu", f"MATERIALIZED (SELECT conv_id, turn, c, {_duck_fold('list(vec ORDER BY pos)')} AS u FROM hp WHERE p >= 2 GROUP BY conv_id, turn, c)"),
+    ("hs", f"""MATERIALIZED (SELECT t.conv_id, t.turn, t.c, CASE WHEN u IS NULL THEN t.vec ELSE {_duck_cc('t.vec', 'u')} END AS s
+               FROM hp t LEFT JOIN hu ON hu.conv_id = t.conv_id AND hu.turn = t.turn AND hu.c = t.c WHERE t.p = 1)"""),
+    ("hc", f"""MATERIALIZED (SELECT t.conv_id, t.turn, t.c, CASE WHEN s IS NULL THEN t.vec ELSE {_duck_cc('t.vec', 's')} END AS v
+               FROM hp t LEFT JOIN hs ON hs.conv_id = t.conv_id AND hs.turn = t.turn AND hs.c = t.c WHERE t.p = 0)"""),
+    ("hn", f"MATERIALIZED (SELECT conv_id, turn, {_duck_fold('list(v ORDER BY c)')} AS h FROM hc GROUP BY conv_id, turn)"),
+]
+
+
+@query("holographic_nested", D.with_fx("""
+SELECT p.conv_id, p.turn, dims.i - 1 AS dim, round(coalesce(hn.h[dims.i], 0.0), 6) + 0.0 AS value
+FROM fx_pairs p CROSS JOIN dims LEFT JOIN hn ON hn.conv_id = p.conv_id AND hn.turn = p.turn""",
+                                       "fx_word_vectors", "fx_pairs", extra=_DUCK_NESTED))
+def holographic_nested(spark, d):
+    """Fold over nested lists: the words of every question in fours, each
+    ``[w0, [w1, [w2, w3]]]`` as far as it has words."""
+    vectors = X.word_vectors(spark, d)
+    unknown = unknown_for(spark, d, vectors)
+    ids = ["conv_id", "turn"]
+    q = X.qa_pairs(spark, d).select(*ids, T.split_ws(F.lower("q")).alias("tokens"))
+    words = q.select(*ids, F.posexplode("tokens").alias("pos", "token"))
+    four, p = F.floor(F.col("pos") / 4).cast("string"), F.col("pos") % 4
+    kind = F.when(p == 0, "c").when(p == 1, "s").otherwise("u")
+    leaves = words.select(*ids, F.concat(F.lit("w"), "pos").alias("node"), F.concat(kind, four).alias("parent"), "pos", "token")
+    # A list begins with its first word and stands behind the word before it.
+    lists = words.where(p <= 2).select(*ids, F.concat(kind, four).alias("node"), F.when(p == 1, F.concat(F.lit("c"), four)).when(
+        p == 2, F.concat(F.lit("s"), four)).alias("parent"), "pos", F.lit(None).cast("string").alias("token"))
+    nodes = leaves.unionByName(lists).withColumnRenamed("pos", "ord")
+    h = H.fold_tree(q, nodes, ids, vectors, unknown)
+    return h.select(*ids, F.posexplode("vec").alias("dim", "value")).select(
+        *ids, F.col("dim").cast("long").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
+
+
 _DUCK_ANSWERS = _DUCK_UNK + _DUCK_TEST_LINES + [
     ("ans", f"""SELECT row_id, part, list_filter(regexp_split_to_array(lower(txt), '\\s+'), lambda x: x <> '') AS toks FROM (
                   SELECT row_id, unnest(['e1', 'r', 'e2']) AS part,

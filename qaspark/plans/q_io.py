@@ -202,11 +202,9 @@ def _duck_train_index(grams: int) -> list[tuple[str, str]]:
     base = [(n, b) for n, b in _duck_vocab(1) if n not in ("tok", "freq", "vocab")]
     return base + [
         ("side_toks", f"SELECT row_id, 'q' AS side, {q} AS toks FROM rt UNION ALL SELECT row_id, 'a', ans FROM rt"),
-        ("tok", "SELECT row_id, side, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM side_toks"),
+        ("tok", "MATERIALIZED (SELECT row_id, side, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM side_toks)"),
         ("freq", "SELECT side, token FROM tok WHERE token <> 'UNKNOWN' GROUP BY side, token HAVING count(*) > 3"),
         ("vocab", "SELECT side, token, row_number() OVER (PARTITION BY side ORDER BY token) AS idx FROM freq"),
-        ("texts", """SELECT t.row_id, t.side, string_agg(CAST(coalesce(v.idx, 0) AS VARCHAR), ' ' ORDER BY t.pos) AS text
-                     FROM tok t LEFT JOIN vocab v ON v.side = t.side AND v.token = t.token GROUP BY ALL"""),
     ]
 
 
@@ -214,17 +212,20 @@ def _index_query(grams: int):
     name = {1: "read_train_index", 2: "read_train_index_bigram", 3: "read_train_index_trigram"}[grams]
 
     @query(name, D.with_fx("""
-SELECT r.row_id, coalesce(q.text, '') AS q, coalesce(a.text, '') AS a FROM rt r
-LEFT JOIN texts q ON q.row_id = r.row_id AND q.side = 'q'
-LEFT JOIN texts a ON a.row_id = r.row_id AND a.side = 'a'""", "fx_triples", extra=_duck_train_index(grams)))
+SELECT t.row_id, t.side, t.pos, coalesce(v.idx, 0) AS idx
+FROM tok t LEFT JOIN vocab v ON v.side = t.side AND v.token = t.token""", "fx_triples", extra=_duck_train_index(grams)))
     def run(spark, d):
-        """Training pairs as vocabulary indices, written as text and read back."""
+        """Training pairs as vocabulary indices, written as text, read back and taken
+        apart again: an index for each place of each side."""
         rows = _train_rows(spark, d, grams)
         got = FT.as_indices(rows, {"q": "q", "a": "a"}, train_vocab(spark, d, grams))
         path = scratch_path(spark, name)
         K.write_table(got.select("row_id", FT.sentence_text("q", "index").alias("q"), FT.sentence_text("a", "index").alias("a")),
                       path, mode="ignore")
-        return S.read_table(spark, path)
+        back = S.read_table(spark, path)
+        sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("text")) for side in ("q", "a")]))
+        long = back.select("row_id", sides.alias("s")).select("row_id", "s.side", F.posexplode(T.split_ws("s.text")).alias("pos", "idx"))
+        return long.select("row_id", "side", (F.col("pos") + 1).cast("long").alias("pos"), F.col("idx").cast("long").alias("idx"))
     return run
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from qaspark.operators import cca as CCA
@@ -78,3 +79,66 @@ def dense_reference(features_rows: list[tuple[int, str, int, float]], wq_n: int,
     wq = np.where(dq > 0, 1 / np.sqrt(np.where(dq > 0, dq, 1)), 0) / n
     wa = np.where(da > 0, 1 / np.sqrt(np.where(da > 0, da, 1)), 0) / n
     return (wq[:, None] * (qm.T @ am / n)) * wa[None, :]
+
+
+def _sparse_rows(rng, n, sides):
+    return [(i, side, int(idx), float(rng.integers(1, 4))) for i in range(n) for side, w in sides
+            for idx in rng.choice(w, size=3, replace=False)]
+
+
+def _dense(rows, side, n, w):
+    m = np.zeros((n, w))
+    for i, s, idx, c in rows:
+        if s == side:
+            m[i, idx] += c
+    return m
+
+
+def test_sparse_two_stage_equals_dense(spark):
+    from qaspark.operators import sparse_cca as SC
+    rng = np.random.default_rng(7)
+    schema = "row_id long, side string, idx long, cnt double"
+    rows, prows = _sparse_rows(rng, 50, (("q", 9), ("a", 7))), _sparse_rows(rng, 40, (("q", 9), ("a", 8)))
+    features, para_rows = spark.createDataFrame(rows, schema), spark.createDataFrame(prows, schema)
+    para, _ = SC.sparse_factors(para_rows, k=3, oversample=6)
+    p = np.zeros((9, 6))  # index 8 occurs on one side of the paraphrases only
+    for r in para.collect():
+        p[r["idx"], (0 if r["side"] == "q" else 3):(3 if r["side"] == "q" else 6)] = r["w"]
+    q, a = _dense(rows, "q", 50, 9), _dense(rows, "a", 50, 7)
+    dense = CCA.fit_from_grams(p.T @ (q.T @ a), np.einsum("ij,ik,kj->j", p, q.T @ q, p), (a * a).sum(0), 50)
+    mapped = SC.question_map(para)
+    answers, qm, s = SC.two_stage_factors(features, mapped)
+    live = dense.s > 1e-12 * dense.s[0]
+    assert s == pytest.approx(dense.s[live], rel=1e-6)
+    am = np.zeros((7, len(s)))
+    for r in answers.collect():
+        am[r["idx"]] = r["w"]
+    assert (qm * s) @ am.T == pytest.approx((dense.q[:, live] * dense.s[live]) @ dense.a[:, live].T, rel=1e-5, abs=1e-18)
+    # Scores of the model table and of the dense matrices.
+    got = {r["row_id"]: r["dist"] for r in SC.score(features, SC.two_stage_model(features, mapped, 2)).collect()}
+    u, v = q @ p @ dense.q[:, :2], a @ dense.a[:, :2]
+    want = 1 - (u * v).sum(1) / (np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1))
+    assert [got[i] for i in range(50)] == pytest.approx(want.tolist(), abs=1e-7)
+
+
+def test_sparse_scores_given_a_model_table(spark):
+    import duckdb
+
+    from qaspark.operators import sparse_cca as SC
+    rng = np.random.default_rng(9)
+    rows = _sparse_rows(rng, 30, (("q", 12), ("a", 9))) + [(99, "q", 3, 1.0), (98, "a", 77, 2.0)]
+    f = pd.DataFrame(rows, columns=["row_id", "side", "idx", "cnt"])
+    m = pd.DataFrame([(s, i, rng.normal(size=4).tolist()) for s, w in (("q", 12), ("a", 9)) for i in range(w)], columns=["side", "idx", "w"])
+    frame = spark.createDataFrame(rows, "row_id long, side string, idx long, cnt double")
+    model = spark.createDataFrame(m.to_records(index=False).tolist(), "side string, idx long, w array<double>")
+    got = {r["row_id"]: r["dist"] for r in SC.score(frame, model).collect()}
+    want = duckdb.sql("""
+        WITH e AS (SELECT side, idx, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM m),
+        v AS (SELECT f.row_id, f.side, j, sum(cnt * x) AS v FROM f JOIN e ON e.side = f.side AND e.idx = f.idx GROUP BY ALL)
+        SELECT q.row_id, 1 - sum(q.v * a.v) / sqrt(sum(q.v * q.v) * sum(a.v * a.v)) AS d
+        FROM v q JOIN v a ON a.row_id = q.row_id AND a.j = q.j AND a.side = 'a' WHERE q.side = 'q' GROUP BY q.row_id""").fetchall()
+    assert len(want) == 30 and all(abs(got[i] - d) < 1e-9 for i, d in want)
+    assert got[99] is None and got[98] is None
+    plain = {r["row_id"]: r["dist"] for r in SC.score(frame).collect()}
+    a, b = _dense(rows[:-2], "q", 30, 12), _dense(rows[:-2], "a", 30, 12)
+    assert [plain[i] for i in range(30)] == pytest.approx((1 - (a * b).sum(1) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1)).tolist())

@@ -73,3 +73,55 @@ def test_answers_of_several_words(spark):
     for i, parts in ((1, (["w0", "w1"], ["w2"], ["w3", "w4", "new"])), (2, (["w5"], [], ["w1"]))):
         e1, r, e2 = (H.fold_all([[of[w] for w in p]], 4)[0] for p in parts)
         assert out[i] == pytest.approx(H.cc_fft(r, H.cc_fft(e1, e2)).tolist(), abs=1e-9)
+
+
+def test_lookup_in_blocks_and_by_join_agree(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)] + ["é", "z"]
+    vecs = [(w, [0.0, 0.0, 0.0] if w == "z" else rng.normal(size=3).tolist()) for w in words]
+    table = spark.createDataFrame(vecs, "token string, vec array<double>")
+    rows = [(i, [str(w) for w in rng.choice([*words, "oov", ""], size=rng.integers(0, 9))]) for i in range(200)] + [(900, []), (901, None), (902, ["z"])]
+    s = spark.createDataFrame(rows, "id int, tokens array<string>").repartition(3)
+    known, unknown = dict(vecs), [0.5, 0.0, -1.0]
+    want = {}
+    for i, ws in rows:
+        v = [np.array(known.get(w, unknown)) for w in ws or []]
+        v = [x for x in v if x.any()]
+        want[i] = (sum(v) / len(v)).tolist() if v else [0.0] * 3
+    for size in (1 << 20, 1500, 100):  # one block, several, the join
+        got = {r["id"]: r["vec"] for r in VEC.sentence_vectors(s, ["id"], "tokens", table, unknown, block_bytes=size).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[i] == pytest.approx(want[i], abs=1e-12) for i in want), size
+
+
+def test_nested_fold(spark):
+    rng = np.random.default_rng(4)
+    vecs = {w: rng.normal(size=4).tolist() for w in "abcde"} | {"z": [0.0] * 4}
+    table = spark.createDataFrame(list(vecs.items()), "token string, vec array<double>")
+    unknown = rng.normal(size=4).tolist()
+    trees = {1: ["a", ["b", ["c", ["d", "e"]], "a"], "z"], 2: [["a", "b"], [], ["oov"]], 3: [], 4: ["a"], 5: [[["b"]]]}
+    rows = []
+
+    def put(i, items, parent):
+        for k, x in enumerate(items):
+            node = f"{parent or ''}.{k}"
+            rows.append((i, node, parent, k, None if isinstance(x, list) else x))
+            if isinstance(x, list):
+                put(i, x, node)
+
+    def fold(items):
+        out = np.zeros(4)
+        for x in items:
+            out = H.cc_fft(out, fold(x) if isinstance(x, list) else np.array(vecs.get(x, unknown)))
+        return out
+
+    for i, t in trees.items():
+        put(i, t, None)
+    rows.append((4, "lost", "nowhere", 0, "b"))  # below no list of the sentence
+    nodes = spark.createDataFrame(rows, "id int, node string, parent string, ord int, token string")
+    sents = spark.createDataFrame([(i,) for i in trees], "id int")
+    got = {r["id"]: r["vec"] for r in H.fold_tree(sents, nodes, ["id"], table, unknown).collect()}
+    for i, t in trees.items():
+        assert got[i] == pytest.approx(fold(t).tolist(), abs=1e-9), i
+    empty = H.fold_tree(sents, nodes.where("id > 90"), ["id"], table, unknown).collect()
+    assert all(r["vec"] == [0.0] * 4 for r in empty)
