@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from qaspark.operators import generate as G
+from qaspark.operators import kmeans as KM
 from qaspark.operators import neighbors as NB
 from qaspark.plans import duck as D
 from qaspark.plans.catalog import query
@@ -88,11 +87,19 @@ def assign_centroid(spark, d):
 
 
 @query("kmeans_groups")
-def kmeans_groups(spark, d, k: int = 10, seed: int = 1):
-    """K-means over the other model's vectors; ``(token, label)``."""
-    o = X.model_other(spark, d).select("token", array_to_vector("vec").alias("features"))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(o)
-    return model.transform(o).select("token", "label")
+def kmeans_groups(spark, d):
+    """K-means over the other model's vectors, 30,000 groups or a tenth of the words;
+    ``(token, label)``."""
+    return KM.fit(X.model_other(spark, d)).rows.select("token", "label")
+
+
+@query("kmeans_nearest", D.with_fx("SELECT token, true AS nearest FROM fx_model_other", "fx_model_other"))
+def kmeans_nearest(spark, d):
+    """Whether each word's group is the one whose centroid is nearest, found by
+    comparing it with all centroids."""
+    got = KM.fit(X.model_other(spark, d))
+    best = NB.assign_nearest(got.rows.select("token", "vec"), got.centroids, KM.DECIMALS)
+    return got.rows.select("token", F.col("label").alias("own")).join(best, "token").select("token", (F.col("own") == F.col("label")).alias("nearest"))
 
 
 @query("token_set", D.with_fx(f"""
