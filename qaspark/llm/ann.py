@@ -16,7 +16,8 @@ the queries that visit it and hands on the best ``k`` per query.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components, and vectors not as long as most of the sample, take no part;
-rows without an id take no part; repeated rows are candidates each; ties go to the
+rows without an id take no part; repeated rows are candidates each, and an id with several
+vectors asks with the smallest of them (by entries); ties go to the
 smaller id; fewer than ``k`` candidates give fewer rows; an empty table gives none.
 """
 
@@ -241,8 +242,10 @@ def search(index: Index, queries: Column, k: int = 5) -> DataFrame:
                         for leaf in tree.leaves(u, visits)]
                 yield pd.DataFrame(rows, columns=["id", "v", "leaf"])
 
-    asked = materialize(index.rows.where(queries).select("id", "v").dropDuplicates(["id"]).mapInPandas(
-        walk, "id long, v array<double>, leaf int"), "visits")
+    # An explicit number of partitions: few rows, much work in each.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    once = index.rows.where(queries).groupBy("id").agg(F.min("v").alias("v")).repartition(parts, "id")
+    asked = materialize(once.mapInPandas(walk, "id long, v array<double>, leaf int"), "visits")
     asked, held = in_blocks(asked, index.rows, index.blocks)
 
     def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:

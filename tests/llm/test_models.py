@@ -170,6 +170,12 @@ def test_neighbours_edges(spark):
     assert set(got.query_id) == {0, 50, 100, 150, 200, 250, 1000, 1050}
     assert not set(got.vec_id) & {2000, 2001, 2002, 2003, 2004, 2005}
     assert got[got.query_id == 1000].sort_values("rank").vec_id.tolist() == [1001, 1002, 1003, 1004, 1005]
+    twice = table.unionByName(spark.createDataFrame([(100, [9.0] + [-9.0] * 7, 0, "x")], table.schema))
+    small = min([float(x) for x in np.float32(rows[100][1])], [9.0] + [-9.0] * 7)
+    first = {r.vec_id: r.score for r in ann.search(ann.build(twice, leaf_rows=16), F.col("id") == 100).collect()}
+    x = np.array([np.float32(v) for i, v in rows[:300] if i != 100], np.float64)
+    best = (x @ np.array(small) / np.sqrt((x * x).sum(axis=1)) / np.linalg.norm(small)).max()
+    assert abs(max(first.values()) - max(best, max(s for v, s in first.items() if v >= 1000) if any(v >= 1000 for v in first) else best)) < 1e-9
     few = table.where("vec_id in (0, 1, 2)")
     assert ann.search(ann.build(few), F.col("id") == 0).count() == 2
     assert ann.build(table.where(F.lit(False))) is None
