@@ -59,7 +59,7 @@ def gram_sums(df: DataFrame, q_col: str, a_col: str, full_qq: bool = False) -> d
     model parameter of at most ``MAX_WIDTH``, read from one row beforehand."""
     one = df.select(F.greatest(F.size(q_col), F.size(a_col)).alias("d")).first()
     if one is not None and one["d"] > MAX_WIDTH:
-        raise ValueError("feature width exceeds MAX_WIDTH")
+        raise ValueError("feature width exceeds MAX_WIDTH; wide_cca.fit takes any width")
     got = gram_table(df, q_col, a_col, full_qq).collect()  # bounded: <= 2 d + 2 rows of <= d numbers
     out: dict[str, np.ndarray] = {}
     for kind in ("qa", "qq", "aa", "n"):

@@ -9,6 +9,7 @@ from qaspark.operators import cca as CCA
 from qaspark.operators import features as FT
 from qaspark.operators import sparse_cca as SC
 from qaspark.operators import vocab as VO
+from qaspark.operators import wide_cca as WC
 from qaspark.plans import duck as D
 from qaspark.plans import pipelines as P
 from qaspark.plans.catalog import query
@@ -256,3 +257,22 @@ _DUCK_PARA = [(n, f"""SELECT conv_id, turn, '1' AS side, {D.split_ws(D.no_symbol
                                            extra=_DUCK_PARA + _DIAGONAL + [("n", "SELECT count(*) AS n FROM fx_paraphrases")]))
 def cca_paraphrase_product(spark, d):
     return _product(paraphrase_features(spark, d), paraphrase_map(spark, d))
+
+
+@query("cca_wide_product", D.with_fx(_PRODUCT.format(q="'q'", a="'a'"), "fx_word_vectors", "fx_pairs",
+                                     extra=_DUCK_GRAM + _DIAGONAL + [("n", "SELECT count(*) AS n FROM fx_pairs")]))
+def cca_wide_product(spark, d, block: int = 16):
+    """The one-stage model of tiled sums and subspace iteration, multiplied out like
+    ``cca_one_stage_product``; its factors are joined as tables, by block."""
+    f = qa_features(spark, d)
+    n = float(f.count())
+    model, s, _ = WC.fit(f, "qv", "av", block=block)
+    scaled = F.transform("w", lambda x, j: x * F.element_at(F.array(*[F.lit(float(v)) for v in s]), j + 1) * n ** 6)
+    q = model.where(F.col("side") == "q").select(F.col("idx").cast("int").alias("i"), scaled.alias("w"))
+    a = model.where(F.col("side") == "a").select((F.col("idx") / block).cast("int").alias("jb"), "idx", "w")
+    cols = a.groupBy("jb").agg(F.collect_list(F.struct("idx", "w")).alias("cols"))  # block rows each
+    blocks = -(-WC.widths(f, "qv", "av")[1] // block)
+    rows = q.withColumn("jb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(cols, "jb")
+    dot = F.aggregate(F.zip_with("w", "c.w", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    return rows.select("i", "w", F.explode("cols").alias("c")).select(
+        "i", F.col("c.idx").cast("int").alias("j"), (F.round(dot, 6) + 0.0).alias("v"))
