@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from qaspark.operators import generate as G
 from qaspark.operators import kmeans as KM
 from qaspark.operators import neighbors as NB
+from qaspark.operators import pivots as PV
 from qaspark.plans import duck as D
 from qaspark.plans.catalog import query
 from qaspark.plans.q_generate import TAB, _duck_answer_tokens, _duck_train_lines
+from qaspark.session import materialize
 from qaspark.sources import fixtures as X
 
 
@@ -23,10 +25,13 @@ _DUCK_O = [("o", """SELECT o.token, c.label, o.vec FROM fx_model_other o JOIN fx
                        FROM o a JOIN o b ON a.label = b.label AND a.token <> b.token""")]
 
 
-@query("cluster_topk", D.with_fx("""
+_DUCK_TOPK = D.with_fx("""
 SELECT qtoken, rank, token, dist FROM (
   SELECT *, row_number() OVER (PARTITION BY qtoken ORDER BY dist, token) AS rank FROM near)
-WHERE rank <= 5""", "fx_model_other", "fx_clustered", extra=_DUCK_O))
+WHERE rank <= 5""", "fx_model_other", "fx_clustered", extra=_DUCK_O)
+
+
+@query("cluster_topk", _DUCK_TOPK)
 def cluster_topk(spark, d):
     o = _other_labelled(spark, d)
     q = o.select(F.col("token").alias("qtoken"), "label", F.col("vec").alias("qvec"))
@@ -34,6 +39,19 @@ def cluster_topk(spark, d):
     return r.select("qtoken", F.col("rank").cast("long").alias("rank"), "token", F.round("dist", 6).alias("dist"))
 
 
+def pruned_search(spark, d, cell_rows: int = 128):
+    o = materialize(_other_labelled(spark, d), "other-labelled")
+    return PV.topk_pruned(o.select(F.col("token").alias("qtoken"), "label", F.col("vec").alias("qvec")),
+                          o.select("token", "label", "vec"), NB.TOP, cell_rows=cell_rows)
+
+
+@query("cluster_topk_pruned", _DUCK_TOPK)
+def cluster_topk_pruned(spark, d):
+    """``cluster_topk`` by pivots and radius bounds: cells of some 128 words that the bounds exclude are not read."""
+    return pruned_search(spark, d).rows.select("qtoken", F.col("rank").cast("long").alias("rank"), "token",
+                                               F.round("dist", 6).alias("dist"))
+
+
 def expansion(spark, d):
     toks = X.clustered(spark, d).select("token")
     lab = X.clustered(spark, d).select("token", "label")
