@@ -9,6 +9,7 @@ driver, where the whitened cross-covariance is decomposed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,22 +27,26 @@ def _stack(s: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in s]) if len(s) else np.zeros((0, 0))
 
 
-def gram_table(df: DataFrame, q_col: str, a_col: str, full_qq: bool = False) -> DataFrame:
+def gram_table(df: DataFrame, q_col: str, a_col: str, full_qq: bool = False, masks: Sequence[str] = ()) -> DataFrame:
     """Sums over all rows as ``(kind, i, row)``: ``qa`` rows of sum q a^T,
     ``qq`` rows of sum q q^T (or one row, its diagonal), ``aa`` one row (the
-    diagonal of sum a a^T), ``n`` the row count."""
+    diagonal of sum a a^T), ``n`` the row count. With ``masks``, names of boolean columns,
+    the same for the rows of each from the one scan, as kinds ``mask/qa`` and so on."""
 
     def partial(batches):
         acc = {}
         for pdf in batches:
-            q = _stack(pdf[q_col])
-            a = _stack(pdf[a_col])
-            if len(q) == 0:
-                continue
-            parts = {"qa": q.T @ a, "qq": q.T @ q if full_qq else (q * q).sum(0)[None, :],
-                     "aa": (a * a).sum(0)[None, :], "n": np.array([[float(len(q))]])}
-            for k, v in parts.items():
-                acc[k] = acc[k] + v if k in acc else v
+            for mask in masks or ("",):
+                rows = pdf[pdf[mask].to_numpy(dtype=bool)] if mask else pdf
+                if len(rows) == 0:
+                    continue
+                q = _stack(rows[q_col])
+                a = _stack(rows[a_col])
+                parts = {"qa": q.T @ a, "qq": q.T @ q if full_qq else (q * q).sum(0)[None, :],
+                         "aa": (a * a).sum(0)[None, :], "n": np.array([[float(len(q))]])}
+                for kind, v in parts.items():
+                    k = f"{mask}/{kind}" if mask else kind
+                    acc[k] = acc[k] + v if k in acc else v
         rows = [(k, i, m[i].tolist()) for k, m in acc.items() for i in range(m.shape[0])]
         if rows:
             yield pd.DataFrame(rows, columns=["kind", "i", "row"])
@@ -49,26 +54,39 @@ def gram_table(df: DataFrame, q_col: str, a_col: str, full_qq: bool = False) ->
     # One partial per core, however many splits the input has, then a sum in
     # two steps: d rows of d numbers leave each task.
     cores = df.sparkSession.sparkContext.defaultParallelism
-    part = df.select(q_col, a_col).coalesce(2 * cores).mapInPandas(partial, _GRAM_SCHEMA)
+    part = df.select(q_col, a_col, *masks).coalesce(2 * cores).mapInPandas(partial, _GRAM_SCHEMA)
     return (part.groupBy("kind", "i")
             .agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("row")))).alias("row")))
 
 
-def gram_sums(df: DataFrame, q_col: str, a_col: str, full_qq: bool = False) -> dict:
-    """:func:`gram_table` gathered as NumPy matrices on the driver. The width is a
-    model parameter of at most ``MAX_WIDTH``, read from one row beforehand."""
+def _gather(df: DataFrame, q_col: str, a_col: str, full_qq: bool, masks: Sequence[str]) -> list:
     one = df.select(F.greatest(F.size(q_col), F.size(a_col)).alias("d")).first()
     if one is not None and one["d"] > MAX_WIDTH:
         raise ValueError("feature width exceeds MAX_WIDTH; wide_cca.fit takes any width")
-    got = gram_table(df, q_col, a_col, full_qq).collect()  # bounded: <= 2 d + 2 rows of <= d numbers
+    return gram_table(df, q_col, a_col, full_qq, masks).collect()  # bounded: <= 2 d + 2 rows of <= d numbers a mask
+
+
+def _sums(got: list, prefix: str = "") -> dict:
     out: dict[str, np.ndarray] = {}
     for kind in ("qa", "qq", "aa", "n"):
-        rows = sorted((r["i"], r["row"]) for r in got if r["kind"] == kind)
+        rows = sorted((r["i"], r["row"]) for r in got if r["kind"] == prefix + kind)
         out[kind] = np.array([r for _, r in rows], dtype=np.float64) if rows else None
     out["n"] = float(out["n"][0, 0]) if out["n"] is not None else 0.0
     return out
 
 
+def gram_sums(df: DataFrame, q_col: str, a_col: str, full_qq: bool = False) -> dict:
+    """:func:`gram_table` gathered as NumPy matrices on the driver. The width is a
+    model parameter of at most ``MAX_WIDTH``, read from one row beforehand."""
+    return _sums(_gather(df, q_col, a_col, full_qq, ()))
+
+
+def gram_sums_by(df: DataFrame, q_col: str, a_col: str, masks: Sequence[str], full_qq: bool = False) -> dict[str, dict]:
+    """:func:`gram_sums` of the rows of each boolean column in ``masks``, from one scan."""
+    got = _gather(df, q_col, a_col, full_qq, masks)
+    return {m: _sums(got, f"{m}/") for m in masks}
+
+
 @dataclass
 class CCAModel:
     q: np.ndarray          # d_q x k
@@ -123,7 +141,10 @@ def fit_two_stage(df: DataFrame, q_col: str, a_col: str, para: CCAModel, k: int
     """Two-stage CCA: questions first mapped to ``[q P1, q P2]`` by the
     paraphrase model. Derived from one Gram pass without re-scanning:
     ``diag(C_q'q')_j = p_j^T C_qq p_j`` and ``C_q'a = P^T C_qa``."""
-    g = gram_sums(df, q_col, a_col, full_qq=True)
+    return two_stage_from_grams(gram_sums(df, q_col, a_col, full_qq=True), para, k)
+
+
+def two_stage_from_grams(g: dict, para: CCAModel, k: int | None = None) -> CCAModel:
     p = np.hstack([para.q, para.a])
     d_qq = np.einsum("ij,ik,kj->j", p, g["qq"], p)
     return fit_from_grams(p.T @ g["qa"], d_qq, g["aa"][0], g["n"], k)

@@ -138,11 +138,15 @@ def evaluate_config(spark: SparkSession, d: str, emb: str = "vectors", stage: in
     p = prepared or prepare(spark, d, emb, stages=(stage,))
     vectors, unknown = p["vectors"], p["unknown"]
     model = para = None
-    if stage == 1:
-        model = CCA.fit(p["features"], "qv", "av")
-    elif stage == 2:
-        para = p["para"]
-        model = CCA.fit_two_stage(p["features"], "qv", "av", para)
+    if stage >= 1:
+        g = p["grams"] if "grams" in p else CCA.gram_sums(p["features"], "qv", "av", full_qq=stage == 2)
+        if not g["n"]:
+            raise ValueError("no pairs to train on")
+        if stage == 2:
+            para = p["para"]
+            model = CCA.two_stage_from_grams(g, para)
+        else:
+            model = CCA.fit_from_grams(g["qa"], np.diagonal(g["qq"]) if len(g["qq"]) > 1 else g["qq"][0], g["aa"][0], g["n"])
     sc = score_candidates(spark, d, vectors, unknown, model, para, turns=p.get("turns"))
     preds = sc.select("line_no", "q", "answer", "dist")
     labels = sc.select("q", "answer", "label")
@@ -190,16 +194,28 @@ def training_pairs(spark: SparkSession, d: str, dataset: str) -> DataFrame | Non
 def sweep(spark: SparkSession, d: str, embeddings: Sequence[str] = ("main", "other", "expanded"),
           stages: Sequence[int] = (1, 2), datasets: Sequence[str] = ("full", "filtered")) -> DataFrame:
     """The experiment grid: statistics rows for every (data set, embedding,
-    stage); the vectors, turns and paraphrase model of an embedding are reused
-    across data sets and stages."""
+    stage). The vectors, turns and paraphrase model of an embedding are shared, and one scan of its
+    features gives the Gram sums of all data sets, from which every model is solved."""
     out = None
     keys = {ds: training_pairs(spark, d, ds) for ds in datasets}
     for emb in embeddings:
         prepared = prepare(spark, d, emb, stages)
-        for ds, kept in keys.items():
-            own = prepared if kept is None else prepared | {
-                "features": prepared["features"].join(kept, ["conv_id", "turn"], "left_semi")}
+        grams = dataset_grams(prepared["features"], keys) if any(st >= 1 for st in stages) else {}
+        for ds in datasets:
+            own = prepared | ({"grams": grams[ds]} if grams else {})
             for st in stages:
                 r = evaluate_config(spark, d, emb, st, prepared=own).withColumn("dataset", F.lit(ds))
                 out = r if out is None else out.unionByName(r)
     return out
+
+
+def dataset_grams(features: DataFrame, keys: dict[str, DataFrame | None]) -> dict[str, dict]:
+    """Gram sums of the pairs of each data set (None: all), in one pass over the features."""
+    for ds, kept in keys.items():
+        if kept is None:
+            features = features.withColumn(f"in_{ds}", F.lit(True))
+        else:
+            features = (features.join(kept.select("conv_id", "turn", F.lit(True).alias(f"in_{ds}")).distinct(), ["conv_id", "turn"], "left")
+                        .withColumn(f"in_{ds}", F.coalesce(f"in_{ds}", F.lit(False))))
+    sums = CCA.gram_sums_by(features, "qv", "av", [f"in_{ds}" for ds in keys], full_qq=True)
+    return {ds: sums[f"in_{ds}"] for ds in keys}

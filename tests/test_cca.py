@@ -142,3 +142,33 @@ def test_sparse_scores_given_a_model_table(spark):
     plain = {r["row_id"]: r["dist"] for r in SC.score(frame).collect()}
     a, b = _dense(rows[:-2], "q", 30, 12), _dense(rows[:-2], "a", 30, 12)
     assert [plain[i] for i in range(30)] == pytest.approx((1 - (a * b).sum(1) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1)).tolist())
+
+
+def test_sums_of_several_data_sets_from_one_scan(spark):
+    df, q, a = _frame(spark)
+    df = df.withColumn("every", df.id >= 0).withColumn("few", df.id % 7 == 0).withColumn("none", df.id < 0)
+    got = CCA.gram_sums_by(df, "qv", "av", ["every", "few", "none"], full_qq=True)
+    for name, at in (("every", slice(None)), ("few", slice(0, None, 7))):
+        assert got[name]["qa"] == pytest.approx(q[at].T @ a[at]) and got[name]["qq"] == pytest.approx(q[at].T @ q[at])
+        assert got[name]["aa"][0] == pytest.approx((a[at] * a[at]).sum(0)) and got[name]["n"] == len(q[at])
+    assert got["none"]["n"] == 0
+
+
+def test_sweep_models_equal_separate_fits(spark):
+    from qaspark.plans import pipelines as P
+    df, q, a = _frame(spark, 120)
+    features = df.selectExpr("id AS conv_id", "0 AS turn", "qv", "av")
+    kept = features.where("conv_id % 3 = 0").select("conv_id", "turn")
+    grams = P.dataset_grams(features, {"full": None, "filtered": kept})
+    for name, rows in (("full", features), ("filtered", features.join(kept, ["conv_id", "turn"], "left_semi"))):
+        g = grams[name]
+        one = CCA.fit_from_grams(g["qa"], np.diagonal(g["qq"]), g["aa"][0], g["n"])
+        apart = CCA.fit(rows, "qv", "av")
+        assert (one.q * one.s) @ one.a.T == pytest.approx((apart.q * apart.s) @ apart.a.T)
+        para = _para(4)
+        two, alone = CCA.two_stage_from_grams(g, para), CCA.fit_two_stage(rows, "qv", "av", para)
+        assert (two.q * two.s) @ two.a.T == pytest.approx((alone.q * alone.s) @ alone.a.T)
+
+
+def _para(d):
+    return CCA.CCAModel(np.eye(d)[:, :2] + 0.1, np.eye(d)[:, 2:] - 0.2, np.array([]))
