@@ -4,13 +4,16 @@ The exact top-k search never materialises all pairs of a cluster as rows.
 Each cluster's members are hashed into blocks of at most ``block`` rows and
 its queries into blocks of at most ``qblock`` rows; every (query block,
 member block) pair of a cluster is one ``cogroup`` task that computes its
-distance matrix with NumPy and emits only the k best candidates per query.
+distances with NumPy, a bounded tile of queries at a time, and emits only the
+k best candidates per query.
 A cluster holding a third of all rows therefore becomes many evenly sized
 tasks. The per-query merge sees at most k rows per member block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -25,6 +28,8 @@ UNKNOWN = "UNKNOWN"
 TOP = 5
 #: Bytes of vectors in one block, and of centroids sent to every task.
 BLOCK_BYTES, CENTROID_BYTES = 16 << 20, 256 << 20
+#: Bytes of distances that a task computes at a time.
+TILE_BYTES = 16 << 20
 _CAND = "qtoken string, token string, dist double"
 
 
@@ -36,6 +41,54 @@ def _block_rows(width: int) -> int:
     return max(64, BLOCK_BYTES // (8 * width))
 
 
+def _matrix(s: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in s])
+
+
+def _tiles(rows: int, cols: int) -> Iterator[slice]:
+    """Slices of ``rows`` whose distances to ``cols`` others take some ``TILE_BYTES``."""
+    step = max(1, TILE_BYTES // (8 * max(1, cols)))
+    for at in range(0, rows, step):
+        yield slice(at, min(rows, at + step))
+
+
+def _own_places(qtok: pd.Series, mtok: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Where the members of each query's own token begin and end; ``mtok`` is sorted, nulls last."""
+    codes, known = pd.factorize(mtok)
+    asked = pd.Index(known).get_indexer(qtok)
+    codes = np.where(codes < 0, len(known), codes)
+    asked = np.where(qtok.isna().to_numpy(), len(known), np.where(asked < 0, len(known) + 1, asked))
+    return np.searchsorted(codes, asked, "left"), np.searchsorted(codes, asked, "right")
+
+
+def _nearest_members(qtok: pd.Series, qm: np.ndarray, mtok: pd.Series, mm: np.ndarray, k: int, decimals: int) -> pd.DataFrame:
+    """The ``k`` nearest members of each query as ``(qtoken, token, dist)``; members are sorted by token. The
+    distances of a tile of queries are held at a time."""
+    qn, mn = np.linalg.norm(qm, axis=1), np.linalg.norm(mm, axis=1)
+    lo, hi = _own_places(qtok, mtok)
+    take = min(k, len(mm))
+    found = []
+    for tile in _tiles(len(qm), len(mm)):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dist = qm[tile] @ mm.T
+            dist /= np.outer(qn[tile], mn)
+            np.subtract(1.0, dist, out=dist)
+        dist[~np.isfinite(dist)] = np.inf
+        for i in np.flatnonzero(hi[tile] > lo[tile]):
+            dist[i, lo[tile][i]:hi[tile][i]] = np.inf
+        # Whatever rounds to the k-th distance or less lies within one unit of the last place of it.
+        last = np.partition(dist, take - 1, axis=1)[:, take - 1] + 10.0 ** -decimals
+        i, j = np.nonzero((dist <= last[:, None]) & (dist < np.inf))
+        d = np.round(dist[i, j], decimals)
+        order = np.lexsort((j, d, i))  # members are sorted by token: ties by token
+        i, j, d = i[order], j[order], d[order]
+        first = np.searchsorted(i, np.arange(dist.shape[0]))
+        best = np.arange(len(i)) - first[i] < take
+        found.append((i[best] + tile.start, j[best], d[best]))
+    i, j, d = (np.concatenate(x) for x in zip(*found))
+    return pd.DataFrame({"qtoken": qtok.to_numpy()[i], "token": mtok.to_numpy()[j], "dist": d})
+
+
 def topk_in_group(queries: DataFrame, members: DataFrame, k: int = TOP, block: int | None = None,
                   qblock: int | None = None, decimals: int = 6) -> DataFrame:
     """Exact k nearest members (cosine distance) of each query within its group.
@@ -67,22 +120,7 @@ def topk_in_group(queries: DataFrame, members: DataFrame, k: int = TOP, block: i
         if qp.empty or mp.empty:
             return pd.DataFrame(columns=["qtoken", "token", "dist"])
         mp = mp.sort_values("token", kind="stable")
-        qm = np.stack([np.asarray(v, dtype=np.float64) for v in qp["qvec"]])
-        mm = np.stack([np.asarray(v, dtype=np.float64) for v in mp["vec"]])
-        qn = np.linalg.norm(qm, axis=1)
-        mn = np.linalg.norm(mm, axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dist = 1.0 - (qm @ mm.T) / np.outer(qn, mn)
-        dist = np.round(dist, decimals)
-        dist[~np.isfinite(dist)] = np.inf
-        mtok = mp["token"].to_numpy()
-        dist[qp["qtoken"].to_numpy()[:, None] == mtok[None, :]] = np.inf
-        take = min(k, dist.shape[1])
-        order = np.argsort(dist, axis=1, kind="stable")[:, :take]  # members sorted by token: ties by token
-        rows_q = np.repeat(qp["qtoken"].to_numpy(), take)
-        d = np.take_along_axis(dist, order, axis=1).ravel()
-        out = pd.DataFrame({"qtoken": rows_q, "token": mtok[order.ravel()], "dist": d})
-        return out[np.isfinite(out["dist"])]
+        return _nearest_members(qp["qtoken"], _matrix(qp["qvec"]), mp["token"], _matrix(mp["vec"]), k, decimals)
 
     cand = q.groupBy("label", "qb", "mb").cogroup(m.groupBy("label", "qb", "mb")).applyInPandas(block_topk, _CAND)
     w = Window.partitionBy("qtoken").orderBy("dist", "token")  # <= k rows per member block
