@@ -133,9 +133,7 @@ SELECT DISTINCT token FROM (
 def token_set(spark, d):
     tr = G.read_train(X.train_lines(spark, d), mode="raw_token")
     pp = G.read_paraphrases(X.paraphrase_lines(spark, d), mode="raw_token")
-    parts = [tr.select(F.explode("q").alias("token")), tr.select(F.explode("a").alias("token")),
-             pp.select(F.explode("q1").alias("token")), pp.select(F.explode("q2").alias("token"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    # One pass over each set: a branch for each side would read and split all lines again.
+    out = tr.select(F.explode(F.array("q", "a")).alias("toks")).unionByName(
+        pp.select(F.explode(F.array("q1", "q2")).alias("toks")))
+    return out.select(F.explode("toks").alias("token")).distinct()
