@@ -69,3 +69,13 @@ def test_word2vec_holds_no_model_on_the_driver(spark, monkeypatch):
     monkeypatch.setattr(WV, "train", lambda *a, **k: seen.append(k) or train(*a, **k))
     got = {r["token"]: r["vec"] for r in q_models.word2vec_train(spark, "", size=6).collect()}
     assert set(got) == {"a", "b", "c"} and all(len(v) == 6 for v in got.values()) and seen[0]["epochs"] == 1
+
+
+def test_folds_that_overflow_are_null(spark):
+    assert H._fold_lists(np.array([[np.nan, 1.0], [2.0, 3.0]])).to_pylist() == [[None, 1.0], [2.0, 3.0]]
+    vectors = spark.createDataFrame([("big", [1e200, -1e200]), ("one", [1.0, 0.0])], "token string, vec array<double>")
+    s = spark.createDataFrame([(1, ["big", "big", "big", "big"]), (2, ["one"])], "id int, tokens array<string>")
+    nodes = s.selectExpr("id", "posexplode(tokens) AS (ord, token)").selectExpr(
+        "id", "concat('n', ord) AS node", "cast(null AS string) AS parent", "ord", "token")
+    got = {r["id"]: r["vec"] for r in H.fold_tree(s, nodes, ["id"], vectors, [0.0, 0.0]).collect()}
+    assert got[2] == [1.0, 0.0] and all(x is None or x == x for x in got[1])
