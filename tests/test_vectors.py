@@ -125,3 +125,31 @@ def test_nested_fold(spark):
         assert got[i] == pytest.approx(fold(t).tolist(), abs=1e-9), i
     empty = H.fold_tree(sents, nodes.where("id > 90"), ["id"], table, unknown).collect()
     assert all(r["vec"] == [0.0] * 4 for r in empty)
+
+
+EDGE_LINES = ["'abc' d'ef", "a.b 'c'", "' ' x '", "\t'y\t'", "don't @ 5-6 a@b", "x '\u2028", "u \u2028", "v\u0085 w ", "  plain, words. ",
+              "ΌΣΟΣ ΑΣ", "İx ÇA", "", None, "a\r\nb 'c\rd\n\n'e'", "\u00a0z\u00a0 z", "q''r", "---", "a\x0bb\x0cc", "it's 'it's'", "m '\u2029n'"]
+
+
+def test_corpus_counts_from_words_equal_those_from_lines(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*EDGE_LINES, "\n".join(t for t in EDGE_LINES if t)])], "doc_id long, text string")
+    words = VEC.corpus_words(docs)
+    got = {r["token"]: r["count"] for r in VEC.corpus_counts_of_words(words, docs).collect()}
+    assert got == {r["token"]: r["count"] for r in VEC.corpus_counts(VEC.corpus_lines(docs)).collect()}
+    lowered = {r[0]: r[1] for r in words.groupBy(F.lower("word")).agg(F.sum("count")).collect()}
+    plain = docs.select(F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")).alias("t")).groupBy("t").count()
+    assert lowered == {r["t"]: r["count"] for r in plain.collect()}
+
+
+def test_symbol_cleaner_equals_its_rules_one_by_one(spark):
+    from qaspark.functions import text as T
+    rules = [(r"(\')", " $1"), (r"(\.|\?|\$|\#|\&|\,|\!|\;|\`|\~|\"|\\|\:|\+|\-|\*|\/)", " "), (r"\@", " at "), (r" +", " "),
+             (r"^[\' ]+", ""), (r"[\' ]+$", "")]
+    rng = np.random.default_rng(1)
+    alphabet = list(" '.?$#&,!;`~\"\\:+-*/@ab\t\n\r\u0085\u2028^[]")
+    texts = [t for t in EDGE_LINES if t] + ["".join(rng.choice(alphabet, size=rng.integers(1, 14))) for _ in range(3000)]
+    one = F.col("s")
+    for pattern, to in rules:
+        one = F.regexp_replace(one, pattern, to)
+    df = spark.createDataFrame([(t,) for t in texts], "s string").select("s", T.no_symbol("s").alias("got"), T.strip(one).alias("want"))
+    assert df.where(~F.col("got").eqNullSafe(F.col("want"))).collect() == []
