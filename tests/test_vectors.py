@@ -153,3 +153,20 @@ def test_symbol_cleaner_equals_its_rules_one_by_one(spark):
         one = F.regexp_replace(one, pattern, to)
     df = spark.createDataFrame([(t,) for t in texts], "s string").select("s", T.no_symbol("s").alias("got"), T.strip(one).alias("want"))
     assert df.where(~F.col("got").eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_sums_in_blocks_equal_sums_at_once(monkeypatch):
+    import pyarrow as pa
+    rng = np.random.default_rng(2)
+    lookup = VEC.Lookup([str(i) for i in range(20)], np.vstack([np.zeros(3), rng.normal(size=(19, 3))]), [0.5, 0.0, 1.0])
+    tokens = pa.array([[str(x) for x in rng.integers(0, 22, k)] for k in rng.integers(0, 40, 60)] + [None, [], ["0"]])
+    want = lookup.sums(tokens)
+    for rows in (1, 7, 64):
+        monkeypatch.setattr(VEC, "SUM_ROWS", rows)
+        got = lookup.sums(tokens)
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+
+
+def test_a_large_table_in_few_files_is_dealt_by_its_bytes():
+    from qaspark.sources.tables import spread_tasks
+    assert spread_tasks(1 << 30, 12) == 128 and spread_tasks(16 << 20, 12) == 12 and spread_tasks(1 << 19, 12) == 4
