@@ -59,8 +59,8 @@ def gram_table(df: DataFrame, q_col: str, a_col: str, full_qq: bool = False, mas
             .agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("row")))).alias("row")))
 
 
-def _gather(df: DataFrame, q_col: str, a_col: str, full_qq: bool, masks: Sequence[str]) -> list:
-    one = df.select(F.greatest(F.size(q_col), F.size(a_col)).alias("d")).first()
+def _gather(df: DataFrame, q_col: str, a_col: str, full_qq: bool, masks: Sequence[str], sized: DataFrame | None = None) -> list:
+    one = (df if sized is None else sized).select(F.greatest(F.size(q_col), F.size(a_col)).alias("d")).first()
     if one is not None and one["d"] > MAX_WIDTH:
         raise ValueError("feature width exceeds MAX_WIDTH; wide_cca.fit takes any width")
     return gram_table(df, q_col, a_col, full_qq, masks).collect()  # bounded: <= 2 d + 2 rows of <= d numbers a mask
@@ -81,9 +81,11 @@ def gram_sums(df: DataFrame, q_col: str, a_col: str, full_qq: bool = False) -> d
     return _sums(_gather(df, q_col, a_col, full_qq, ()))
 
 
-def gram_sums_by(df: DataFrame, q_col: str, a_col: str, masks: Sequence[str], full_qq: bool = False) -> dict[str, dict]:
-    """:func:`gram_sums` of the rows of each boolean column in ``masks``, from one scan."""
-    got = _gather(df, q_col, a_col, full_qq, masks)
+def gram_sums_by(df: DataFrame, q_col: str, a_col: str, masks: Sequence[str], full_qq: bool = False,
+                 sized: DataFrame | None = None) -> dict[str, dict]:
+    """:func:`gram_sums` of the rows of each boolean column in ``masks``, from one scan. ``sized``: a table with
+    vectors of the same width, where its first row costs less than that of ``df``."""
+    got = _gather(df, q_col, a_col, full_qq, masks, sized)
     return {m: _sums(got, f"{m}/") for m in masks}
 
 
