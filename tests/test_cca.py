@@ -172,3 +172,41 @@ def test_sweep_models_equal_separate_fits(spark):
 
 def _para(d):
     return CCA.CCAModel(np.eye(d)[:, :2] + 0.1, np.eye(d)[:, 2:] - 0.2, np.array([]))
+
+
+def test_sparse_products_join_indices_not_entries(spark, monkeypatch):
+    """Chunks multiplied and added up equal the dense product; rows and indices that lack the other side are left out."""
+    from qaspark.operators import sparse_cca as SC
+
+    monkeypatch.setattr(SC, "CHUNK", 50)
+    rng = np.random.default_rng(11)
+    entries = {(int(r), s, int(i)): float(rng.integers(1, 5)) for s in "qa" for r, i in zip(rng.integers(0, 40, 150), rng.integers(0, 12, 150))}
+    entries |= {(100, "q", 50): 1.0, (101, "a", 60): 2.0, (102, "q", 3): 7.0}
+    white = spark.createDataFrame([(f"r{r}", s, i, c) for (r, s, i), c in entries.items()] + [(None, "q", 3, 1.0), (None, "a", 3, 1.0)],
+                                  "row_id string, side string, idx long, cnt double")
+    dense = {s: np.zeros((103, 61)) for s in "qa"}
+    for (r, s, i), c in entries.items():
+        dense[s][r, i] = c
+    given = rng.standard_normal((61, 3))
+    factor = spark.createDataFrame([(i, given[i].tolist()) for i in range(61)], "idx long, w array<double>")
+    chunks, places = SC._chunks(white)
+    assert chunks.count() > 3
+    both = (dense["q"].any(axis=1) & dense["a"].any(axis=1))[:, None]
+    for by, to in ("aq", "qa"):
+        product = SC._chunk_times(chunks, places, factor, by, to, 4.0)
+        got = {r["idx"]: r["w"] for r in product.collect()}
+        assert set(got) == set(np.flatnonzero((dense[to] * both).any(axis=0)).tolist())
+        want = dense[to].T @ (dense[by] @ given) / 4
+        assert all(np.allclose(w, want[i]) for i, w in got.items())
+
+
+def test_vectors_of_an_index_are_added_up_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    from qaspark.operators import sparse_cca as SC
+
+    monkeypatch.setattr(SC, "GATHER", 3)
+    batches = [pa.RecordBatch.from_pydict({"idx": pa.array(i, pa.int64()), "w": pa.array([[float(x), 1.0] for x in i], pa.list_(pa.float64()))})
+               for i in ([5, 2], [], [2, 5], [9], [5])]
+    got = {r["idx"]: r["w"] for b in SC._sums(iter(batches)) for r in b.to_pylist()}
+    assert got == {2: [4.0, 2.0], 5: [15.0, 3.0], 9: [9.0, 1.0]} and list(SC._sums(iter([]))) == []
