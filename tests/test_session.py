@@ -37,3 +37,44 @@ def test_work_dir_is_stable_and_never_local_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.work_dir(Bare)
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from qaspark import session
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    seen = []
+
+    class Watched:
+        """``write`` sees the setting while it runs only."""
+        sparkSession = spark
+
+        @property
+        def write(self):
+            seen.append(spark.conf.get(key))
+            return spark.range(9).groupBy((F.col("id") % 2).alias("k")).count().write
+
+    session.write(Watched(), f"{tmp_path}/t")
+    assert seen == ["true"] and spark.conf.get(key) == before and spark.read.parquet(f"{tmp_path}/t").count() == 2
+
+
+def test_temporary_folders_go_at_the_end(spark, tmp_path, monkeypatch):
+    import os
+
+    from qaspark import session
+
+    monkeypatch.setattr(session, "work_dir", lambda _: str(tmp_path))
+    kept = session.materialize(spark.range(3), "kept")
+    try:
+        with session.temporary(spark):
+            session.materialize(spark.range(3), "outer")
+            with session.temporary(spark):
+                session.materialize(spark.range(3), "inner")
+            assert sorted(x.rpartition("-")[0] for x in os.listdir(tmp_path)) == ["kept", "outer"]
+            raise KeyError
+    except KeyError:
+        pass
+    assert [x.rpartition("-")[0] for x in os.listdir(tmp_path)] == ["kept"] and kept.count() == 3
