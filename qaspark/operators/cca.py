@@ -19,6 +19,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qaspark.session import swept
+
 MAX_WIDTH = 4096
 _GRAM_SCHEMA = "kind string, i int, row array<double>"
 
@@ -60,10 +62,11 @@ def gram_table(df: DataFrame, q_col: str, a_col: str, full_qq: bool = False, mas
 
 
 def _gather(df: DataFrame, q_col: str, a_col: str, full_qq: bool, masks: Sequence[str], sized: DataFrame | None = None) -> list:
-    one = (df if sized is None else sized).select(F.greatest(F.size(q_col), F.size(a_col)).alias("d")).first()
-    if one is not None and one["d"] > MAX_WIDTH:
-        raise ValueError("feature width exceeds MAX_WIDTH; wide_cca.fit takes any width")
-    return gram_table(df, q_col, a_col, full_qq, masks).collect()  # bounded: <= 2 d + 2 rows of <= d numbers a mask
+    with swept(df.sparkSession):
+        one = (df if sized is None else sized).select(F.greatest(F.size(q_col), F.size(a_col)).alias("d")).first()
+        if one is not None and one["d"] > MAX_WIDTH:
+            raise ValueError("feature width exceeds MAX_WIDTH; wide_cca.fit takes any width")
+        return gram_table(df, q_col, a_col, full_qq, masks).collect()  # bounded: <= 2 d + 2 rows of <= d numbers a mask
 
 
 def _sums(got: list, prefix: str = "") -> dict:

@@ -210,3 +210,19 @@ def test_vectors_of_an_index_are_added_up_in_parts(monkeypatch):
                for i in ([5, 2], [], [2, 5], [9], [5])]
     got = {r["idx"]: r["w"] for b in SC._sums(iter(batches)) for r in b.to_pylist()}
     assert got == {2: [4.0, 2.0], 5: [15.0, 3.0], 9: [9.0, 1.0]} and list(SC._sums(iter([]))) == []
+
+
+def test_features_of_a_query_are_formed_once(spark, monkeypatch):
+    """Models and distances read the written features: the word vectors meet the sentences once for the pairs and once for the paraphrases."""
+    from conftest import SF001
+
+    from qaspark.operators import vectors as VEC
+    from qaspark.plans import q_cca
+
+    formed, rare = [], []
+    own, unknown = VEC.sentence_vectors, VEC.unknown_values
+    monkeypatch.setattr(VEC, "sentence_vectors", lambda *a, **k: formed.append(1) or own(*a, **k))
+    monkeypatch.setattr(VEC, "unknown_values", lambda *a, **k: rare.append(1) or unknown(*a, **k))
+    got = q_cca.cca_scores(spark, SF001)
+    assert "artifact" not in got._jdf.queryExecution().optimizedPlan().toString() and (len(formed), len(rare)) == (2, 1)
+    assert {r["stage"] for r in got.select("stage").distinct().collect()} == {0, 1, 2}
