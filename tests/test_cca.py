@@ -226,3 +226,6 @@ def test_features_of_a_query_are_formed_once(spark, monkeypatch):
     got = q_cca.cca_scores(spark, SF001)
     assert "artifact" not in got._jdf.queryExecution().optimizedPlan().toString() and (len(formed), len(rare)) == (2, 1)
     assert {r["stage"] for r in got.select("stage").distinct().collect()} == {0, 1, 2}
+    formed.clear()
+    wide = q_cca.cca_wide_product(spark, SF001)
+    assert len(formed) == 1 and wide.count() > 0
