@@ -191,3 +191,23 @@ def test_sentences_meet_vectors_of_32_and_64_bits(spark):
     s = spark.createDataFrame([(1, ["a", "b"]), (2, ["c", "x"]), (3, [])], "id long, tokens array<string>")
     near, met = ({r["id"]: r["vec"] for r in VEC.sentence_vectors(s, ["id"], "tokens", vectors, [0.7, 0.7], block_bytes=n).collect()} for n in (1 << 20, 0))
     assert near == met and met[1] == [(0.1 + 0.5) / 2, 3.0]
+
+
+def test_nested_folds_broadcast_no_table_by_the_size_of_its_file(spark, monkeypatch):
+    """Levels of a tree and word vectors shrink on disk; a broadcast of what their files seem to hold would go through the driver."""
+    plans = []
+    for module in (H, VEC):
+        own = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, name, own=own: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, name))
+    ids = ["id"]
+    n = 400
+    vectors = VEC.materialize(spark.range(9).selectExpr("concat('w', id) AS token", "array(cast(id AS double) + 1, 2D) AS vec"), "vectors")
+    s = spark.range(n)
+    items = [(None, "a", None, 0), ("a", "b", None, 1), ("a", "w1", "w1", 0), ("b", "w2", "w2", 1), ("b", "w3", "w3", 2)]
+    nodes = VEC.materialize(s.crossJoin(spark.createDataFrame(items, "parent string, node string, token string, ord int")), "nodes")
+    plans.clear()
+    got = H.fold_tree(s, nodes, ids, vectors, [0.0, 0.0])
+    rows = got.collect()
+    assert len(rows) == n and all(r["vec"] == pytest.approx(rows[0]["vec"]) for r in rows) and any(rows[0]["vec"])
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
