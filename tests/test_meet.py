@@ -79,3 +79,25 @@ def test_folds_that_overflow_are_null(spark):
         "id", "concat('n', ord) AS node", "cast(null AS string) AS parent", "ord", "token")
     got = {r["id"]: r["vec"] for r in H.fold_tree(s, nodes, ["id"], vectors, [0.0, 0.0]).collect()}
     assert got[2] == [1.0, 0.0] and all(x is None or x == x for x in got[1])
+
+
+@pytest.mark.parametrize("shared", [False, True])
+@pytest.mark.parametrize("grams", [1, 2, 3])
+def test_training_lines_take_the_indices_of_their_distinct_texts(spark, monkeypatch, shared, grams):
+    """Every distinct text is normalised and indexed once, for the vocabulary and the lines; lines that share a number are put together."""
+    from qaspark.plans import q_io
+    from qaspark.plans.q_vocab import train_vocab
+
+    rows = [(i, f"Who is May {i % 3}\te{i % 2}|r one|e2") for i in range(9)] + [(20, "\tx"), (21, "q\t"), (22, "no tab"), (23, None), (24, " A\tB  ")]
+    rows += [(1, "What is it\te1|r|e2"), (None, "Who is here\te1"), (None, "Who\te1")] if shared else []
+    lines = spark.createDataFrame(rows, "line_no long, value string")
+    monkeypatch.setattr(q_io.X, "train_lines", lambda *_: lines)
+    seen = []
+    own = FT.as_indices
+    monkeypatch.setattr(FT, "as_indices", lambda t, *a, **k: seen.append(t.count()) or own(t, *a, **k))
+    got = sorted((r["row_id"] or 0, r["q"], r["a"]) for r in q_io._train_indices(spark, "x", grams).collect())
+    texts = [v.strip().split("\t") for _, v in rows if v is not None]
+    assert seen == [len({t[i] for t in texts if len(t) == 2}) for i in (0, 1)]
+    plain = FT.as_indices(G.read_train(lines, mode="proc_token", grams=grams), {"q": "q", "a": "a"}, train_vocab(spark, "x", grams)) \
+        .select("row_id", FT.sentence_text("q", "index").alias("q"), FT.sentence_text("a", "index").alias("a"))
+    assert got == sorted((r["row_id"] or 0, r["q"], r["a"]) for r in plain.collect()) and any(q for _, q, _ in got)

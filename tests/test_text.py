@@ -40,3 +40,16 @@ def test_split_ngrams_capitalize(spark):
 def test_answer_tokens(spark):
     r = spark.createDataFrame([("a b|c| d e ",)], "s string").select(T.answer_tokens("s").alias("t")).first()
     assert r["t"] == ["a", "b", "c", "d", "e"]
+
+
+def test_strip_equals_its_regular_expression(spark):
+    texts = ["", " ", " a b ", "\t\na\x0b\f\r", "a \u0085", "a  ", " a  ", "a \n\u0085", "a\u0085 ", "a ", " a", "　 a 　",
+             "a\r\n", "  ", "\u0085", "a\x1c", "ä    ", None]
+    got = spark.createDataFrame([(t,) for t in texts], "s string").select("s", T.strip("s").alias("t"), F.regexp_replace("s", T._WS_EDGES, "").alias("want")).collect()
+    assert [r["t"] for r in got] == [r["want"] for r in got] and got[5]["t"] == "a "
+
+
+def test_joined_words_come_apart_as_they_were(spark):
+    df = spark.createDataFrame([("",), ("3",), ("12 0 5",), (None,)], "s string")
+    got = df.select(T.split_joined("s").alias("a"), T.split_ws("s").alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] == [[], ["3"], ["12", "0", "5"], None]
